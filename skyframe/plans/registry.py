@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from . import problem_queries
 
-def _modules():
-    return []
+MODULES = [problem_queries]
 
 
 def queries():
-    return {k: v for m in _modules() for k, v in m.queries().items()}
+    return {k: v for m in MODULES for k, v in m.queries().items()}
 
 
 def oracle_sql():
-    return {k: v for m in _modules() for k, v in m.oracle_sql().items()}
+    return {k: v for m in MODULES for k, v in m.oracle_sql().items()}
