@@ -6,14 +6,42 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import spatial_join
 from ..session import table
+from ..sources.shards import ShardSet
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return spatial_join.sources_near_and_inside(table(spark, d, "gaia_rows"), table(spark, d, "star_records"), table(spark, d, "sky_fields"))
 
 
+def _shards(spark: SparkSession, d: str) -> ShardSet:
+    return ShardSet(table(spark, d, "raw_lines"), table(spark, d, "shard_files"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _shards(spark, d).changes()
+
+
+def p4_unified(spark: SparkSession, d: str) -> DataFrame:
+    """All loadable rows of all shards under canonical names."""
+    return _shards(spark, d).loaded()
+
+
+def p4_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Schema version and fingerprint of each shard."""
+    return _shards(spark, d).rules.select("shard_id", "feed", "seq", "version", "fingerprint")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _shards(spark, d).rejected().select("raw_id", "reason")
+
+
+def p5_loaded(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of which p5_found has none, typed."""
+    return _shards(spark, d).loaded().select("raw_id", "shard_id", "source_id", "ra", "dec", "mag", "pmra", "pmdec")
+
+
 def queries():
-    return {"p2_found": p2_found}
+    return {"p2_found": p2_found, "p4_found": p4_found, "p4_unified": p4_unified, "p4_versions": p4_versions, "p5_found": p5_found, "p5_loaded": p5_loaded}
 
 
 HAVERSINE = "2.0e0*degrees(asin(least(1.0e0,sqrt(pow(sin(radians(d2-d1)/2.0e0),2)+cos(radians(d1))*cos(radians(d2))*pow(sin(radians(r2-r1)/2.0e0),2)))))"
