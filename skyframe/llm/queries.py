@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import sketch, topn
+from . import sentences, sketch, topn
 
 ALPHA = 0.01
 
@@ -23,8 +23,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.brightest_and_strongest(table(spark, d, "star_records"), table(spark, d, "detections")).drop("rank")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_percentiles": p1_percentiles, "p3_found": p3_found}
+    return {"p1_percentiles": p1_percentiles, "p3_found": p3_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
