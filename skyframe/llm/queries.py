@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import sentences, sketch, topn
+from . import leakage, packing, sentences, sketch, topn
 
 ALPHA = 0.01
 
@@ -23,12 +23,32 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.brightest_and_strongest(table(spark, d, "star_records"), table(spark, d, "detections")).drop("rank")
 
 
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    sizes = packing.token_counts(table(spark, d, "documents"))
+    return packing.pack(sizes, packing.container_kinds(table(spark, d, "containers")))
+
+
+def p6_usage(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers of each capacity are."""
+    return packing.usage(p6_packed(spark, d), packing.container_kinds(table(spark, d, "containers")))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    found = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leakage.exact(found).select("doc_id", "item_id")
+
+
+def p7_scores(spark: SparkSession, d: str) -> DataFrame:
+    """All aligned pairs, edited copies included, with their scores."""
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(table(spark, d, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_percentiles": p1_percentiles, "p3_found": p3_found, "p8_found": p8_found}
+    return {"p1_percentiles": p1_percentiles, "p3_found": p3_found, "p6_packed": p6_packed, "p6_usage": p6_usage, "p7_found": p7_found, "p7_scores": p7_scores, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
