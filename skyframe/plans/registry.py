@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import problem_queries
+from . import catalog_queries, problem_queries
 
-MODULES = [problem_queries]
+MODULES = [catalog_queries, problem_queries]
 
 
 def queries():
