@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import sphere
 from . import catalog, joins
@@ -38,45 +41,62 @@ def candidate_sets(points: DataFrame, keys: list[str], k: int = 6) -> DataFrame:
     return once.join(sets, keys).withColumn("p", F.transform("idx", lambda v: F.element_at("at", v))).drop("at")
 
 
-def with_code(df: DataFrame, p: str = "p", code: str = "code", mirrored: bool = False) -> DataFrame:
-    """Add the canonical code and diagonal of four points; a set with coinciding points is dropped.
+def canonical_codes(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes (n, 4) and diagonals (n) of n patterns given as (n, 4) coordinates; NaN where points coincide.
 
     The widest pair (the first, if several) spans the frame from (0,0) to (1,1); of its two
     directions and the two orders of the other points, those with xC <= xD and xC + xD <= 1 are
     valid and the lexicographically smallest is kept. Codes are rounded to 1e-12, which stands
     for the slack of comparisons.
     """
-    xs = lambda i: (-1.0 if mirrored else 1.0) * F.col(f"{p}")[i]["x"]
-    ys = lambda i: F.col(p)[i]["y"]
-    flat = df.withColumns({f"__x{i}": xs(i) for i in range(4)} | {f"__y{i}": ys(i) for i in range(4)})
-    c = lambda n: F.col(f"__{n}")
-    d2 = lambda i, j: (c(f"x{j}") - c(f"x{i}")) * (c(f"x{j}") - c(f"x{i}")) + (c(f"y{j}") - c(f"y{i}")) * (c(f"y{j}") - c(f"y{i}"))
-    flat = flat.withColumns({f"__d{n}": d2(i, j) for n, (i, j, _, _) in enumerate(PAIRS)})
-    dist = [c(f"d{n}") for n in range(6)]
-    flat = flat.withColumn("__best", F.greatest(*dist)).where((F.col("__best") > 1e-12) & (F.least(*dist) > 1e-12))
-
-    def role(k: int, axis: str) -> Column:
-        out = F.lit(None).cast("double")
-        for n in reversed(range(6)):
-            out = F.when(c(f"d{n}") == c("best"), c(f"{axis}{PAIRS[n][k]}")).otherwise(out)
-        return out
-
-    flat = flat.withColumns({f"__{r}{axis}": role(k, axis) for k, r in enumerate("abcd") for axis in "xy"})
-    frames = {}
-    for way, (a, b) in enumerate((("a", "b"), ("b", "a"))):
-        ux, uy = c(f"{b}x") - c(f"{a}x"), c(f"{b}y") - c(f"{a}y")
-        for q in "cd":
-            px, py = c(f"{q}x") - c(f"{a}x"), c(f"{q}y") - c(f"{a}y")
-            along, across = (px * ux + py * uy) / c("best"), (px * uy - py * ux) / c("best")
-            frames[f"__{q}{way}x"], frames[f"__{q}{way}y"] = F.round(along - across, 12), F.round(along + across, 12)
-    flat = flat.withColumns(frames)
-    options = []
-    for way in (0, 1):
-        for u, v in (("c", "d"), ("d", "c")):
-            ok = (c(f"{u}{way}x") <= c(f"{v}{way}x")) & (c(f"{u}{way}x") + c(f"{v}{way}x") <= 1.0)
-            options.append(F.when(ok, F.array(c(f"{u}{way}x"), c(f"{u}{way}y"), c(f"{v}{way}x"), c(f"{v}{way}y"))))
-    flat = flat.withColumn(code, F.array_min(F.array_compact(F.array(*options)))).withColumn("diag", F.sqrt(c("best")))
-    return flat.where(F.col(code).isNotNull()).drop(*[x for x in flat.columns if x.startswith("__")])
+    rows = np.arange(len(x))
+    pairs = np.array(PAIRS)
+    d2 = np.stack([(x[:, j] - x[:, i]) ** 2 + (y[:, j] - y[:, i]) ** 2 for i, j, _, _ in PAIRS], axis=1)
+    role = pairs[d2.argmax(1)] if len(x) else np.empty((0, 4), np.int64)
+    best = d2.max(1) if len(x) else np.empty(0)
+    px, py = ([v[rows, role[:, k]] for k in range(4)] for v in (x, y))
+    code = np.full((len(x), 4), np.inf)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for a, b in ((0, 1), (1, 0)):
+            ux, uy = px[b] - px[a], py[b] - py[a]
+            at = {}
+            for q in (2, 3):
+                qx, qy = px[q] - px[a], py[q] - py[a]
+                along, across = (qx * ux + qy * uy) / best, (qx * uy - qy * ux) / best
+                at[q] = (np.round(along - across, 12), np.round(along + across, 12))
+            for u, v in ((2, 3), (3, 2)):
+                option = np.stack([*at[u], *at[v]], axis=1)
+                valid = (option[:, 0] <= option[:, 2]) & (option[:, 0] + option[:, 2] <= 1.0)
+                differs = option != code
+                first = differs.argmax(1)
+                smaller = option[rows, first] < code[rows, first]
+                take = valid & differs.any(1) & smaller
+                code[take] = option[take]
+    code[(d2.min(1, initial=np.inf) <= 1e-12) | ~np.isfinite(code).all(1)] = np.nan
+    return code, np.sqrt(best)
+
+
+def with_code(df: DataFrame, p: str = "p", code: str = "code", mirrored: bool = False) -> DataFrame:
+    """Add the canonical code and diagonal of four points; a set with coinciding points is dropped.
+
+    Whole Arrow batches are coded in numpy: the same rule as a column expression takes Spark
+    longer to compile than to run.
+    """
+    df = df.drop(code, "diag")
+    schema = T.StructType([*df.schema.fields, T.StructField(code, T.ArrayType(T.DoubleType())), T.StructField("diag", T.DoubleType())])
+    sign = -1.0 if mirrored else 1.0
+
+    def run(batches):
+        for batch in batches:
+            flat = batch.column(p).flatten()
+            x, y = (flat.field(k).to_numpy(zero_copy_only=False).reshape(-1, 4) for k in ("x", "y"))
+            codes, diag = canonical_codes(sign * x, y)
+            keep = np.flatnonzero(np.isfinite(codes[:, 0]))
+            out = pa.Table.from_batches([batch]).take(pa.array(keep))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1) * 4, pa.int32()), pa.array(codes[keep].ravel()))
+            yield from out.append_column(code, lists).append_column("diag", pa.array(diag[keep])).to_batches()
+
+    return df.mapInArrow(run, schema)
 
 
 def interleave(quads: DataFrame, keys: list[str], limit: int, within: list[Column] | None = None) -> DataFrame:

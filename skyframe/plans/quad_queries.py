@@ -208,14 +208,14 @@ def _codes(src: str, out: str, sign: int) -> str:
     dd = [f"(x{b}-x{a})*(x{b}-x{a})+(y{b}-y{a})*(y{b}-y{a})" for a, b, _, _ in pairs]
     pick = lambda k, ax: "case " + " ".join(f"when d{n} = best then {ax}{p[k]}" for n, p in enumerate(pairs)) + " end"
     sx = lambda e: f"({sign}*({e}))"
-    roles = ", ".join(f"{sx(pick(k, 'x')) if ax == 'x' else pick(k, 'y')} {r}{ax}" for k, r in enumerate("abcd") for ax in "xy")
+    roles = ", ".join(f"{sx(pick(k, 'x')) if ax == 'x' else pick(k, 'y')} p{r}{ax}" for k, r in enumerate("abcd") for ax in "xy")
     fr = []
     for w, (a, b) in enumerate((("a", "b"), ("b", "a"))):
         for q in "cd":
-            al = f"(({q}x-{a}x)*({b}x-{a}x)+({q}y-{a}y)*({b}y-{a}y))/best"
-            ac = f"(({q}x-{a}x)*({b}y-{a}y)-({q}y-{a}y)*({b}x-{a}x))/best"
-            fr += [f"round({al}-{ac}, 12) {q}{w}x", f"round({al}+{ac}, 12) {q}{w}y"]
-    opts = ", ".join(f"case when {u}{w}x <= {v}{w}x and {u}{w}x + {v}{w}x <= 1 then [{u}{w}x, {u}{w}y, {v}{w}x, {v}{w}y] end" for w in (0, 1) for u, v in (("c", "d"), ("d", "c")))
+            al = f"((p{q}x-p{a}x)*(p{b}x-p{a}x)+(p{q}y-p{a}y)*(p{b}y-p{a}y))/best"
+            ac = f"((p{q}x-p{a}x)*(p{b}y-p{a}y)-(p{q}y-p{a}y)*(p{b}x-p{a}x))/best"
+            fr += [f"round({al}-{ac}, 12) f{q}{w}x", f"round({al}+{ac}, 12) f{q}{w}y"]
+    opts = ", ".join(f"case when f{u}{w}x <= f{v}{w}x and f{u}{w}x + f{v}{w}x <= 1 then [f{u}{w}x, f{u}{w}y, f{v}{w}x, f{v}{w}y] end" for w in (0, 1) for u, v in (("c", "d"), ("d", "c")))
     return f"""{out}_d as (select *, {", ".join(f"{e} d{n}" for n, e in enumerate(dd))} from {src}),
 {out}_b as (select *, greatest(d0,d1,d2,d3,d4,d5) best from {out}_d where least(d0,d1,d2,d3,d4,d5) > 1e-12),
 {out}_r as (select *, {roles} from {out}_b), {out}_f as (select *, {", ".join(fr)} from {out}_r),
@@ -225,7 +225,7 @@ def _codes(src: str, out: str, sign: int) -> str:
 SKY = f"""{CONE}, top as (select * from (select *, row_number() over (partition by disc_id order by mag_milli, cell, star_id) rk from cone) where rk <= {N_POINTS}),
 {LINES_TO_PLANE.replace('from cone', 'from top')}, sp as (select disc_id, rk-1 i, xi x, eta y from plane)"""
 IMAGE = f"{PTS(N_POINTS)}, {_quads('pts', 'frame_id', 'iq', N_QUADS)}"
-BOTH = f"""{IMAGE}, {SKY}, {_quads('sp', 'disc_id', 'cq', N_QUADS)}, cm_in as (select * exclude (code, diag, d0,d1,d2,d3,d4,d5,best,ax,ay,bx,by,cx,cy,dx,dy,c0x,c0y,d0x,d0y,c1x,c1y,d1x,d1y) from cq), {_codes('cm_in', 'cm', -1)},
+BOTH = f"""{IMAGE}, {SKY}, {_quads('sp', 'disc_id', 'cq', N_QUADS)}, cm_in as (select * exclude (code, diag, d0,d1,d2,d3,d4,d5,best,pax,pay,pbx,pby,pcx,pcy,pdx,pdy,fc0x,fc0y,fd0x,fd0y,fc1x,fc1y,fd1x,fd1y) from cq), {_codes('cm_in', 'cm', -1)},
 sides as (select disc_id, place, code, diag, i0, i1, i2, i3, x0, y0, x1, y1, false mirrored from cq union all select disc_id, place, code, diag, i0, i1, i2, i3, -x0, y0, -x1, y1, true from cm),
 ib as (select *, cast(floor(code[1]/0.02) as int) b from iq), sb as (select *, cast(floor(code[1]/0.02) as int) + o b from sides, (values (-1),(0),(1)) v(o)),
 m as (select frame_id, disc_id, ib.place iq, sb.place cq, mirrored, sb.diag/ib.diag scale, [ib.i0, ib.i1, ib.i2, ib.i3] ii, [sb.i0, sb.i1, sb.i2, sb.i3] si,
