@@ -106,7 +106,7 @@ def vote_histogram(spark, d):
 
 def _won(spark, d):
     m = _matches(spark, d)
-    return matching.winners(m, matching.winning_bin(matching.votes(m, KEYS), KEYS, 2), KEYS)
+    return matching.winners(m, matching.winning_bin(matching.votes(m, KEYS), KEYS, 1), KEYS)
 
 
 def majority_match(spark, d):
@@ -233,7 +233,7 @@ m as (select frame_id, disc_id, ib.place iq, sb.place cq, mirrored, sb.diag/ib.d
   where pow(ib.code[1]-sb.code[1],2)+pow(ib.code[2]-sb.code[2],2)+pow(ib.code[3]-sb.code[3],2)+pow(ib.code[4]-sb.code[4],2) <= 0.02e0*0.02e0)"""
 VOTES = f"""{BOTH}, mb as (select *, cast(round(ln(scale)/0.02e0) as bigint) bs, cast(round(rot/5.0e0) as bigint) br from m), own as (select frame_id, disc_id, bs, br, mirrored, count(*) n from mb group by all),
 vt as (select a.frame_id, a.disc_id, a.bs, a.br, a.mirrored, a.n, cast(sum(b.n) as bigint) merged from own a join own b on a.frame_id=b.frame_id and a.disc_id=b.disc_id and a.mirrored=b.mirrored and abs(a.bs-b.bs)<=1 and least(abs(a.br-b.br), 72-abs(a.br-b.br))<=1 group by all),
-wb as (select * from vt where merged >= 2 qualify row_number() over (partition by frame_id, disc_id order by merged desc, bs, br, mirrored) = 1),
+wb as (select * from vt where merged >= 1 qualify row_number() over (partition by frame_id, disc_id order by merged desc, bs, br, mirrored) = 1),
 won as (select mb.* from mb join wb using (frame_id, disc_id, mirrored) where abs(mb.bs-wb.bs)<=1 and least(abs(mb.br-wb.br), 72-abs(mb.br-wb.br))<=1)"""
 
 
