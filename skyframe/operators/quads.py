@@ -124,7 +124,7 @@ def conditioning(code: str = "code", p: str = "p") -> Column:
 def select_conditioned(quads: DataFrame, keys: list[str], cap: int = 25) -> DataFrame:
     """At most ``cap`` patterns per key, the best-conditioned of each seed first; all if they are few."""
     few = F.count(F.lit(1)).over(Window.partitionBy(*keys)) <= cap
-    key = F.when(F.col("__few"), F.lit(0.0)).otherwise(conditioning())
+    key = F.when(F.col("__few"), F.lit(0.0)).otherwise(F.round(conditioning(), 9))  # rounding makes ties of equal shapes
     df = quads.drop("r", "place").withColumn("__few", few).withColumn("cond", key)
     order = [F.desc("cond"), F.when(F.col("__few"), F.col("ord")), F.col("idx")]
     return interleave(df, keys, cap, order).drop("__few")

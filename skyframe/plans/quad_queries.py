@@ -245,7 +245,7 @@ def oracle_sql():
     s4 = "(x{1}-x{0})*(x{1}-x{0})+(y{1}-y{0})*(y{1}-y{0})"
     srt = "list_reverse_sort([" + ", ".join(f"sqrt({s4.format(a, b)})" for a, b, _, _ in quads.PAIRS) + "])"
     cond = f"least(abs((code[2]-code[1])/2), abs((code[4]-code[3])/2), ({srt}[1]-{srt}[2])/{srt}[1])"
-    pick = f"""cnd as (select *, count(*) over (partition by {{k}}) <= 25 few from {{q}}), cn as (select *, case when few then 0.0e0 else {cond} end cond from cnd),
+    pick = f"""cnd as (select *, count(*) over (partition by {{k}}) <= 25 few from {{q}}), cn as (select *, case when few then 0.0e0 else round({cond}, 9) end cond from cnd),
 cr as (select *, row_number() over (partition by {{k}}, seed order by cond desc, case when few then ord end, [i0,i1,i2,i3]) r2 from cn),
 sel as (select * from (select *, row_number() over (partition by {{k}} order by r2, seed) p2 from cr) where p2 <= 25)"""
     tiles = lambda s: f"""select {s}.0e0 scale, cast(id*1000000+j as bigint) disc_id, 360.0e0/n_ra*(j+0.5e0) ra0, dec0, {s / 2}e0 radius from (select range id, -90+{180 / round(180 / s)!r}e0*(range+0.5e0) dec0,

@@ -74,8 +74,8 @@ def catalogue_for(frames: DataFrame, stars: DataFrame, nside: int, epoch: float
     discs = frames.select(F.col("path").alias("disc_id"), "ra0", "dec0", "radius")
     got = catalog.select_catalogue(catalog.cone_search(stars, discs, nside), 5000, nside)
     got = got.join(frames.select(F.col("path").alias("disc_id"), "lim", "date_obs"), "disc_id").where(F.col("rank") <= F.col("lim"))
-    years = F.coalesce(frame.epoch_years(F.col("date_obs")) - epoch, F.lit(0.0))
-    ra, dec = sphere.moved(F.col("ra"), F.col("dec"), F.coalesce("pmra", F.lit(0.0)), F.coalesce("pmdec", F.lit(0.0)), years)
+    got = got.withColumns({"years": F.coalesce(frame.epoch_years(F.col("date_obs")) - epoch, F.lit(0.0)), "pmra": F.coalesce("pmra", F.lit(0.0)), "pmdec": F.coalesce("pmdec", F.lit(0.0))})
+    ra, dec = sphere.moved(*map(F.col, ("ra", "dec", "pmra", "pmdec", "years")))
     return got.select("disc_id", "rank", ra.alias("cra"), dec.alias("cdec"))
 
 
@@ -164,8 +164,10 @@ def solve_blind(frames: DataFrame, stars: DataFrame, quad_index: DataFrame, nsid
             rows = []
             for p, s in zip(pdf.path, pdf.stars):
                 x, y = np.array([v["x"] for v in s]), np.array([v["y"] for v in s])
-                q = plate.build_quads(x, y, 6, 600)
-                rows += [(p, k, c.tolist(), float(g), x[i].tolist(), y[i].tolist()) for k, (i, c, g) in enumerate(zip(q.idx, q.code, q.diag))]
+                # the index holds patterns of bright stars, so brighter subsets of the frame are tried too
+                for m in sorted({min(len(x), n) for n in (12, 24, 48, len(x))}):
+                    q = plate.build_quads(x[:m], y[:m], 6, 600)
+                    rows += [(p, m * 1000 + k, c.tolist(), float(g), x[i].tolist(), y[i].tolist()) for k, (i, c, g) in enumerate(zip(q.idx, q.code, q.diag))]
             yield pd.DataFrame(rows, columns=["path", "iq", "code", "diag", "px", "py"])
 
     usable = frames.where("reason is null and size(stars) >= 4")
@@ -202,6 +204,10 @@ def solve_blind(frames: DataFrame, stars: DataFrame, quad_index: DataFrame, nsid
     spots = centres.groupBy("path").applyInPandas(thin, "path string, k int, ra0 double, dec0 double, found_scale double")
     tries = usable.drop("ra0", "dec0", "scale").join(spots, "path").join(total, "path").withColumnRenamed("found_scale", "scale")
     named = tries.withColumn("path", F.concat_ws("\x1f", "path", F.col("k").cast("string")))
-    got = solve_rung(named, stars, nside, blind=True).withColumn("path", F.split("path", "\x1f")[0])
+    got = cut(solve_rung(named, stars, nside, blind=True)).withColumn("path", F.split("path", "\x1f")[0])
     best = F.max_by(F.struct("*"), F.struct(F.col("solved"), F.coalesce("log_odds", F.lit(0.0))))
-    return got.groupBy("path").agg(best.alias("o")).select("o.*")
+    tried = got.groupBy("path").agg(best.alias("o")).select("o.*")
+    none = usable.select("path", F.size("stars").alias("found")).join(tried.select("path"), "path", "left_anti")
+    kinds = dict(tried.dtypes)
+    rest = {c: F.lit(None).cast(kinds[c]) for c in tried.columns} | {"path": F.col("path"), "solved": F.lit(False), "reason": F.lit("NO_QUAD_MATCH"), "detected": F.col("found")}
+    return tried.unionByName(none.select(*[v.alias(c) for c, v in rest.items()]))

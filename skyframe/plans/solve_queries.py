@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import healpix
 from ..operators import plate, quads
-from ..session import table
+from ..session import cut, table
 from ..sources import fits, sidecar
 from . import solve
 from .frame_queries import WIDTH
@@ -50,7 +50,7 @@ def matched_filter(spark, d):
     return table(spark, d, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, y int, x int")
 
 
-def _fields(spark, d, count: int | None = None):
+def _fields(spark, d):
     """A synthetic frame and its catalogue for each cone of the sky fields below 80 degrees."""
     f = table(spark, d, "sky_fields").where("shape = 'cone' and abs(dec_deg) < 80").dropDuplicates(["field_id"]).select("field_id", "ra_deg", "dec_deg")
 
@@ -68,7 +68,7 @@ def _fields(spark, d, count: int | None = None):
                 yield cat.assign(star_id=np.arange(len(cat)) + r.field_id * 1000, mag_milli=(cat.mag * 1000).astype(int), pmra=0.0, pmdec=0.0)[["star_id", "ra", "dec", "mag_milli", "pmra", "pmdec"]]
 
     stars = f.mapInPandas(catalogue, "star_id long, ra double, dec double, mag_milli int, pmra double, pmdec double")
-    return f.repartition(8).mapInPandas(images, "path string, content binary"), healpix.with_cell(stars, NSIDE)
+    return cut(f.repartition(8).mapInPandas(images, "path string, content binary")), cut(healpix.with_cell(stars, NSIDE))
 
 
 def solve_synthetic(spark, d):
@@ -88,11 +88,11 @@ def blind_solve(spark, d):
     files, stars = _fields(spark, d)
     frames = solve.prepare(files).withColumn("ra0", F.lit(None).cast("double")).withColumn("dec0", F.lit(None).cast("double"))
     tiles = table(spark, d, "sky_fields").where("shape = 'cone' and abs(dec_deg) < 80").select(F.col("field_id").alias("disc_id"), F.col("ra_deg").alias("ra0"), F.col("dec_deg").alias("dec0"), F.lit(0.3).alias("radius")).dropDuplicates(["disc_id"])
-    pts = quads.tile_points(stars, tiles, 14, NSIDE)
-    chosen = quads.select_conditioned(quads.build_quads(pts.drop("star_id"), ["disc_id"], 6, 4096), ["disc_id"], 25)
+    pts = quads.tile_points(stars, tiles, 28, NSIDE)
+    chosen = quads.select_conditioned(quads.build_quads(pts.drop("star_id"), ["disc_id"], 6, 4096), ["disc_id"], 200)
     names = pts.groupBy("disc_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "star_id"))).alias("at"))
     index = chosen.join(names, "disc_id").select("code", F.transform("idx", lambda v: F.element_at("at", v)).alias("stars"))
-    return solve.solve_blind(frames, stars, index, NSIDE).select("path", "solved", "reason", "matched", F.round("log_odds", 2).alias("log_odds"))
+    return solve.solve_blind(cut(frames), stars, cut(index), NSIDE).select("path", "solved", "reason", "matched", F.round("log_odds", 2).alias("log_odds"))
 
 
 QUERIES = [extract_components, matched_filter, solve_synthetic, solve_records, blind_solve]

@@ -28,7 +28,8 @@ def solve_rate_by_window(log: DataFrame, late: str = "1 hour", window: str = "1
     """Attempts and solves per rig and window of a streaming log; rows later than the watermark are dropped."""
     solved = F.coalesce(F.col("outcome.solved"), F.lit(False))
     return (
-        log.withWatermark("run_at", late)
+        log.withColumn("run_at", F.col("run_at").cast("timestamp"))
+        .withWatermark("run_at", late)
         .dropDuplicatesWithinWatermark(["log_id"])
         .groupBy(F.window("run_at", window), "rig")
         .agg(F.count(F.lit(1)).alias("n"), F.count_if(solved).alias("solved"))
