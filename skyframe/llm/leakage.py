@@ -71,9 +71,11 @@ def fold(text: str) -> str:
     if text.isascii():
         return text.lower()
     if not _invisible:
-        chars = "".join(re.escape(chr(c)) for c in range(0x110000) if unicodedata.category(chr(c)) == "Cf")
-        _invisible.append(re.compile(f"[{chars}{_IGNORED}]+"))
-    text = _invisible[0].sub("", text)
+        chars = "".join(chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) == "Cf")
+        pattern = re.compile(f"[{re.escape(chars)}{_IGNORED}]+")
+        _invisible[:] = [pattern, frozenset(c for c in map(chr, range(0x110000)) if pattern.match(c))]
+    if not _invisible[1].isdisjoint(text):
+        text = _invisible[0].sub("", text)
     return unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
 
 
@@ -185,12 +187,17 @@ class TestSet:
 
 
 def _members(sorted_values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in x that occur in ``sorted_values``, and which value each is."""
-    k = np.searchsorted(sorted_values, x)
+    """Places in x that occur in ``sorted_values``, and which value each is.
+
+    A table over the leading bits passes over most of x before the search.
+    """
+    table = np.zeros(1 << 20, bool)
+    table[(sorted_values >> np.uint64(44)).astype(np.int64)] = True
+    at = np.flatnonzero(table[(x >> np.uint64(44)).astype(np.int64)])
+    k = np.searchsorted(sorted_values, x[at])
     ok = k < len(sorted_values)
-    ok[ok] = sorted_values[k[ok]] == x[ok]
-    at = np.flatnonzero(ok)
-    return at, k[at]
+    ok[ok] = sorted_values[k[ok]] == x[at][ok]
+    return at[ok], k[ok]
 
 
 def _count(sets: list[TestSet]):
