@@ -20,16 +20,18 @@ def pack_star(df: DataFrame) -> DataFrame:
     """Add ``ra_scaled, dec_scaled, mag_milli, pmra_mas, pmdec_mas, clamped`` to a catalogue.
 
     Right ascension wraps, everything else is clamped and flagged, never overflows. Missing
-    or NaN proper motion packs as zero. Magnitudes are rounded in single precision.
+    or NaN proper motion packs as zero. Magnitudes are rounded in single precision. A position
+    that is not finite packs as null.
     """
+    known = lambda n: F.when(F.abs(F.col(n).cast("double")) < float("inf"), F.col(n))
     mag = F.round(F.col("mag").cast("float") * F.lit(1000.0).cast("float")).cast("double")
     motion = {k: F.round(F.coalesce(F.nanvl(F.col(k).cast("double"), F.lit(0.0)), F.lit(0.0))) for k in ("pmra", "pmdec")}
-    dec = F.round(F.col("dec") * DEC_SCALE)
+    dec = F.round(known("dec") * DEC_SCALE)
     out = (mag < -32768) | (mag > 32767) | (F.abs(F.col("dec")) > 90)
     for m in motion.values():
         out = out | (m < -32768) | (m > 32767)
     return df.withColumns({
-        "ra_scaled": F.round(F.pmod(F.col("ra"), F.lit(360.0)) * RA_SCALE).cast("long").bitwiseAND(F.lit(4294967295)),
+        "ra_scaled": F.round(F.pmod(known("ra"), F.lit(360.0)) * RA_SCALE).cast("long").bitwiseAND(F.lit(4294967295)),
         "dec_scaled": _within(dec, -2147483647.0, 2147483647.0).cast("int"),
         "mag_milli": _within(mag, -32768.0, 32767.0).cast("short"),
         "pmra_mas": _within(motion["pmra"], -32768.0, 32767.0).cast("short"),

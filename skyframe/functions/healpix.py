@@ -47,7 +47,7 @@ def _gather(v: Column) -> Column:
 
 
 def with_cell(df: DataFrame, nside: int, ra: str = "ra", dec: str = "dec", out: str = "cell") -> DataFrame:
-    """Add the nested cell of each position; null positions give null.
+    """Add the nested cell of each position; null, NaN and infinite positions give null.
 
     The steps are separate projections, so that expressions stay small; Catalyst keeps them in
     one stage of generated code.
@@ -55,8 +55,9 @@ def with_cell(df: DataFrame, nside: int, ra: str = "ra", dec: str = "dec", out:
     ns, order = float(nside), order_of(nside)
     c = lambda n: F.col(f"__{n}")
     long = lambda x: x.cast("long")  # noqa: E731  (truncates)
-    turned = F.pmod(F.col(ra), F.lit(360.0))
-    df = df.withColumn("__z", F.sin(F.radians(F.col(dec)))).withColumn("__t", F.radians(F.when(turned >= 360.0, F.lit(0.0)).otherwise(turned)) / (math.pi / 2))
+    known = lambda n: F.when(F.abs(F.col(n).cast("double")) < float("inf"), F.col(n))  # noqa: E731  (NaN compares as greater)
+    turned = F.pmod(known(ra), F.lit(360.0))
+    df = df.withColumn("__z", F.sin(F.radians(known(dec)))).withColumn("__t", F.radians(F.when(turned >= 360.0, F.lit(0.0)).otherwise(turned)) / (math.pi / 2))
     df = df.withColumn("__q", F.least(long(c("t")), F.lit(3))).withColumn("__m", ns * F.sqrt(F.greatest(3.0 * (1.0 - F.abs(c("z"))), F.lit(0.0)))).withColumn("__f", c("t") - c("q"))
     belt = F.abs(c("z")) <= 2.0 / 3.0
     up = long(ns * (0.5 + c("t")) - ns * c("z") * 0.75)
@@ -69,7 +70,7 @@ def with_cell(df: DataFrame, nside: int, ra: str = "ra", dec: str = "dec", out:
     low = F.lit(nside - 1)
     x = F.when(c("belt"), c("b").bitwiseAND(low)).when(c("z") > 0, low - c("b")).otherwise(c("a"))
     y = F.when(c("belt"), low - c("a").bitwiseAND(low)).when(c("z") > 0, low - c("a")).otherwise(c("b"))
-    df = df.withColumn(out, face * (nside * nside) + _spread(x) + F.shiftleft(_spread(y), 1))
+    df = df.withColumn(out, F.when(c("z").isNotNull() & c("t").isNotNull(), face * (nside * nside) + _spread(x) + F.shiftleft(_spread(y), 1)))
     return df.drop("__z", "__t", "__q", "__m", "__f", "__a", "__b", "__belt", "__fa", "__fb")
 
 

@@ -254,11 +254,11 @@ select quad_id, k, star_id from j where quad_id in (select quad_id from j group
   from g where {ok} and dec between -90 and 90) group by all""",
         "star_unpack": f"with {STARS} select star_id, {micro('ra', 8)} ra_e8, {micro('dec', 8)} dec_e8, mag from stars",
         # the high bits of a source's number are its cell at level 12; positions of later deliveries differ
-        "healpix_level12": "select source_id, bool_or(true) agrees from gaia_rows where isfinite(ra) and dec between -90 and 90 group by source_id",
+        "healpix_level12": "select source_id, bool_or(true) agrees from gaia_rows where isfinite(ra) and isfinite(dec) and dec between -90 and 90 group by source_id",
         "build_stats": f"""with {DISTINCT_GAIA} select count(*) filter ({ok}) written,
   count(*) filter ({ok} and ((round(mag * cast(1000 as float)) not between -32768 and 32767) or abs(dec) > 90 or {big('pmra')} or {big('pmdec')})) clamped,
   count(*) filter (not coalesce({ok}, false)) skipped from g""",
-        "row_filter": f"with {DISTINCT_GAIA} select source_id, mag from g where mag <= 18 and not isnan(mag) and dec between -30 and 60",
+        "row_filter": f"with {DISTINCT_GAIA} select source_id, mag from g where mag <= 18 and not isnan(mag) and isfinite(dec) and dec between -30 and 60",
         "null_policy": f"with {DISTINCT_GAIA} select source_id, mag, {none0('pmra')} pmra, {none0('pmdec')} pmdec from g where mag is not null",
         "magnitude_cap": f"with {STARS} select star_id, mag_milli from stars where mag_milli <= 14200",
         "proper_motion": f"""with {STARS}, a as (select star_id, ra, dec, radians(ra) r, radians(dec) d, pmra_mas pa, pmdec_mas pd, pmra_mas*10.5e0*pi()/648000000.0e0 e, pmdec_mas*10.5e0*pi()/648000000.0e0 n from stars where pmra_mas is not null and pmdec_mas is not null),

@@ -44,17 +44,31 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def narrow_batches(batches, rows: int):
-    """Concatenate the Arrow batches of a partition into tables of about ``rows`` rows."""
+def narrow_batches(batches, rows: int, text: str | None = None, most_bytes: int = 4_000_000):
+    """The Arrow batches of a partition as tables of about ``rows`` rows.
+
+    Small batches are put together and large ones cut; with ``text`` a table also ends once that
+    column has ``most_bytes``, so that long texts do not add up. A single row is never cut.
+    """
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     held, n = [], 0
     for b in batches:
-        if b.num_rows:
-            held.append(b)
-            n += b.num_rows
-        if n >= rows:
-            yield pa.Table.from_batches(held)
-            held, n = [], 0
+        at = 0
+        if text is not None and b.num_rows:
+            size = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).cumsum()
+        while at < b.num_rows:
+            step = rows - n
+            if text is not None:
+                before = size[at - 1] if at else 0
+                step = min(step, max(1, int((size - before).searchsorted(most_bytes, side="right")) - at))
+            part = b.slice(at, step)
+            at += part.num_rows
+            held.append(part)
+            n += part.num_rows
+            if n >= rows or (text is not None and at < b.num_rows):
+                yield pa.Table.from_batches(held)
+                held, n = [], 0
     if held:
         yield pa.Table.from_batches(held)

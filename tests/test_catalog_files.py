@@ -92,3 +92,13 @@ def test_cover_holds_every_cell(spark):
     assert healpix.cells_in_disc(16, 0, 0, 180) == list(range(12 * 256))
     with pytest.raises(ValueError):
         healpix.order_of(3)
+
+
+def test_impossible_positions_have_no_cell_and_do_not_fail(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(1, nan, 1.0, 1.0), (2, 1.0, nan, 1.0), (3, inf, 1.0, nan), (4, None, 1.0, None), (5, 1.0, 95.0, 40.0)], "source_id long, ra double, dec double, mag float")
+    df = df.selectExpr("*", "cast(null as float) pmra", "cast('NaN' as float) pmdec")
+    assert [r["cell"] for r in healpix.with_cell(df, 64).orderBy("source_id").collect()][:4] == [None] * 4
+    got = catalog.build_stats(df).first()
+    assert (got["written"], got["clamped"], got["skipped"]) == (1, 1, 4)
+    assert catalog.build_star_index(df, 64).count() == 1
