@@ -204,7 +204,7 @@ def _count(sets: list[TestSet]):
     """Document frequency of the passages' n-grams, summed within each batch."""
 
     def run(batches):
-        for t in narrow_batches(batches, DOCS_AT_ONCE):
+        for t in narrow_batches(batches, DOCS_AT_ONCE, "text"):
             folded = [fold(x) for x in t.column("text").to_pylist()]
             for s in sets:
                 tk = tokens(folded, s.kind)
@@ -222,7 +222,7 @@ FOUND = "doc_id long, item_id long, kind string, score int, item_tokens int, lon
 
 def _align(sets: list[TestSet]):
     def run(batches):
-        for t in narrow_batches(batches, DOCS_AT_ONCE):
+        for t in narrow_batches(batches, DOCS_AT_ONCE, "text"):
             ids = t.column("doc_id").to_pylist()
             folded = [fold(x) for x in t.column("text").to_pylist()]
             out = []

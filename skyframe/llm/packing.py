@@ -44,7 +44,7 @@ def token_counts(documents: DataFrame, tokenizers: str = TOKENIZERS, vocabulary:
 
     def run(batches):
         enc = _encoding(path)
-        for t in narrow_batches(batches, 1024):
+        for t in narrow_batches(batches, 1024, "text"):
             n = [len(enc.encode_ordinary(x)) if x else 0 for x in t.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks(), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 

@@ -318,7 +318,7 @@ def sentences(text: str | None, layout: str | None = "prose") -> list[tuple[int,
 
 
 def _run(batches):
-    for t in narrow_batches(batches, 4096):
+    for t in narrow_batches(batches, 4096, "text"):
         ids, starts, ends = [], [], []
         for i, text, layout in zip(t.column("doc_id").to_pylist(), t.column("text").to_pylist(), t.column("layout").to_pylist()):
             units = sentences(text, layout)
