@@ -472,3 +472,32 @@ def spaced(ra: np.ndarray, dec: np.ndarray, radius: float, most: int = 40) -> li
             if len(taken) >= most:
                 break
     return taken
+
+
+# ---- residuals ------------------------------------------------------------------------------
+
+
+def local_centroid(px: np.ndarray, x: float, y: float, half: int = 6, least_snr: float = 4.0) -> tuple[float, float] | None:
+    """Light centroid of the bright core in a box around a place; None at the border or without a star."""
+    i, j = round(y), round(x)
+    if i < half or j < half or i + half >= px.shape[0] or j + half >= px.shape[1]:
+        return None
+    box = px[i - half : i + half + 1, j - half : j + half + 1].astype(float)
+    level = np.median(box)
+    noise = max(1e-9, 1.4826 * np.median(np.abs(box - level)))
+    light = box - level
+    if light.max() < least_snr * noise:
+        return None
+    core = np.where(light > 0.25 * light.max(), light, 0.0)
+    yy, xx = np.mgrid[-half : half + 1, -half : half + 1]
+    return j + float((xx * core).sum() / core.sum()), i + float((yy * core).sum() / core.sum())
+
+
+def residual_vectors(px: np.ndarray, wcs: Solution, ra, dec, most: float = 4.0) -> np.ndarray:
+    """Rows (x, y, dx, dy): where catalogue stars are predicted, and how far their light is from there."""
+    rows = []
+    for x, y in zip(*wcs.to_pixel(ra, dec)):
+        at = local_centroid(px, x, y) if np.isfinite(x) and np.isfinite(y) else None
+        if at is not None and abs(at[0] - x) <= most and abs(at[1] - y) <= most:
+            rows.append((x, y, at[0] - x, at[1] - y))
+    return np.array(rows).reshape(-1, 4)
