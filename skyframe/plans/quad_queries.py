@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codec, sphere
 from ..operators import catalog, matching, quads
-from ..session import table
+from ..session import cut, table
 from .catalog_queries import CONE, LINES_TO_PLANE, NSIDE, SEP, STARS, discs, micro, stars
 from .frame_queries import FRAMES, PTS, frames, points
 
@@ -105,7 +105,7 @@ def vote_histogram(spark, d):
 
 
 def _won(spark, d):
-    m = _matches(spark, d)
+    m = cut(_matches(spark, d))
     return matching.winners(m, matching.winning_bin(matching.votes(m, KEYS), KEYS, 1), KEYS)
 
 
