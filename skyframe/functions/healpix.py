@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -113,12 +114,17 @@ def centres(nside: int) -> tuple[np.ndarray, np.ndarray]:
     return ((lon - (odd + 1) * 0.5) * (90.0 / k)) % 360.0, np.degrees(np.arcsin(z))
 
 
+@lru_cache(maxsize=4)
+def _centre_vectors(nside: int) -> np.ndarray:
+    ra, dec = (np.radians(v) for v in centres(nside))
+    return np.stack([np.cos(dec) * np.cos(ra), np.cos(dec) * np.sin(ra), np.sin(dec)], axis=1)
+
+
 def cells_in_disc(nside: int, ra: float, dec: float, radius: float) -> list[int]:
     """Cells that may hold points of the disc, ascending: a padded superset of the true cover."""
-    if radius >= 180:
+    limit = radius + cell_radius(nside)
+    if limit >= 180:
         return list(range(cells(nside)))
-    r, d = (np.radians(v) for v in centres(nside))
-    a, b = math.radians(ra), math.radians(dec)
-    h = np.sin((d - b) / 2) ** 2 + np.cos(d) * math.cos(b) * np.sin((r - a) / 2) ** 2
-    sep = np.degrees(2 * np.arcsin(np.minimum(1, np.sqrt(h))))
-    return np.flatnonzero(sep <= radius + cell_radius(nside)).tolist()
+    r, d = math.radians(ra), math.radians(dec)
+    middle = np.array([math.cos(d) * math.cos(r), math.cos(d) * math.sin(r), math.sin(d)])
+    return np.flatnonzero(_centre_vectors(nside) @ middle >= math.cos(math.radians(limit)) - 1e-12).tolist()
