@@ -3,8 +3,9 @@
 Both sides are folded (compatibility forms, case, invisible characters) and turned into words,
 or into single letters and digits for texts without word spaces. Every window of the asked
 length of a passage contributes its rarest n-gram, by document frequency in the whole corpus, as
-a seed; a document that holds the window holds the seed, so nothing is lost. Documents with a
-seed are aligned with the item (Smith-Waterman), which also scores edited copies.
+a seed; a document that holds the window holds the seed, so no full window is lost. An edited
+copy may lack just the rare n-grams, so for scores every n-gram that some document holds is a
+seed. Documents with a seed are aligned with the item (Smith-Waterman).
 """
 
 from __future__ import annotations
@@ -165,17 +166,20 @@ class TestSet:
         first = np.searchsorted(t.doc, np.arange(len(rows) + 1))
         return cls(kind, [i for i, _ in rows], t, first, np.unique(t.grams(SEED[kind])[0]))
 
-    def choose(self, frequency: dict[int, int]) -> None:
-        """Of each window keep the n-gram that the fewest documents hold."""
+    def choose(self, frequency: dict[int, int], edited: bool) -> None:
+        """Keep all n-grams that documents hold, or of each window the one that the fewest hold."""
         n, w = SEED[self.kind], WINDOW[self.kind]
         g, at = self.words.grams(n)
         rare = np.array([frequency.get(int(x), 0) for x in g], np.int64)
-        chosen = set()
-        where = {int(p): k for k, p in enumerate(at)}
-        for i in range(len(self.ids)):
-            for p in range(int(self.first[i]), int(self.first[i + 1]) - w + 1):
-                chosen.add(min((where[q] for q in range(p, p + w - n + 1)), key=lambda k: (rare[k], g[k])))
-        keep = np.array(sorted(chosen), np.int64)
+        if edited:
+            keep = np.flatnonzero(rare > 0)
+        else:
+            chosen = set()
+            where = {int(p): k for k, p in enumerate(at)}
+            for i in range(len(self.ids)):
+                for p in range(int(self.first[i]), int(self.first[i + 1]) - w + 1):
+                    chosen.add(min((where[q] for q in range(p, p + w - n + 1)), key=lambda k: (rare[k], g[k])))
+            keep = np.array(sorted(chosen), np.int64)
         order = keep[np.argsort(g[keep], kind="stable")]
         self.seeds, self.posting = np.unique(g[order], return_index=True)
         self.posting = np.append(self.posting, len(order))
@@ -265,14 +269,17 @@ def _blocks(items: DataFrame) -> list[DataFrame]:
     return [items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) for k in range(n)] if n > 1 else [items]
 
 
-def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, edited: bool = True) -> DataFrame:
     """Each document with each item of which it holds a seed, scored.
 
+    With ``edited`` these are all pairs that share an n-gram of the seed's length (6 words, 12
+    letters), otherwise at least all that share a full window.
+
     ``longest_run`` is the longest run of consecutive equal tokens on the seeds' diagonals
     (12 words, or 24 letters for ja and zh, make a leak), ``score`` the best local alignment
     with the whole item of ``item_tokens`` tokens. The passages are sent to all tasks in blocks
     of a bounded size; documents are read twice per block and never shuffled. Passages shorter
-    than the window can match nothing. Null or empty texts and passages match nothing; repeated
+    than a seed (without ``edited``, than the window) can match nothing. Null or empty texts and passages match nothing; repeated
     rows count once. Documents may be of any length; no candidate is left out.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
@@ -289,7 +296,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
         for r in counted.collect():  # at most one row per n-gram of the block's passages
             frequency.setdefault(r["kind"], {})[r["gram"] % (1 << 64)] = r["docs"]
         for s in sets:
-            s.choose(frequency.get(s.kind, {}))
+            s.choose(frequency.get(s.kind, {}), edited)
         parts.append(docs.mapInArrow(_align([s for s in sets if len(s.seeds)]), FOUND))
     if not parts:
         return documents.sparkSession.createDataFrame([], FOUND)

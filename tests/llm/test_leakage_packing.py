@@ -40,6 +40,19 @@ def test_edited_copies_are_scored(spark):
     assert r["item_tokens"] == 60 and 50 <= r["score"] < 60 and r["longest_run"] == 38
 
 
+def test_edited_copies_without_an_intact_window_are_scored(spark):
+    copy = words(60).split()
+    copy[9::10] = ["other"] * 6
+    letters = list(CJK)
+    letters[20:22] = "尾尾"
+    _, df = found(spark, [(1, " ".join(copy)), (2, PASSAGE), (3, "".join(letters))], [(1, "en", PASSAGE), (2, "zh", CJK)])
+    got = {(r["doc_id"], r["item_id"]): r for r in df.collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 2)}
+    # 54 words agree and 6 differ, but the last is at the end
+    assert got[1, 1]["longest_run"] == 9 and got[1, 1]["score"] == 54 - 5
+    assert got[3, 2]["longest_run"] == 20
+
+
 def test_items_that_share_a_sentence_and_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(leakage, "BLOCK_CHARS", 100)
     other = PASSAGE + ". " + ". ".join(WORDS[40:])
