@@ -295,42 +295,83 @@ def match_quads(ix, iy, iq: Quads, cx, cy, cq: Quads, tol: float = 0.02, expecte
     return both[order][one]
 
 
-def match_pairs(ix, iy, cx, cy, expected: float, tol_px: float = 2.5, scale_tol: float = 0.005, most: int = 80, min_inliers: int = 8, enough: int = 24):
+class Near:
+    """Exact nearest-within-``tol`` lookup: a raster names the points that any place of a cell may be near."""
+
+    def __init__(self, z: np.ndarray, tol: float):
+        self.z, self.tol = z, tol
+        self.x0, self.y0 = z.real.min(), z.imag.min()
+        wide, high = np.ptp(z.real), np.ptp(z.imag)
+        self.cell = max(tol, wide / 2048, high / 2048)
+        self.nx, self.ny = int(wide / self.cell) + 5, int(high / self.cell) + 5
+        lists: dict[tuple[int, int], list[int]] = {}
+        for i, (x, y) in enumerate(zip(*self._cells(z))):
+            for dy in (-1, 0, 1):
+                for dx in (-1, 0, 1):
+                    lists.setdefault((y + dy, x + dx), []).append(i)
+        self.slot = np.full((self.ny, self.nx), -1, np.int32)
+        most = max(map(len, lists.values()))
+        self.names = np.array([v + v[:1] * (most - len(v)) for v in lists.values()])
+        for k, at in enumerate(lists):
+            self.slot[at] = k
+
+    def _cells(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # points lie in cells from 2 on; the border cells are empty
+        return (np.clip((v - o) / self.cell + 2, 0, n - 1).astype(np.int64) for v, o, n in ((at.real, self.x0, self.nx), (at.imag, self.y0, self.ny)))
+
+    def __call__(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, column and nearest point of each place of ``at`` that has one."""
+        x, y = self._cells(at)
+        slot = self.slot[y, x]
+        r, c = np.nonzero(slot >= 0)
+        names = self.names[slot[r, c]]
+        dist = np.abs(self.z[names] - at[r, c][:, None])
+        best = dist.argmin(1)
+        ok = dist[np.arange(len(r)), best] <= self.tol
+        return r[ok], c[ok], names[ok, best[ok]]
+
+
+def match_pairs(ix, iy, cx, cy, expected: float, tol_px: float = 2.5, scale_tol: float = 0.005, most: int = 80, min_inliers: int = 8, enough: int = 24, ceiling: int = 40_000_000):
     """Stars paired by hypotheses from pairs of equal separation; None without a clear winner.
 
-    Pairs of the strongest stars are tried from the widest on; the search ends once a
-    hypothesis has ``enough`` inliers.
+    All pairs of the ``most`` strongest stars from 20 tolerances up are tried, the narrowest first,
+    against all pairs of the catalogue's brightest; two stars of each fix shift, rotation and scale,
+    in either order and parity. The search ends early once a hypothesis has ``enough`` inliers, or
+    after ``ceiling`` hypotheses.
     """
     n, m = min(len(ix), most), min(len(cx), max(60, min(300, 4 * len(ix))))
-    px, py, sx, sy = ix[:n], iy[:n], cx[:m] / expected, cy[:m] / expected
-    a, b = np.triu_indices(m, 1)
-    sep = np.hypot(sx[a] - sx[b], sy[a] - sy[b])
-    order = np.argsort(sep)
-    a, b, sep = a[order], b[order], sep[order]
-    i, j = np.triu_indices(n, 1)
-    d = np.hypot(px[i] - px[j], py[i] - py[j])
-    wide = np.argsort(-d)[:600]
-    best = (0, None)
-    z, image = sx + 1j * sy, px + 1j * py
-    for k in wide:
-        lo, hi = np.searchsorted(sep, [d[k] - tol_px - d[k] * scale_tol, d[k] + tol_px + d[k] * scale_tol])
-        if hi <= lo:
-            continue
-        for sky in (z, -np.conj(z)):
-            for u, w in ((a[lo:hi], b[lo:hi]), (b[lo:hi], a[lo:hi])):
-                turn = (image[i[k]] - image[j[k]]) / (sky[u] - sky[w])
-                turn = turn / np.abs(turn)
-                shift = image[i[k]] - turn * sky[u]
-                for h in range(0, len(u), 64):
-                    at = turn[h : h + 64, None] * sky + shift[h : h + 64, None]
-                    dist = np.abs(at[:, :, None] - image[None, None, :])
-                    hit = (dist.min(1) <= tol_px).sum(1)
-                    top = int(hit.argmax())
-                    if hit[top] > best[0]:
-                        close = dist[top].argmin(0)
-                        good = dist[top].min(0) <= tol_px
-                        best = (int(hit[top]), np.stack([np.flatnonzero(good), close[good]], axis=1))
-        if best[0] >= enough:
+    if n < 4 or m < 4 or not expected > 0:
+        return None
+    z, image = (np.asarray(cx[:m]) + 1j * np.asarray(cy[:m])) / expected, np.asarray(ix[:n]) + 1j * np.asarray(iy[:n])
+
+    def separations(p):
+        a, b = np.triu_indices(len(p), 1)
+        sep = np.abs(p[a] - p[b])
+        order = np.argsort(sep, kind="stable")
+        order = order[sep[order] >= 20 * tol_px]
+        return a[order], b[order], sep[order]
+
+    a, b, sep = separations(z)
+    i, j, d = separations(image)
+    half = tol_px + d * scale_tol
+    low, high = np.searchsorted(sep, d - half), np.searchsorted(sep, d + half, side="right")
+    near, tested, best = Near(z, tol_px), 0, (0, None)
+    for k in np.flatnonzero(high > low):
+        lo, hi = low[k], min(high[k], low[k] + (ceiling - tested) // 4)
+        tested += 4 * (hi - lo)
+        u, w = np.stack([a[lo:hi], b[lo:hi]], axis=1).ravel(), np.stack([b[lo:hi], a[lo:hi]], axis=1).ravel()
+        for h in range(0, len(u), 4096):
+            first, last = np.repeat(u[h : h + 4096], 2), np.repeat(w[h : h + 4096], 2)
+            # every other hypothesis is the mirrored one
+            offset = np.stack([image - image[i[k]], np.conj(image - image[i[k]])])
+            offset = offset / offset[:, j[k], None]
+            at = ((z[last] - z[first]).reshape(-1, 2, 1) * offset + z[first].reshape(-1, 2, 1)).reshape(-1, n)
+            r, c, got = near(at)
+            hit = np.bincount(r, minlength=len(first))
+            top = int(hit.argmax())
+            if hit[top] > best[0]:
+                best = (int(hit[top]), np.stack([c[r == top], got[r == top]], axis=1))
+        if best[0] >= enough or tested + 4 > ceiling:
             break
     return best[1] if best[0] >= min_inliers else None
 

@@ -39,6 +39,28 @@ def test_pairs_find_a_small_rotation():
     assert got is not None and (got[:, 0] == got[:, 1]).sum() >= 24
 
 
+@pytest.mark.parametrize("mirrored", [False, True])
+def test_pairs_within_a_small_catalogue_disc(mirrored):
+    # 80 stars, of which the catalogue has those within 140 pixels of the centre, so its widest pair is below 280 pixels
+    rng = np.random.default_rng(11)
+    x, y = rng.uniform(0, 640, 80), rng.uniform(0, 480, 80)
+    inside = np.flatnonzero(np.hypot(x - 320, y - 240) <= 140)
+    z = (x[inside] + 1j * y[inside]) * np.exp(1j * 2.1)
+    z = -np.conj(z) if mirrored else z
+    got = plate.match_pairs(x, y, z.real * 0.001, z.imag * 0.001, 0.001)
+    assert got is not None and 8 <= len(inside) < 24 and (got[:, 0] == inside[got[:, 1]]).sum() == len(inside)
+
+
+def test_nearest_lookup_against_all_distances():
+    rng = np.random.default_rng(12)
+    z, at = (rng.uniform(0, 60, n) + 1j * rng.uniform(0, 40, n) for n in (50, 600))
+    at = at.reshape(20, 30) * 1.2 - 5
+    dist = np.abs(at[:, :, None] - z)
+    r, c = np.nonzero(dist.min(2) <= 2.5)
+    got = plate.Near(z, 2.5)(at)
+    assert np.array_equal(got[0], r) and np.array_equal(got[1], c) and np.array_equal(got[2], dist.argmin(2)[r, c])
+
+
 def test_a_flat_image_has_no_stars():
     got = plate.extract(np.full((64, 64), 1000.0, np.float32), plate.ExtractParams())
     assert len(got) == 0
