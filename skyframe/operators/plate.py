@@ -257,6 +257,20 @@ def build_quads(x: np.ndarray, y: np.ndarray, k: int = 6, limit: int = 600) -> Q
     return Quads(idx[order], code[order], diag[order])
 
 
+def merged_votes(key: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Votes of each bin (scale, rotation, parity) with those of all bins at most one step away; rotation wraps at 72."""
+    code = lambda ds, dr: ((key[:, 0] - key[:, 0].min() + 1 + ds) * 2 + key[:, 2]) * 512 + key[:, 1] + dr + 128
+    own = code(0, 0)
+    order = np.argsort(own)
+    merged = np.zeros(len(key), np.int64)
+    for ds in (-1, 0, 1):
+        for dr in (-72, -71, -1, 0, 1, 71, 72):
+            want = code(ds, dr)
+            at = order[np.minimum(np.searchsorted(own, want, sorter=order), len(own) - 1)]
+            merged += np.where(own[at] == want, count[at], 0)
+    return merged
+
+
 def match_quads(ix, iy, iq: Quads, cx, cy, cq: Quads, tol: float = 0.02, expected: float | None = None, scale_tol: float = 0.05, min_votes: int = 4):
     """Image and catalogue stars paired by the patterns that agree in code, scale and rotation; None if too few."""
     found = []
@@ -277,16 +291,14 @@ def match_quads(ix, iy, iq: Quads, cx, cy, cq: Quads, tol: float = 0.02, expecte
     v = np.concatenate(found)
     if not len(v):
         return None
-    bins = np.floor(v[:, :2] + 0.5).astype(int)
-    key, inverse, count = np.unique(np.column_stack([bins, v[:, 2].astype(int)]), axis=0, return_inverse=True, return_counts=True)
-    best, chosen = -1, None
-    for j in np.argsort(-count, kind="stable")[:64]:
-        dr = np.abs(key[:, 1] - key[j, 1])
-        around = (key[:, 2] == key[j, 2]) & (np.abs(key[:, 0] - key[j, 0]) <= 1) & (np.minimum(dr, 72 - dr) <= 1)
-        if count[around].sum() > best:
-            best, chosen = int(count[around].sum()), around
-    if best < min_votes:
+    v = v[np.lexsort((v[:, 2], v[:, 4], v[:, 3]))]
+    key, first, inverse, count = np.unique(np.column_stack([np.floor(v[:, :2] + 0.5), v[:, 2]]).astype(int), axis=0, return_index=True, return_inverse=True, return_counts=True)
+    merged = merged_votes(key, count)
+    j = np.lexsort((first, -merged))[0]  # a tie goes to the bin seen first
+    if merged[j] < min_votes:
         return None
+    dr = np.abs(key[:, 1] - key[j, 1])
+    chosen = (key[:, 2] == key[j, 2]) & (np.abs(key[:, 0] - key[j, 0]) <= 1) & (np.minimum(dr, 72 - dr) <= 1)
     won = v[chosen[inverse.ravel()]]
     pairs = np.stack([iq.idx[won[:, 3].astype(int)].ravel(), cq.idx[won[:, 4].astype(int)].ravel()], axis=1)
     both, first, n = np.unique(pairs, axis=0, return_index=True, return_counts=True)

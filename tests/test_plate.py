@@ -51,6 +51,28 @@ def test_pairs_within_a_small_catalogue_disc(mirrored):
     assert got is not None and 8 <= len(inside) < 24 and (got[:, 0] == inside[got[:, 1]]).sum() == len(inside)
 
 
+def test_a_cluster_over_nine_small_bins_wins():
+    # two votes in each of nine bins around (0, 20), and three in each of 80 bins far from one another
+    bins = [(i, 20 + j) for i in (-1, 0, 1) for j in (-1, 0, 1) for _ in range(2)] + [(100 + 10 * k, 40) for k in range(80) for _ in range(3)]
+    n = len(bins)
+    code = np.arange(n)[:, None] * 0.1 + 10 + np.zeros(4)  # each image pattern agrees with one catalogue pattern
+    turn = np.radians([5.0 * b for _, b in bins])
+    idx = np.arange(4 * n).reshape(n, 4)
+    x, y, cx, cy = (np.tile([0.0, 1, 2, 3], n), np.tile([0.0, 0, 1, 5], n), np.zeros(4 * n), np.zeros(4 * n))
+    cx[1::4], cy[1::4], cx[2::4], cy[3::4] = np.cos(turn), np.sin(turn), 5, 7
+    got = plate.match_quads(x, y, plate.Quads(idx, code, np.ones(n)), cx, cy, plate.Quads(idx, code, np.exp([0.02 * a for a, _ in bins])))
+    assert got is not None and sorted(got[:, 0]) == list(range(18 * 4)) and (got[:, 0] == got[:, 1]).all()
+
+
+def test_merged_votes_against_all_pairs():
+    rng = np.random.default_rng(13)
+    key = np.unique(np.column_stack([rng.integers(-4, 4, 300), rng.choice([0, 1, 2, 70, 71, 72], 300), rng.integers(0, 2, 300)]), axis=0)
+    count = rng.integers(1, 9, len(key))
+    dr = np.abs(key[:, None, 1] - key[:, 1])
+    near = (np.abs(key[:, None, 0] - key[:, 0]) <= 1) & (np.minimum(dr, 72 - dr) <= 1) & (key[:, None, 2] == key[:, 2])
+    assert (plate.merged_votes(key, count) == (near * count).sum(1)).all()
+
+
 def test_nearest_lookup_against_all_distances():
     rng = np.random.default_rng(12)
     z, at = (rng.uniform(0, 60, n) + 1j * rng.uniform(0, 40, n) for n in (50, 600))
