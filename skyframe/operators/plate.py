@@ -519,14 +519,24 @@ def candidate_fit(ix, iy, iq_diag: float, ra, dec, shape_tol: float = 0.01) -> F
 def spaced(ra: np.ndarray, dec: np.ndarray, radius: float, most: int = 40) -> list[int]:
     """Greedy choice in the given order: skip places within the radius of one already taken."""
     taken: list[int] = []
-    for i in range(len(ra)):
-        if all(separation(ra[i], dec[i], ra[j], dec[j]) > radius for j in taken):
-            taken.append(i)
-            if len(taken) >= most:
-                break
+    left = np.arange(len(ra))
+    while len(left) and len(taken) < most:
+        i = int(left[0])
+        taken.append(i)
+        left = left[1:][separation(ra[i], dec[i], ra[left[1:]], dec[left[1:]]) > radius]
     return taken
 
 
+def by_neighbours(ra: np.ndarray, dec: np.ndarray, rms: np.ndarray, radius: float) -> np.ndarray:
+    """Places in the order of how many lie within the radius, then of the fit's rms, then of position; none is left out."""
+    order = np.argsort(dec, kind="stable")
+    r, d = ra[order], dec[order]
+    low, high = np.searchsorted(d, d - radius - 1e-9), np.searchsorted(d, d + radius + 1e-9, side="right")
+    near = np.empty(len(ra), np.int64)
+    near[order] = [(separation(r[i], d[i], r[a:b], d[a:b]) <= radius).sum() for i, (a, b) in enumerate(zip(low, high))]
+    return np.lexsort((dec, ra, rms, -near))
+
+
 # ---- residuals ------------------------------------------------------------------------------
 
 

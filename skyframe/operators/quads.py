@@ -99,6 +99,12 @@ def with_code(df: DataFrame, p: str = "p", code: str = "code", mirrored: bool =
     return df.mapInArrow(run, schema)
 
 
+def mirrored_codes(code: np.ndarray) -> np.ndarray:
+    """Codes (n, 4) of the mirrored patterns; a code is itself a mirrored picture of its pattern's points."""
+    zero = np.zeros(len(code))
+    return canonical_codes(np.stack([zero, zero + 1, code[:, 0], code[:, 2]], axis=1), np.stack([zero, zero + 1, code[:, 1], code[:, 3]], axis=1))[0]
+
+
 def interleave(quads: DataFrame, keys: list[str], limit: int, within: list[Column] | None = None) -> DataFrame:
     """The first ``limit`` patterns of each key, one rank of every seed before the next rank."""
     r = F.row_number().over(Window.partitionBy(*keys, "seed").orderBy(*(within or [F.col("ord")])))

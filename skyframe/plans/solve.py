@@ -152,9 +152,9 @@ def solve_frames(files: DataFrame, stars: DataFrame, nside: int = 64, params: pl
 def solve_blind(frames: DataFrame, stars: DataFrame, quad_index: DataFrame, nside: int = 64, tol: float = 0.02) -> DataFrame:
     """Solve frames without a usable pointing through their patterns' codes.
 
-    Image patterns meet the index by the binned code join; candidates whose four stars fit give
-    centres, which are ranked by how many others lie near, thinned out, and each is solved
-    against its own catalogue. The gate rises with the number of candidates offered, and the
+    Image patterns meet the index, as it is and mirrored, by the binned code join; candidates whose
+    four stars fit give centres, which are all ranked by how many others lie near and then by
+    the fit's rms, thinned out, and each is solved against its own catalogue. The gate rises with the number of candidates offered, and the
     four stars of the fit are no evidence.
     """
     shape = "path string, iq int, code array<double>, diag double, px array<double>, py array<double>"
@@ -172,8 +172,16 @@ def solve_blind(frames: DataFrame, stars: DataFrame, quad_index: DataFrame, nsid
 
     usable = frames.where("reason is null and size(stars) >= 4")
     codes = usable.select("path", "stars").mapInPandas(image, shape)
+
+    def parities(batches):
+        for pdf in batches:
+            mirrored = quads.mirrored_codes(np.array(pdf.rcode.tolist()).reshape(-1, 4))
+            yield pd.concat([pdf, pdf.assign(rcode=list(mirrored))[np.isfinite(mirrored[:, 0])]])
+
     index = quad_index.select(F.col("code").alias("rcode"), "stars", F.monotonically_increasing_id().alias("cand"))
-    offered = cut(quads.code_join(codes, index, tol).select("path", "iq", "diag", "px", "py", "stars", "cand"))
+    index = index.mapInPandas(parities, index.schema)
+    # a pattern near its mirror image may agree in both parities, but is offered once
+    offered = cut(quads.code_join(codes, index, tol).select("path", "iq", "diag", "px", "py", "stars", "cand").dropDuplicates(["path", "iq", "cand"]))
     total = offered.groupBy("path").agg(F.count(F.lit(1)).alias("offered"))
     at = offered.select("path", "iq", "cand", F.posexplode("stars").alias("k", "star_id")).join(stars.select("star_id", "ra", "dec"), "star_id")
     placed = at.groupBy("path", "iq", "cand").agg(F.array_sort(F.collect_list(F.struct("k", "ra", "dec"))).alias("sky")).where(F.size("sky") == 4)
@@ -187,17 +195,14 @@ def solve_blind(frames: DataFrame, stars: DataFrame, quad_index: DataFrame, nsid
                 f = plate.candidate_fit(np.array(r.px), np.array(r.py), r.diag, ra, dec)
                 if f is not None:
                     a, b = f.wcs.to_sky((r.nx - 1) / 2, (r.ny - 1) / 2)
-                    rows.append((r.path, float(a), float(b), f.wcs.scale))
-            yield pd.DataFrame(rows, columns=["path", "ra0", "dec0", "found_scale"])
+                    rows.append((r.path, float(a), float(b), f.wcs.scale, f.rms_deg))
+            yield pd.DataFrame(rows, columns=["path", "ra0", "dec0", "found_scale", "rms"])
 
-    centres = tested.select("path", "diag", "px", "py", "sky", "nx", "ny").mapInPandas(fit, "path string, ra0 double, dec0 double, found_scale double")
+    centres = tested.select("path", "diag", "px", "py", "sky", "nx", "ny").mapInPandas(fit, "path string, ra0 double, dec0 double, found_scale double, rms double")
 
     def thin(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        # the four thousand best-agreeing scales bound the pairs looked at
-        pdf = pdf.assign(off=(pdf.found_scale / pdf.found_scale.median() - 1).abs()).nsmallest(4000, "off")
         ra, dec = pdf.ra0.to_numpy(), pdf.dec0.to_numpy()
-        near = np.array([(plate.separation(a, b, ra, dec) <= 0.2).sum() for a, b in zip(ra, dec)])
-        order = np.argsort(-near, kind="stable")
+        order = plate.by_neighbours(ra, dec, pdf.rms.to_numpy(), 0.2)
         keep = order[plate.spaced(ra[order], dec[order], 0.2)]
         return pd.DataFrame({"path": key[0], "k": range(len(keep)), "ra0": ra[keep], "dec0": dec[keep], "found_scale": pdf.found_scale.to_numpy()[keep]})
 

@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from skyframe.operators import plate
+from skyframe.operators import plate, quads
 from skyframe.sources import fits, sidecar
 
 
@@ -147,6 +147,21 @@ def test_sidecars():
     assert len(sidecar.card_block(cards)) % 2880 == 0 and all(len(sidecar.card(n, v)) == 80 for n, v in cards)
 
 
+def test_centres_are_ranked_by_neighbours_then_rms():
+    rng = np.random.default_rng(14)
+    ra, dec = np.append(rng.uniform(0, 360, 900), rng.normal(10, 0.05, 30) % 360), np.append(rng.uniform(-89, 89, 900), rng.normal(80, 0.02, 30))
+    rms = rng.permutation(930).astype(float)
+    near = np.array([(plate.separation(a, b, ra, dec) <= 0.2).sum() for a, b in zip(ra, dec)])
+    order = plate.by_neighbours(ra, dec, rms, 0.2)
+    assert list(order) == sorted(range(930), key=lambda i: (-near[i], rms[i])) and order[0] >= 900
+
+
+def test_mirrored_codes():
+    x, y = np.random.default_rng(15).normal(size=(2, 200, 4))
+    code, mirrored = quads.canonical_codes(x, y)[0], quads.canonical_codes(-x, y)[0]
+    assert np.isfinite(code).all() and np.allclose(quads.mirrored_codes(code), mirrored, atol=1e-11)
+
+
 def test_spaced_choice():
     assert plate.spaced(np.array([0.0, 0.01, 5.0]), np.zeros(3), 0.1) == [0, 2]
     assert math.isclose(plate.separation(0, 0, 90, 0), 90.0)
