@@ -10,6 +10,8 @@ MICRON_PER_MM = 206.265
 RADIUS_MARGIN = 1.10
 DEFAULT_RADIUS = 2.5
 MONTH_DAYS = 30.4375
+#: No frame's catalogue has more stars.
+MOST_STARS = 5000
 
 #: Reasons of a failed attempt (fixed values).
 REASONS = """
@@ -46,7 +48,7 @@ def search_radius(width: Column, height: Column) -> Column:
 
 
 def catalogue_limit(usable: Column) -> Column:
-    return F.greatest(F.lit(300), F.least(F.lit(5000), usable * 3))
+    return F.greatest(F.lit(300), F.least(F.lit(MOST_STARS), usable * 3))
 
 
 def sexagesimal(text: Column) -> Column:

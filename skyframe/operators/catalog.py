@@ -112,13 +112,16 @@ def cone_search(stars: DataFrame, discs: DataFrame, nside: int = 64) -> DataFram
 BRIGHTEST = ["mag_milli", "cell", "star_id"]
 
 
-def brightest(cone: DataFrame, k: int) -> DataFrame:
-    """The k brightest stars of each disc; ties by cell, then star. The limit is pushed below the shuffle."""
+def brightest(cone: DataFrame, k: int | Column, bound: int | None = None) -> DataFrame:
+    """The k brightest stars of each disc; ties by cell, then star. The limit is pushed below the shuffle.
+
+    A column k is each disc's own limit; then a ``bound`` that no limit exceeds is what is pushed.
+    """
     order = F.row_number().over(Window.partitionBy("disc_id").orderBy(*BRIGHTEST))
-    return cone.withColumn("rank", order).where(F.col("rank") <= k)
+    return cone.withColumn("rank", order).where(F.col("rank") <= (k if bound is None else bound)).where(F.col("rank") <= k)
 
 
-def stratified(cone: DataFrame, k: int) -> DataFrame:
+def stratified(cone: DataFrame, k: int | Column, bound: int | None = None) -> DataFrame:
     """k stars of each disc taken in rounds, the brightest unused star of every cell per round.
 
     The first window keeps at most k stars of a cell before the second one orders the rounds.
@@ -126,7 +129,7 @@ def stratified(cone: DataFrame, k: int) -> DataFrame:
     """
     rnd = F.row_number().over(Window.partitionBy("disc_id", "cell").orderBy("mag_milli", "star_id"))
     turn = F.row_number().over(Window.partitionBy("disc_id").orderBy("round", "cell"))
-    taken = cone.withColumn("round", rnd).where(F.col("round") <= k).withColumn("turn", turn).where(F.col("turn") <= k)
+    taken = cone.withColumn("round", rnd).where(F.col("round") <= (k if bound is None else bound)).where(F.col("round") <= k).withColumn("turn", turn).where(F.col("turn") <= k)
     return taken.withColumn("rank", F.row_number().over(Window.partitionBy("disc_id").orderBy(*BRIGHTEST))).drop("round", "turn")
 
 
@@ -148,17 +151,19 @@ def concentration(selected: DataFrame, nside: int = 64) -> DataFrame:
     return total.select("disc_id", "n", "busiest", (F.col("busiest") / (F.col("n") / F.col("cells"))).alias("concentration"), (F.col("n") >= F.col("cells")).alias("meaningful"))
 
 
-def select_catalogue(cone: DataFrame, limit: int, nside: int = 64, threshold: float = 2.0, max_mag: float | None = None) -> DataFrame:
+def select_catalogue(cone: DataFrame, limit: int | Column, nside: int = 64, threshold: float = 2.0, max_mag: float | None = None, bound: int | None = None) -> DataFrame:
     """Brightest stars of each disc, or a stratified choice where those crowd into few cells.
 
+    ``limit`` may be a column of the cone with each disc's own limit, none above ``bound``.
+
     The magnitude cap applies after the limit and before the concentration is taken, as the
     selection's definition demands, so a cap can change which choice is made.
     """
     cap = F.lit(True) if max_mag is None else F.col("mag_milli") <= int(max(-32768, min(32767, max_mag * 1000)))
-    top = brightest(cone, limit).where(cap)
+    top = brightest(cone, limit, bound).where(cap)
     crowded = concentration(top, nside).where(F.col("meaningful") & (F.col("concentration") >= threshold)).select("disc_id")
     plain = top.join(crowded, "disc_id", "left_anti").withColumn("stratified", F.lit(False))
-    spread = stratified(cone.join(crowded, "disc_id", "left_semi"), limit).where(cap).withColumn("stratified", F.lit(True))
+    spread = stratified(cone.join(crowded, "disc_id", "left_semi"), limit, bound).where(cap).withColumn("stratified", F.lit(True))
     return plain.unionByName(spread)
 
 

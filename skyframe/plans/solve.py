@@ -72,8 +72,8 @@ def _radius(df: DataFrame, factor: float, scale: str) -> DataFrame:
 def catalogue_for(frames: DataFrame, stars: DataFrame, nside: int, epoch: float = 2016.0) -> DataFrame:
     """Catalogue stars for each frame (``path, ra0, dec0, radius, lim``), moved to its epoch, brightest first."""
     discs = frames.select(F.col("path").alias("disc_id"), "ra0", "dec0", "radius")
-    got = catalog.select_catalogue(catalog.cone_search(stars, discs, nside), 5000, nside)
-    got = got.join(frames.select(F.col("path").alias("disc_id"), "lim", "date_obs"), "disc_id").where(F.col("rank") <= F.col("lim"))
+    cone = catalog.cone_search(stars, discs, nside).join(frames.select(F.col("path").alias("disc_id"), "lim", "date_obs"), "disc_id")
+    got = catalog.select_catalogue(cone, F.col("lim"), nside, bound=frame.MOST_STARS)
     got = got.withColumns({"years": F.coalesce(frame.epoch_years(F.col("date_obs")) - epoch, F.lit(0.0)), "pmra": F.coalesce("pmra", F.lit(0.0)), "pmdec": F.coalesce("pmdec", F.lit(0.0))})
     ra, dec = sphere.moved(*map(F.col, ("ra", "dec", "pmra", "pmdec", "years")))
     return got.select("disc_id", "rank", ra.alias("cra"), dec.alias("cdec"))

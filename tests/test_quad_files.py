@@ -3,8 +3,9 @@ import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from skyframe.functions import sql
+from skyframe.functions import healpix, sql
 from skyframe.operators import catalog, plate, quads
+from skyframe.plans import solve
 from skyframe.session import cut
 from skyframe.sources import fits, logs
 from skyframe.sources import quad_files as qf
@@ -87,3 +88,20 @@ def test_bands_and_catalogue_selection(spark):
     want = sorted(cone.collect(), key=lambda r: (r["mag_milli"], r["cell"], r["star_id"]))[:20]
     assert top == [r["star_id"] for r in want]
     assert catalog.stratified(cone, 10**6).count() == cone.count()
+
+
+def test_each_frame_has_its_own_catalogue_limit(spark):
+    # 400 bright stars in one spot, 1500 faint ones around it
+    rng = np.random.default_rng(16)
+    ra, dec = np.append(rng.uniform(110, 110.05, 400), rng.uniform(108, 112, 1500)), np.append(rng.uniform(10, 10.05, 400), rng.uniform(8, 12, 1500))
+    rows = [(i, float(a), float(b), 5000 + i, 0.0, 0.0) for i, (a, b) in enumerate(zip(ra, dec))]
+    s = cut(healpix.with_cell(spark.createDataFrame(rows, "star_id long, ra double, dec double, mag_milli int, pmra double, pmdec double"), 64))
+    frames = spark.createDataFrame([("a", 110.0, 10.0, 2.0, 300, None), ("b", 110.0, 10.0, 2.0, 600, None)], "path string, ra0 double, dec0 double, radius double, lim int, date_obs string")
+    got = solve.catalogue_for(frames, s, 64).toPandas()
+    for path, lim in (("a", 300), ("b", 600)):
+        disc = frames.where(F.col("path") == path).select(F.col("path").alias("disc_id"), "ra0", "dec0", "radius")
+        want = catalog.select_catalogue(catalog.cone_search(s, disc, 64), lim).toPandas()
+        mine = got[got.disc_id == path]
+        assert want.stratified.all() and len(mine) == lim
+        assert sorted(mine.cra.round(9)) == sorted(want.ra.round(9))
+        assert ((mine.cra - 110.025).abs() < 0.025).sum() < lim / 4
