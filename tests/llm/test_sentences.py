@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from conftest import DATA
 
@@ -25,6 +27,14 @@ CASES = [
     ("prose", "# A heading\n\n- one item\n2. second item\nText.", ["# A heading", "- one item", "2. second item", "Text."]),
     ("wrapped", "A line that\ngoes on. Next\none.\n\nNew part", ["A line that\ngoes on.", "Next\none.", "New part"]),
     ("lines", "A. B.\r\n\n  C? D \n", ["A. B.", "C? D"]),
+    ("prose", "(see « « note. More text) and it went on. Next.", ["(see « « note. More text) and it went on.", "Next."]),
+    ("prose", "(see « « « « « « note. More text) and it went on. Next.", ["(see « « « « « « note. More text) and it went on.", "Next."]),
+    ("prose", "1. Setup\n1.1. Mount the camera. Check it.\n1.2. Heading\n2. Run it.", ["1. Setup", "1.1. Mount the camera.", "Check it.", "1.2. Heading", "2. Run it."]),
+    ("prose", "i. First item\nii. Second item\niii. Third. More.\niv. Item", ["i. First item", "ii. Second item", "iii. Third.", "More.", "iv. Item"]),
+    ("prose", "a. One\ni. Under one\nii. More\nb. Two", ["a. One", "i. Under one", "ii. More", "b. Two"]),
+    ("prose", "3.14. That was the value.\nmix. It was stirred.", ["3.14.", "That was the value.", "mix.", "It was stirred."]),
+    ("prose", "On 5. Oct. we saw it. Ver. 2.0.1 is out. Am 3. Okt. war es klar.", ["On 5. Oct. we saw it.", "Ver. 2.0.1 is out.", "Am 3. Okt. war es klar."]),
+    ("prose", "File " + "x" * 60 + "_1.Fit was read. Next.", ["File " + "x" * 60 + "_1.Fit was read.", "Next."]),
     ("prose", 'An "unclosed quote. And on. (Or this. End', ['An "unclosed quote.', "And on.", "(Or this.", "End"]),
 ]
 
@@ -51,6 +61,13 @@ def test_long_text_is_covered_once():
     assert not "".join(rest).strip() and not text[at:].strip()
 
 
+@pytest.mark.parametrize("text", ["_1.Ab" * 60_000, "(« " * 60_000 + ". " + ") " * 60_000, "am 5. " * 60_000, "a. " * 60_000, "x." * 60_000])
+def test_time_is_linear_in_the_length(text):
+    begin = time.process_time()
+    s.sentences(text, "prose")
+    assert time.process_time() - begin < 10
+
+
 def test_every_document_is_covered(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     got = {}
