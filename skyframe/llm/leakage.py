@@ -1,11 +1,13 @@
-"""Evaluation passages in training texts: rare n-gram seeds, then local alignment.
+"""Evaluation passages in training texts: rare n-gram seeds, then Smith-Waterman alignment.
 
 Both sides are folded (compatibility forms, case, invisible characters) and turned into words,
-or into single letters and digits for texts without word spaces. Every window of the asked
-length of a passage contributes its rarest n-gram, by document frequency in the whole corpus, as
-a seed; a document that holds the window holds the seed, so no full window is lost. An edited
-copy may lack just the rare n-grams, so for scores every n-gram that some document holds is a
-seed. Documents with a seed are aligned with the item (Smith-Waterman).
+or into single letters and digits for texts without word spaces. N-grams of the passages that
+few documents hold join passages with documents; the pairs are aligned, and the score of the
+best local alignment decides which of them leaked.
+
+For exact copies the seeds are six words (twelve letters): of every window of the asked length
+the rarest one, so no document with a full window is lost. Edited copies need seeds that
+survive edits: three words (four letters), all rare ones and the rarest three of every window.
 """
 
 from __future__ import annotations
@@ -23,9 +25,19 @@ from ..session import narrow_batches
 
 #: Languages whose passages are compared letter by letter.
 UNSPACED = ("ja", "zh")
-#: Consecutive words or letters that make a leak, and the length of a seed.
+#: Consecutive words or letters that make a leak. A local alignment with the score of an intact
+#: window (a match counts 1, a mismatch or gap -1) is taken as an edited copy.
 WINDOW = {"word": 12, "char": 24}
+#: Length of a seed for exact and for edited copies.
 SEED = {"word": 6, "char": 12}
+SHORT_SEED = {"word": 3, "char": 4}
+#: An n-gram is rare if at most this part of all documents hold it, or this many.
+RARE_PART = 0.001
+RARE_LEAST = 10
+#: Seeds of each window whatever their frequency.
+PER_WINDOW = 2
+#: Cells of a row of alignments that are filled side by side; one text may have more.
+CELLS_AT_ONCE = 1 << 17
 #: Passages of a block that may be sent to all tasks; a larger test set runs in several blocks.
 BLOCK_CHARS = 4_000_000
 DOCS_AT_ONCE = 1024
@@ -118,15 +130,37 @@ def tokens(folded: list[str], kind: str) -> Tokens:
     return Tokens(joined, hashed, np.searchsorted(bounds, start, side="right"), start, end)
 
 
-def smith_waterman(item: np.ndarray, text: np.ndarray) -> int:
-    """Best local alignment score (match 1, mismatch and gap -1), one vectorised row per item token."""
-    place = np.arange(1, len(text) + 1)
-    row, best = np.zeros(len(text) + 1, np.int64), 0
-    for x in item:
-        h = np.maximum(np.maximum(row[:-1] + np.where(text == x, 1, -1), row[1:] - 1), 0)
-        row[1:] = np.maximum.accumulate(h + place) - place
-        best = max(best, int(row.max()))
-    return best
+def smith_waterman(items: list[np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
+    """Best local alignment score (match 1, mismatch and gap -1) of each pair of token arrays.
+
+    Pairs of similar size are filled side by side, one vectorised row per item token; a single
+    pair may be of any size.
+    """
+    out = np.zeros(len(items), np.int64)
+    size = np.array([len(x) for x in texts], np.int64)
+    order = np.argsort(size, kind="stable")
+    lo = 0
+    while lo < len(order):
+        hi = lo + 1
+        while hi < len(order) and (hi - lo + 1) * (size[order[hi]] + 1) <= CELLS_AT_ONCE and size[order[hi]] <= 2 * size[order[lo]] + 64:
+            hi += 1
+        part = order[lo:hi]
+        high, wide = max(len(items[k]) for k in part), int(size[part[-1]])
+        want, have = np.zeros((len(part), high), np.uint64), np.ones((len(part), wide), np.uint64)
+        in_item, in_text = np.zeros((len(part), high), bool), np.zeros((len(part), wide), bool)
+        for r, k in enumerate(part):
+            want[r, : len(items[k])], have[r, : size[k]] = items[k], texts[k]
+            in_item[r, : len(items[k])], in_text[r, : size[k]] = True, True
+        place, one = np.arange(1, wide + 1, dtype=np.int32), np.int32(1)
+        row, best = np.zeros((len(part), wide + 1), np.int32), np.zeros(len(part), np.int32)
+        for j in range(high):
+            same = (have == want[:, j, None]) & in_text & in_item[:, j, None]
+            h = np.maximum(np.maximum(row[:, :-1] + np.where(same, one, -one), row[:, 1:] - one), 0)
+            row[:, 1:] = np.maximum.accumulate(h + place, axis=1) - place
+            best = np.maximum(best, row.max(1))
+        out[part] = best
+        lo = hi
+    return out
 
 
 def longest_common_run(a: np.ndarray, b: np.ndarray, shifts: np.ndarray) -> tuple[int, int, int]:
@@ -148,12 +182,19 @@ def longest_common_run(a: np.ndarray, b: np.ndarray, shifts: np.ndarray) -> tupl
 
 @dataclass
 class TestSet:
-    """Folded passages of one kind, their grams, and after :meth:`choose` the seeds with postings."""
+    """Folded passages of one kind, their grams, and after :meth:`choose` the seeds with postings.
+
+    ``length`` is that of a seed; a passage with fewer tokens is a seed as a whole.
+    """
 
     kind: str
+    length: int
     ids: list[int]
     words: Tokens
     first: np.ndarray
+    lengths: list[int] = field(default_factory=list)
+    hash: np.ndarray = field(default=None)
+    at: np.ndarray = field(default=None)
     grams: np.ndarray = field(default=None)
     seeds: np.ndarray = field(default=None)
     posting: np.ndarray = field(default=None)
@@ -161,30 +202,56 @@ class TestSet:
     seed_at: np.ndarray = field(default=None)
 
     @classmethod
-    def of(cls, kind: str, rows: list[tuple[int, str]]) -> TestSet:
+    def of(cls, kind: str, rows: list[tuple[int, str]], edited: bool) -> TestSet:
         t = tokens([fold(p) for _, p in rows], kind)
         first = np.searchsorted(t.doc, np.arange(len(rows) + 1))
-        return cls(kind, [i for i, _ in rows], t, first, np.unique(t.grams(SEED[kind])[0]))
-
-    def choose(self, frequency: dict[int, int], edited: bool) -> None:
-        """Keep all n-grams that documents hold, or of each window the one that the fewest hold."""
-        n, w = SEED[self.kind], WINDOW[self.kind]
-        g, at = self.words.grams(n)
-        rare = np.array([frequency.get(int(x), 0) for x in g], np.int64)
+        s = cls(kind, (SHORT_SEED if edited else SEED)[kind], [i for i, _ in rows], t, first)
+        own = np.minimum(np.diff(first), s.length)
+        s.lengths = sorted({int(n) for n in own if n > 0} if edited else {s.length})
+        parts = [(g[own[t.doc[at]] == n], at[own[t.doc[at]] == n]) for n in s.lengths for g, at in [t.grams(n)]]
+        s.hash, s.at = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (list(zip(*parts)) or [(), ()]))
+        order = np.argsort(s.at, kind="stable")
+        s.hash, s.at = s.hash[order], s.at[order]
+        s.grams = np.unique(s.hash)
+        return s
+
+    def grams_of(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and places of all grams of a text that may be seeds."""
+        parts = [t.grams(n) for n in self.lengths]
+        return np.concatenate([g for g, _ in parts]), np.concatenate([at for _, at in parts])
+
+    def need(self) -> np.ndarray:
+        """Score of each passage that makes a leak: that of an intact window, or of all of a shorter passage."""
+        return np.minimum(np.diff(self.first), WINDOW[self.kind])
+
+    def choose(self, frequency: dict[int, int], documents: int, edited: bool) -> None:
+        """Keep the rarest grams of each window, and with ``edited`` all rare ones; grams of no document are no seeds.
+
+        Frequencies are compared by their power of two: an edited copy of a passage that many
+        documents hold lacks some of its grams, which must not become the rarest for that.
+        """
+        df = np.array([frequency.get(int(x), 0) for x in self.hash], np.int64)
+        held = df > 0
+        chosen = held & (df <= max(RARE_LEAST, RARE_PART * documents)) if edited else np.zeros(len(df), bool)
+        rank = np.empty(len(df), np.int64)
+        rank[np.lexsort((self.hash, np.frexp(df)[1]))] = np.arange(len(df))
         if edited:
-            keep = np.flatnonzero(rare > 0)
-        else:
-            chosen = set()
-            where = {int(p): k for k, p in enumerate(at)}
-            for i in range(len(self.ids)):
-                for p in range(int(self.first[i]), int(self.first[i + 1]) - w + 1):
-                    chosen.add(min((where[q] for q in range(p, p + w - n + 1)), key=lambda k: (rare[k], g[k])))
-            keep = np.array(sorted(chosen), np.int64)
-        order = keep[np.argsort(g[keep], kind="stable")]
-        self.seeds, self.posting = np.unique(g[order], return_index=True)
+            rank[~held] = len(df)
+        bounds = np.searchsorted(self.words.doc[self.at], np.arange(len(self.ids) + 1))
+        for a, b in zip(bounds, bounds[1:]):
+            wide = WINDOW[self.kind] - self.length + 1
+            if b - a < wide and not edited:
+                continue
+            if b > a:
+                view = np.lib.stride_tricks.sliding_window_view(rank[a:b], min(wide, b - a))
+                best = np.argsort(view, axis=1, kind="stable")[:, : PER_WINDOW if edited else 1]
+                chosen[a + np.unique(best + np.arange(len(view))[:, None])] = True
+        keep = np.flatnonzero(chosen & held)
+        order = keep[np.argsort(self.hash[keep], kind="stable")]
+        self.seeds, self.posting = np.unique(self.hash[order], return_index=True)
         self.posting = np.append(self.posting, len(order))
-        self.seed_item = self.words.doc[at[order]]
-        self.seed_at = at[order] - self.first[self.seed_item]
+        self.seed_item = self.words.doc[self.at[order]]
+        self.seed_at = self.at[order] - self.first[self.seed_item]
 
     def item(self, i: int) -> np.ndarray:
         return self.words.hash[self.first[i] : self.first[i + 1]]
@@ -205,14 +272,15 @@ def _members(sorted_values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _count(sets: list[TestSet]):
-    """Document frequency of the passages' n-grams, summed within each batch."""
+    """Document frequency of the passages' n-grams, summed within each batch, and the number of documents."""
 
     def run(batches):
         for t in narrow_batches(batches, DOCS_AT_ONCE, "text"):
             folded = [fold(x) for x in t.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([0], pa.int64()), pa.array([len(folded)], pa.int64())], names=["kind", "gram", "docs"])
             for s in sets:
                 tk = tokens(folded, s.kind)
-                g, at = tk.grams(SEED[s.kind])
+                g, at = s.grams_of(tk)
                 hit, which = _members(s.grams, g)
                 pairs = np.unique(tk.doc[at[hit]].astype(np.int64) * len(s.grams) + which) % max(1, len(s.grams))
                 which, n = np.unique(pairs, return_counts=True)
@@ -224,6 +292,18 @@ def _count(sets: list[TestSet]):
 FOUND = "doc_id long, item_id long, kind string, score int, item_tokens int, longest_run int"
 
 
+def _seeded(s: TestSet, tk: Tokens):
+    """Hits of seeds as (doc, item, place in the item, place in the batch), sorted by the first two and the last."""
+    g, at = s.grams_of(tk)
+    hit, seed = _members(s.seeds, g)
+    many = s.posting[seed + 1] - s.posting[seed]
+    post = np.arange(int(many.sum())) + np.repeat(s.posting[seed] - np.concatenate([[0], np.cumsum(many)[:-1]]), many)
+    place = np.repeat(at[hit], many)
+    doc, item, there = tk.doc[place], s.seed_item[post], s.seed_at[post]
+    order = np.lexsort((place, item, doc))
+    return doc[order], item[order], there[order], place[order]
+
+
 def _align(sets: list[TestSet]):
     def run(batches):
         for t in narrow_batches(batches, DOCS_AT_ONCE, "text"):
@@ -232,30 +312,32 @@ def _align(sets: list[TestSet]):
             out = []
             for s in sets:
                 tk = tokens(folded, s.kind)
-                g, at = tk.grams(SEED[s.kind])
-                hit, seed = _members(s.seeds, g)
-                if not len(hit):
+                doc, item, there, place = _seeded(s, tk)
+                if not len(doc):
                     continue
-                many = s.posting[seed + 1] - s.posting[seed]
-                post = np.arange(int(many.sum())) + np.repeat(s.posting[seed] - np.concatenate([[0], np.cumsum(many)[:-1]]), many)
-                place = np.repeat(at[hit], many)
-                doc, item, there = tk.doc[place], s.seed_item[post], s.seed_at[post]
-                order = np.lexsort((place, item, doc))
-                doc, item, there, place = doc[order], item[order], there[order], place[order]
-                cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])]))
                 first = np.searchsorted(tk.doc, np.arange(len(folded) + 1))
-                for a, b in zip(cut, np.append(cut[1:], len(doc))):
+                wide, place = np.diff(s.first)[item], place - first[doc]
+                pair = np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])
+                # the parts of a text that a passage with these seeds can reach, each aligned with the whole passage
+                part = np.flatnonzero(pair | np.concatenate([[False], np.diff(place) > wide[1:]]))
+                last = np.append(part[1:], len(doc)) - 1
+                low, high = np.maximum(0, place[part] - wide[part]), place[last] + s.length + wide[part]
+                texts = [tk.hash[first[d] + a : min(first[d + 1], first[d] + b)] for d, a, b in zip(doc[part], low, high)]
+                want = [s.item(i) for i in item[part]]
+                # no alignment has more matches than tokens that the other side has too
+                least, score = s.need()[item[part]], np.zeros(len(part), np.int64)
+                able = [k for k, (x, y, n) in enumerate(zip(want, texts, least)) if np.isin(y, x).sum() >= n and np.isin(x, y).sum() >= n]
+                score[able] = smith_waterman([want[k] for k in able], [texts[k] for k in able])
+                cut = np.flatnonzero(pair)
+                best = np.maximum.reduceat(score, np.searchsorted(part, cut))
+                enough = best >= s.need()[item[cut]]
+                for a, b, points in zip(cut[enough], np.append(cut[1:], len(doc))[enough], best[enough]):
                     d, i = int(doc[a]), int(item[a])
                     text, want = tk.hash[first[d] : first[d + 1]], s.item(i)
-                    at_d = place[a:b] - first[d]
-                    size, pd, pi = longest_common_run(text, want, np.unique(at_d - there[a:b]))
+                    size, pd, pi = longest_common_run(text, want, np.unique(place[a:b] - there[a:b]))
                     if size and tk.strings(first[d] + pd, first[d] + pd + size) != s.words.strings(s.first[i] + pi, s.first[i] + pi + size):
                         size = 0  # equal hashes of unequal texts
-                    score = 0
-                    group = np.flatnonzero(np.concatenate([[True], np.diff(at_d) > len(want)]))
-                    for u, v in zip(group, np.append(group[1:], len(at_d))):
-                        score = max(score, smith_waterman(want, text[max(0, at_d[u] - len(want)) : at_d[v - 1] + len(want)]))
-                    out.append((ids[d], s.ids[i], s.kind, score, len(want), size))
+                    out.append((ids[d], s.ids[i], s.kind, int(points), len(want), size))
             cols = list(zip(*out)) if out else [[]] * 6
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["doc_id", "item_id", "kind", "score", "item_tokens", "longest_run"])
@@ -270,24 +352,27 @@ def _blocks(items: DataFrame) -> list[DataFrame]:
 
 
 def leaks(documents: DataFrame, items: DataFrame, edited: bool = True) -> DataFrame:
-    """Each document with each item of which it holds a seed, scored.
-
-    With ``edited`` these are all pairs that share an n-gram of the seed's length (6 words, 12
-    letters), otherwise at least all that share a full window.
-
-    ``longest_run`` is the longest run of consecutive equal tokens on the seeds' diagonals
-    (12 words, or 24 letters for ja and zh, make a leak), ``score`` the best local alignment
-    with the whole item of ``item_tokens`` tokens. The passages are sent to all tasks in blocks
-    of a bounded size; documents are read twice per block and never shuffled. Passages shorter
-    than a seed (without ``edited``, than the window) can match nothing. Null or empty texts and passages match nothing; repeated
-    rows count once. Documents may be of any length; no candidate is left out.
+    """Documents that contain passages of items, wholly or partly: pairs whose alignment scores enough.
+
+    A pair leaked if the best local alignment of the whole passage with the text scores at least
+    12 (24 for ja and zh): as much as an intact window, or as a longer copy with edits. All of a
+    shorter passage makes a leak too. Without ``edited`` the seeds are long and find all pairs
+    with an intact window, with ``edited`` they find copies in which one word of four is changed
+    as well; the second result holds the first.
+
+    ``score`` is that of the alignment with the passage of ``item_tokens`` tokens, ``longest_run``
+    the longest run of consecutive equal tokens on the seeds' diagonals. The passages are sent to
+    all tasks in blocks of a bounded size; documents are read twice per block and never shuffled.
+    Without ``edited``, passages shorter than the window match nothing. Null or empty texts and
+    passages match nothing; repeated rows count once, and an item with several passages has leaked
+    if any of them has. Documents may be of any length; no candidate is left out.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
-    items = items.select("item_id", "lang", "passage").where(F.col("item_id").isNotNull() & (F.length("passage") > 0)).dropDuplicates(["item_id"])
+    items = items.select("item_id", "lang", "passage").where(F.col("item_id").isNotNull() & (F.length("passage") > 0)).distinct()
     parts = []
     for block in _blocks(items):
         rows = [(r["item_id"], "char" if r["lang"] in UNSPACED else "word", r["passage"]) for r in block.collect()]  # at most about BLOCK_CHARS
-        sets = [TestSet.of(k, [(i, p) for i, kk, p in sorted(rows) if kk == k]) for k in ("word", "char") if any(r[1] == k for r in rows)]
+        sets = [TestSet.of(k, [(i, p) for i, kk, p in sorted(rows) if kk == k], edited) for k in ("word", "char") if any(r[1] == k for r in rows)]
         sets = [s for s in sets if len(s.grams)]
         if not sets:
             continue
@@ -296,7 +381,7 @@ def leaks(documents: DataFrame, items: DataFrame, edited: bool = True) -> DataFr
         for r in counted.collect():  # at most one row per n-gram of the block's passages
             frequency.setdefault(r["kind"], {})[r["gram"] % (1 << 64)] = r["docs"]
         for s in sets:
-            s.choose(frequency.get(s.kind, {}), edited)
+            s.choose(frequency.get(s.kind, {}), frequency.get("", {}).get(0, 0), edited)
         parts.append(docs.mapInArrow(_align([s for s in sets if len(s.seeds)]), FOUND))
     if not parts:
         return documents.sparkSession.createDataFrame([], FOUND)
@@ -307,6 +392,6 @@ def leaks(documents: DataFrame, items: DataFrame, edited: bool = True) -> DataFr
 
 
 def exact(found: DataFrame) -> DataFrame:
-    """Pairs with a run of at least the window's length."""
+    """Of the pairs that the alignment has decided, those with an intact run of the window's length."""
     need = F.when(F.col("kind") == "char", WINDOW["char"]).otherwise(WINDOW["word"])
     return found.where(F.col("longest_run") >= need)

@@ -1,6 +1,8 @@
+import random
 import re
 import unicodedata
 
+import numpy as np
 import pytest
 from conftest import DATA
 
@@ -53,6 +55,86 @@ def test_edited_copies_without_an_intact_window_are_scored(spark):
     assert got[3, 2]["longest_run"] == 20
 
 
+def edited(tokens, every, rng, fresh):
+    """A copy with one edit in every ``every`` tokens: a change, a loss or an addition."""
+    out = []
+    for k in range(0, len(tokens), every):
+        part = list(tokens[k : k + every])
+        at, how = rng.randrange(len(part)), rng.choice("cla")
+        part[at : at + (how != "a")] = [] if how == "l" else [fresh()]
+        out += part
+    return out
+
+
+def test_recall_of_edited_copies(spark):
+    """Copies of real passages with an edit in every 4, 5, 6 or 8 words, planted in real documents."""
+    rng = random.Random(5)
+    fresh = lambda: f"neu{rng.randrange(10**6)}"
+    items = [r for r in spark.read.parquet(f"{DATA}/eval_items.parquet").collect() if r["lang"] not in leakage.UNSPACED]
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").where("text is not null").distinct().collect()]
+    planted, top = {}, 10**6
+    for every in (4, 5, 6, 8):
+        for r in items[:: 2]:
+            host = docs[rng.randrange(len(docs))][1]
+            copy = edited(re.findall(r"[^\W_]+", leakage.fold(r["passage"])), every, rng, fresh)
+            top += 1
+            planted[top, r["item_id"]] = every
+            docs.append((top, f"{host} {' '.join(copy)} {host[:200]}"))
+    got, df = found(spark, docs, [(r["item_id"], r["lang"], r["passage"]) for r in items])
+    have = {(r["doc_id"], r["item_id"]) for r in df.collect()}
+    recall = {e: sum(k in have for k, v in planted.items() if v == e) / sum(v == e for v in planted.values()) for e in (4, 5, 6, 8)}
+    assert min(recall.values()) >= 0.9, recall
+    assert got <= have
+
+
+def test_recall_of_edited_copies_without_word_spaces(spark):
+    rng = random.Random(6)
+    items = [(r["item_id"], r["lang"], r["passage"]) for r in spark.read.parquet(f"{DATA}/eval_items.parquet").collect() if r["lang"] in leakage.UNSPACED]
+    docs = []
+    for i, _, p in items:
+        docs += [(i * 10 + n, "".join(edited(re.findall(r"[^\W_]", leakage.fold(p)), every, rng, lambda: chr(0xAC00 + rng.randrange(9000))))) for n, every in enumerate((6, 8))]
+    have = {(r["doc_id"], r["item_id"]) for r in found(spark, docs, items)[1].collect()}
+    assert sum((d, d // 10) in have for d, _ in docs) >= 0.9 * len(docs)
+
+
+def test_unrelated_texts_do_not_leak(spark):
+    rng = random.Random(7)
+    word = lambda: f"w{int(rng.paretovariate(0.7))}"
+    docs = [(i, " ".join(word() for _ in range(400))) for i in range(100)]
+    items = [(i, "en", " ".join(word() for _ in range(60))) for i in range(20)]
+    got, df = found(spark, docs, items)
+    assert not got and df.count() <= 0.01 * len(docs) * len(items)
+
+
+def test_short_passages_leak_as_a_whole(spark):
+    docs = [(1, "x alpha beta gamma delta y"), (2, "alpha beta other delta"), (3, "Gamma!"), (4, "one two")]
+    got, df = found(spark, docs, [(1, "en", "alpha beta gamma delta"), (2, "en", "gamma"), (3, "en", "one two"), (4, "en", "...")])
+    assert {(r["doc_id"], r["item_id"], r["score"]) for r in df.collect()} == {(1, 1, 4), (1, 2, 1), (3, 2, 1), (4, 3, 2)} and not got
+
+
+def test_an_item_with_two_passages_and_repeated_rows(spark):
+    items = [(1, "en", words(20)), (1, "en", PASSAGE[-200:]), (1, "en", words(20))]
+    got, df = found(spark, [(1, words(15)), (2, PASSAGE[-150:]), (2, PASSAGE[-150:])], items)
+    assert got == {(1, 1), (2, 1)} and df.count() == 2
+
+
+def test_alignment_of_many_pairs_is_that_of_each():
+    rng = np.random.default_rng(3)
+
+    def plain(a, b):
+        best, row = 0, [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b, 1):
+                new.append(max(0, row[j - 1] + (1 if x == y else -1), row[j] - 1, new[j - 1] - 1))
+                best = max(best, new[j])
+            row = new
+        return best
+
+    pairs = [(rng.integers(0, 5, rng.integers(1, 30)).astype(np.uint64), rng.integers(0, 5, rng.integers(0, 90)).astype(np.uint64)) for _ in range(60)]
+    assert leakage.smith_waterman(*map(list, zip(*pairs))).tolist() == [plain(a.tolist(), b.tolist()) for a, b in pairs]
+
+
 def test_items_that_share_a_sentence_and_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(leakage, "BLOCK_CHARS", 100)
     other = PASSAGE + ". " + ". ".join(WORDS[40:])
@@ -79,8 +161,9 @@ def test_against_brute_force(spark):
     for r in docs.where("text is not null").distinct().collect():
         mine = {u: windows(r["text"], u) for u in (True, False)}
         want |= {(r["doc_id"], i) for i, u, w in sets if mine[u] & w}
-    got = {(r["doc_id"], r["item_id"]) for r in leakage.exact(leakage.leaks(docs, items)).collect()}
-    assert got == want and want
+    for edits in (True, False):
+        got = {(r["doc_id"], r["item_id"]) for r in leakage.exact(leakage.leaks(docs, items, edits)).collect()}
+        assert got == want and want
 
 
 KINDS = [(1, 10), (2, 64)]
