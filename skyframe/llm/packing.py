@@ -15,35 +15,32 @@ from ..session import cut, narrow_batches
 #: Folder and file of the public tokenizer; both are parameters of the operator.
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: Fixed value: how that tokenizer parts a text before it looks up its vocabulary.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 GROUP_ITEMS = 20_000
-FAN_IN = 8
 NEARLY_FULL = 0.99
-_encodings: dict[str, object] = {}
+#: Rounds end once one has spared less than this part of the bins that it was given.
+LEAST_GAIN = 0.001
+_encodings: dict[tuple[str, str], object] = {}
 
 
-def _encoding(path: str):
+def _encoding(path: str, pattern: str = PATTERN):
     """The tokenizer of this Python worker, built once."""
-    if path not in _encodings:
-        import importlib.util
-        import os
-
+    if (path, pattern) not in _encodings:
         import tiktoken
 
-        spec = importlib.util.spec_from_file_location("tokenizer_files", os.path.join(os.path.dirname(path), "__init__.py"))
-        pattern = importlib.util.module_from_spec(spec)
-        spec.loader.exec_module(pattern)
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encodings[path] = tiktoken.Encoding("packing", pat_str=pattern.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encodings[path]
+        _encodings[path, pattern] = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _encodings[path, pattern]
 
 
-def token_counts(documents: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
+def token_counts(documents: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """``doc_id, n_tokens`` of each document; null and empty texts have none, repeated rows count once."""
     path = f"{tokenizers}/{vocabulary}"
 
     def run(batches):
-        enc = _encoding(path)
+        enc = _encoding(path, pattern)
         for t in narrow_batches(batches, 1024, "text"):
             n = [len(enc.encode_ordinary(x)) if x else 0 for x in t.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks(), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
@@ -80,29 +77,25 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-BIN = "container_kind long, capacity int, grp long, bin string, fill int, docs array<long>, pieces array<int>, sizes array<int>, done boolean"
+BIN = "container_kind long, capacity int, given int, bin string, fill int, docs array<long>, pieces array<int>, sizes array<int>, done boolean"
 
 
-def _packer(rnd: int, last: bool):
+def _packer(rnd: int):
     """Pack the items or underfull bins of one group; nearly full bins are done.
 
-    At most GROUP_ITEMS // FAN_IN bins, those with the most room, stay open for the next round,
-    so that a merged group is bounded however the sizes are distributed; the others are done.
+    ``given`` is the number of items that the group had, in the row of its first bin.
     """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         kind, capacity, grp = (int(k) for k in key)
         pdf = pdf.sort_values(["fill", "bin"], ascending=[False, True], kind="stable")
         fill, docs, pieces, sizes = (pdf[c].tolist() for c in ("fill", "docs", "pieces", "sizes"))
-        bins = best_fit(fill, capacity)
         rows = []
-        for k, members in enumerate(bins):
-            rows.append([kind, capacity, grp, f"{rnd}-{grp}-{k}", sum(fill[m] for m in members), *([x for m in members for x in col[m]] for col in (docs, pieces, sizes)), False])
-        roomy = sorted((r for r in rows if r[4] < NEARLY_FULL * capacity), key=lambda r: r[4])[: GROUP_ITEMS // FAN_IN]
-        still = {r[3] for r in roomy} if not last else set()
-        for r in rows:
-            r[8] = r[3] not in still
-        return pd.DataFrame(rows, columns=["container_kind", "capacity", "grp", "bin", "fill", "docs", "pieces", "sizes", "done"])
+        for k, members in enumerate(best_fit(fill, capacity)):
+            total = sum(fill[m] for m in members)
+            cells = ([x for m in members for x in col[m]] for col in (docs, pieces, sizes))
+            rows.append((kind, capacity, 0 if k else len(fill), f"{rnd}-{grp}-{k}", total, *cells, total >= NEARLY_FULL * capacity))
+        return pd.DataFrame(rows, columns=["container_kind", "capacity", "given", "bin", "fill", "docs", "pieces", "sizes", "done"])
 
     return run
 
@@ -113,11 +106,13 @@ def pack(sizes: DataFrame, kinds: list[tuple[int, int]]) -> DataFrame:
     ``sizes`` has ``doc_id, n_tokens``; ``kinds`` lists (container_kind, capacity). An item is
     split only if it alone exceeds the capacity: into full pieces, which fill containers of
     their own, and a remainder that is packed like an item. Round 0 packs groups of about
-    GROUP_ITEMS items by best fit and emits nearly full bins; each later round merges FAN_IN
-    groups and packs their underfull bins as items, until one group is left. An item without
-    tokens needs no container: its row has a null ``container_id``. Empty input gives no rows.
+    GROUP_ITEMS items by best fit and emits nearly full bins. Each later round deals the
+    underfull bins to as many groups as hold GROUP_ITEMS of them and packs them as items; no
+    group outgrows that number, however few bins got full. The rounds end when the bins of a
+    kind fit in one group and have been packed there, or when a round has spared hardly any:
+    then the rest cannot be put together, and all bins are emitted. An item without tokens
+    needs no container: its row has a null ``container_id``. Empty input gives no rows.
     """
-    spark = sizes.sparkSession
     sizes = cut(sizes.where(F.col("n_tokens") >= 0))
     n = sizes.count()
     groups = max(1, -(-n // GROUP_ITEMS))
@@ -129,21 +124,23 @@ def pack(sizes: DataFrame, kinds: list[tuple[int, int]]) -> DataFrame:
     whole = items.where(F.col("full") > 0).select("container_kind", "doc_id", F.explode(F.expr("sequence(0, full - 1)")).alias("piece"), F.col("capacity").alias("n_tokens"))
     whole = whole.select("container_kind", F.format_string("full-%d-%d", "doc_id", "piece").alias("container_id"), "doc_id", "piece", "n_tokens")
     rest = (F.col("n_tokens") - F.col("full").cast("long") * F.col("capacity")).cast("int")
-    bins = items.withColumn("rest", rest).where(F.col("rest") > 0).select(
-        "container_kind", "capacity", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("grp"), F.format_string("%020d", "doc_id").alias("bin"), F.col("rest").alias("fill"),
+    bins = items.withColumn("rest", rest).where(F.col("rest") > 0)
+    bins = bins.select(
+        "container_kind", "capacity", F.format_string("%020d", "doc_id").alias("bin"), F.col("rest").alias("fill"),
         F.array("doc_id").alias("docs"), F.array("full").alias("pieces"), F.array("rest").alias("sizes"),
     )
-    out, rnd = [], 0
-    while True:
-        last = groups == 1
-        packed = bins.groupBy("container_kind", "capacity", "grp").applyInPandas(_packer(rnd, last), BIN)
-        if not last:
-            packed = cut(packed)
-        out.append(packed.where("done"))
-        if last:
-            break
-        groups, rnd = -(-groups // FAN_IN), rnd + 1
-        bins = packed.where("not done").select("container_kind", "capacity", F.floor(F.col("grp") / FAN_IN).alias("grp"), "bin", "fill", "docs", "pieces", "sizes")
+    out, rnd, left = [], 0, {k: n for k, _ in kinds}
+    while left:
+        groups = {k: max(1, -(-m // GROUP_ITEMS)) for k, m in left.items()}
+        width = F.element_at(F.create_map(*[F.lit(x).cast("long") for kg in groups.items() for x in kg]), F.col("container_kind"))
+        dealt = bins.where(F.col("container_kind").isin(list(left))).withColumn("grp", F.pmod(F.xxhash64("bin", F.lit(rnd)), width))
+        packed = cut(dealt.groupBy("container_kind", "capacity", "grp").applyInPandas(_packer(rnd), BIN))
+        tally = packed.groupBy("container_kind").agg(F.sum("given").alias("given"), F.count(F.lit(1)).alias("made"), F.count_if(~F.col("done")).alias("open"))
+        # one row per kind
+        left = {r["container_kind"]: r["open"] for r in tally.collect() if groups[r["container_kind"]] > 1 and r["open"] > 1 and r["given"] - r["made"] > LEAST_GAIN * r["given"]}
+        again = F.col("container_kind").isin(list(left)) & ~F.col("done") if left else F.lit(False)
+        out.append(packed.where(~again))
+        bins, rnd = packed.where(again).drop("given", "done"), rnd + 1
     rows = whole.unionByName(empty)
     for done in out:
         cells = done.select("container_kind", F.col("bin").alias("container_id"), F.explode(F.arrays_zip("docs", "pieces", "sizes")).alias("c"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Keys outside the range of finite buckets.
@@ -23,18 +23,18 @@ def bucket_of(value: Column, alpha: float) -> Column:
     )
 
 
-def estimate_of(sign: Column, bucket: Column, alpha: float) -> Column:
+def estimate_of(sign: Column, bucket: Column, alpha: Column) -> Column:
     """Representative whose relative distance to all values of its bucket is at most alpha."""
     g = (1 + alpha) / (1 - alpha)
     return (
         F.when(sign == 0, F.lit(0.0))
         .when(bucket == INFINITE, sign * F.lit(float("inf")))
-        .otherwise(sign * F.lit(2.0 / (g + 1.0)) * F.pow(F.lit(g), bucket.cast("double")))
+        .otherwise(sign * (2.0 / (g + 1.0)) * F.pow(g, bucket.cast("double")))
     )
 
 
 def sketch(df: DataFrame, keys: list[str], value: str, alpha: float = 0.01) -> DataFrame:
-    """Counts per group and signed bucket: ``keys, sgn, bucket, cnt``.
+    """Counts per group and signed bucket: ``keys, alpha, sgn, bucket, cnt``.
 
     The counts are partial sums before the shuffle, so a hot group costs each map task at
     most one row per bucket. Nulls and NaN are left out; zero has its own bucket, and so
@@ -47,21 +47,30 @@ def sketch(df: DataFrame, keys: list[str], value: str, alpha: float = 0.01) -> D
         .select(*keys, F.signum(v).cast("int").alias("sgn"), bucket_of(v, alpha).alias("bucket"))
         .groupBy(*keys, "sgn", "bucket")
         .agg(F.count(F.lit(1)).alias("cnt"))
+        .select(*keys, F.lit(float(alpha)).alias("alpha"), "sgn", "bucket", "cnt")
     )
 
 
 def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """Combine sketches into those of the coarser groups ``keys``: matching buckets add up."""
-    return sketches.groupBy(*keys, "sgn", "bucket").agg(F.sum("cnt").alias("cnt"))
+    """Combine sketches into those of the coarser groups ``keys``: matching buckets add up.
 
+    Buckets match only under the same ``alpha``; a group of sketches with several fails the job.
+    """
+    # buckets that only one of the sketches has must not hide a difference
+    known = sketches.groupBy(*keys, "sgn", "bucket").agg(F.sum("cnt").alias("cnt"), F.min("alpha").alias("alpha"), F.max("alpha").alias("__most"))
+    w = Window.partitionBy(*keys)
+    known = known.withColumn("alpha", F.min("alpha").over(w)).withColumn("__most", F.max("__most").over(w))
+    same = F.when(F.col("alpha") == F.col("__most"), F.col("alpha")).otherwise(F.raise_error(F.lit("sketches of different alpha cannot be merged")).cast("double"))
+    return known.select(*keys, same.alias("alpha"), "sgn", "bucket", "cnt")
 
-def percentiles(sketches: DataFrame, keys: list[str], wanted: list[float], alpha: float = 0.01) -> DataFrame:
+
+def percentiles(sketches: DataFrame, keys: list[str], wanted: list[float]) -> DataFrame:
     """Percentiles of each sketch: ``keys, percentile, n, sgn, bucket, estimate``.
 
     The percentile p of n values is that of rank floor(p * (n-1)) from 0 in ascending
-    order; the estimate differs from it by at most alpha times its size. A group's buckets
-    are bounded by the range of doubles (about 71,000 for alpha = 0.01), however many
-    values it has, so the window over them is small.
+    order; the estimate differs from it by at most the sketch's ``alpha`` times its size. A
+    group's buckets are bounded by the range of doubles (about 71,000 for alpha = 0.01),
+    however many values it has, so the window over them is small.
     """
     signed = F.col("sgn") * F.col("bucket")
     w = Window.partitionBy(*keys)
@@ -69,9 +78,21 @@ def percentiles(sketches: DataFrame, keys: list[str], wanted: list[float], alpha
     ranked = sketches.withColumn("n", F.sum("cnt").over(w)).withColumn("cum", cum)
     rank = lambda p: F.floor(p * (F.col("n") - 1).cast("double"))
     here = F.filter(F.array(*[F.lit(float(p)) for p in wanted]), lambda p: (rank(p) < F.col("cum")) & (rank(p) >= F.col("cum") - F.col("cnt")))
-    return ranked.withColumn("percentile", F.explode(here)).select(
-        *keys, "percentile", "n", "sgn", "bucket", estimate_of(F.col("sgn"), F.col("bucket"), alpha).alias("estimate")
-    )
+    estimate = estimate_of(F.col("sgn"), F.col("bucket"), F.col("alpha"))
+    return ranked.withColumn("percentile", F.explode(here)).select(*keys, "percentile", "n", "sgn", "bucket", estimate.alias("estimate"))
+
+
+def write_days(sketches: DataFrame, path: str, day: str) -> None:
+    """Store sketches in one folder per value of ``day``; a day that is written again is replaced."""
+    sketches.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+
+
+def read_days(spark: SparkSession, path: str, first=None, last=None, day: str = "run_day") -> DataFrame:
+    """Stored sketches of the days from ``first`` to ``last``; other days' folders are not read."""
+    got = spark.read.parquet(path)
+    if first is not None:
+        got = got.where(F.col(day) >= F.lit(first))
+    return got if last is None else got.where(F.col(day) <= F.lit(last))
 
 
 #: Metrics of a solve attempt, by name and column.
@@ -94,4 +115,4 @@ def solve_percentiles(solve_log: DataFrame, alpha: float = 0.01, wanted: list[fl
     day = sketch(long, ["rig", "run_day", "metric"], "value", alpha)
     rig = merge(day, ["rig", "metric"])
     both = day.select(F.lit("rig_day").alias("level"), "*").unionByName(rig.select(F.lit("rig").alias("level"), F.lit(None).cast("date").alias("run_day"), "*"))
-    return percentiles(both, ["level", "rig", "run_day", "metric"], wanted or PERCENTILES, alpha)
+    return percentiles(both, ["level", "rig", "run_day", "metric"], wanted or PERCENTILES)

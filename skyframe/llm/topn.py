@@ -5,13 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import narrow_batches
+
+#: Rows of a map task among which copies are looked for at once.
+ROWS_AT_ONCE = 1 << 18
+
+
+def _once(batches):
+    for t in narrow_batches(batches, ROWS_AT_ONCE):
+        yield from t.group_by(t.column_names, use_threads=False).aggregate([]).to_batches(ROWS_AT_ONCE)
+
+
+def collapse(df: DataFrame) -> DataFrame:
+    """The rows with the copies among each ROWS_AT_ONCE rows of a map task taken out, before any shuffle."""
+    return df.mapInArrow(_once, df.schema)
+
 
 def top_n_per_group(df: DataFrame, keys: list[str], item: str, order: list[Column], n: int, salts: int = 16) -> DataFrame:
     """Keep the ``n`` first rows of each group ``keys`` in the order ``order`` then ``item``.
 
     Stage one hashes each group's items into ``salts`` subgroups and keeps the first ``n``
     of each; Spark pushes that limit below the shuffle (WindowGroupLimit), so a map task
-    sends at most ``n`` rows per subgroup however many it reads. Stage two ranks the at
+    sends at most ``n`` different rows per subgroup however many it reads. Copies of a row are
+    collapsed in the map task, so that one row with very many copies does not fill a subgroup.
+    Stage two ranks the at
     most ``n * salts`` survivors of a group. No task ever holds a whole hot group.
 
     Nulls: a null key forms a group of its own, as in SQL windows; rows with a null item
@@ -25,7 +42,7 @@ def top_n_per_group(df: DataFrame, keys: list[str], item: str, order: list[Colum
     slim = df.select(*keys, item, *[c.alias(x) for c, x in zip(_bare(order), names)], F.pmod(F.xxhash64(item), F.lit(salts)).cast("int").alias("__salt"))
     by = [_directed(o, x) for o, x in zip(order, names)] + [F.col(item).asc_nulls_last()]
     first = (
-        slim.withColumn("__r", F.dense_rank().over(Window.partitionBy(*keys, "__salt").orderBy(*by)))
+        collapse(slim).withColumn("__r", F.dense_rank().over(Window.partitionBy(*keys, "__salt").orderBy(*by)))
         .where(F.col("__r") <= n)
         .groupBy(*keys, "__salt", item, *names)
         .agg(F.lit(1).alias("__one"))

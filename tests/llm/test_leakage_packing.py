@@ -199,6 +199,24 @@ def test_packing_in_several_rounds(spark, monkeypatch):
     assert mine.n_tokens.sum() / (mine.container_id.nunique() * 64) > 0.93
 
 
+def test_packing_that_cannot_be_improved_ends(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_ITEMS", 50)
+    sizes = [(i, 6) for i in range(700)]
+    got = packed(spark, sizes)
+    check(got, sizes)
+    assert got[got.container_kind == 1].container_id.nunique() == 700
+    assert got[got.container_kind == 2].container_id.nunique() <= 1.01 * 700 / 10
+
+
+def test_packing_of_fifty_groups_against_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_ITEMS", 100)
+    sizes = [(i, 1 + (i * i * 7919) % 40) for i in range(5000)]
+    got = packed(spark, sizes)
+    check(got, sizes)
+    bound = sum(n for _, n in sizes) / 64
+    assert got[got.container_kind == 2].container_id.nunique() <= 1.02 * bound
+
+
 def test_packing_nothing(spark):
     assert len(packed(spark, [])) == 0
 

@@ -61,7 +61,7 @@ def test_percentiles_are_within_their_bound_and_merge(spark, values, alpha):
     days = sketch.sketch(spark.createDataFrame(rows, "day int, v double"), ["day"], "v", alpha)
     whole = sketch.merge(days.withColumn("all", F.lit(1)), ["all"])
     wanted = [0.0, 0.25, 0.5, 0.99, 1.0]
-    got = {r["percentile"]: r for r in sketch.percentiles(whole, ["all"], wanted, alpha).collect()}
+    got = {r["percentile"]: r for r in sketch.percentiles(whole, ["all"], wanted).collect()}
     good = np.sort([v for v in values if not math.isnan(v)])
     if not len(good):
         assert not got
@@ -82,3 +82,31 @@ def test_day_sketches_merge_to_the_rig(spark):
 def test_sketch_of_an_empty_log(spark):
     log = spark.read.parquet(f"{DATA}/solve_log.parquet").limit(0)
     assert sketch.solve_percentiles(log).count() == 0
+
+
+def test_sketches_of_different_alpha_do_not_merge(spark):
+    df = spark.createDataFrame([(1, 2.0), (1, 300.0)], "g int, v double")
+    a, b = sketch.sketch(df.where("v < 10"), ["g"], "v", 0.01), sketch.sketch(df.where("v > 10"), ["g"], "v", 0.02)
+    assert sketch.merge(a.union(a), ["g"]).first()["cnt"] == 2
+    with pytest.raises(Exception, match="different alpha"):
+        sketch.merge(a.union(b), ["g"]).collect()
+
+
+def test_stored_days_combine(spark, tmp_path):
+    log = spark.read.parquet(f"{DATA}/solve_log.parquet").select(F.to_date("run_at").alias("run_day"), F.col("outcome.fit.rms_deg").alias("v"))
+    path = str(tmp_path / "days")
+    days = sketch.sketch(log, ["run_day"], "v")
+    sketch.write_days(days, path, "run_day")
+    one = days.agg(F.min("run_day")).first()[0]
+    sketch.write_days(sketch.sketch(log.where(F.col("run_day") == one), ["run_day"], "v"), path, "run_day")
+    whole = lambda df: {tuple(r) for r in sketch.percentiles(sketch.merge(df.withColumn("all", F.lit(1)), ["all"]), ["all"], [0.1, 0.5, 0.9]).collect()}
+    assert whole(sketch.read_days(spark, path)) == whole(days) == whole(sketch.sketch(log.withColumn("all", F.lit(1)), ["all"], "v"))
+    assert sketch.read_days(spark, path, one, one).select("run_day").distinct().count() == 1
+
+
+def test_copies_of_one_row_collapse_in_the_map_task(spark):
+    df = spark.range(60_000).select(F.lit(1).alias("g"), F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(7).alias("i"), F.when(F.col("id") % 3 == 0, 5.0).otherwise(1.0).alias("s"))
+    slim = topn.collapse(df)
+    assert slim.count() <= 20_001 + 8 * 2 and slim.where("i = 7").count() <= 8 * 2
+    got = topn.top_n_per_group(df, ["g"], "i", [F.col("s")], 3).orderBy("rank").collect()
+    assert [r["i"] for r in got] == [7, 0, 3]
