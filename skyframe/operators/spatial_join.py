@@ -26,23 +26,28 @@ SLACK = 2e-7
 CHUNK_ROWS = 1 << 17
 LEAF = 24
 PAIRS_AT_ONCE = 1 << 20
+#: Points, and discs, of a cell that go into one part of it.
+PART_ROWS = 1 << 16
 
 SHIPPED = "cell int, part int, side int, id long, ra double, dec double, radius double"
 FOUND = "query_id long, point_id long, point_ra double, point_dec double"
+COUNTED = "query_id long, n long"
 
 
 @dataclass
 class Pivots:
     """Two levels of pivots: ``top`` super cells, each divided by its own ``low`` pivots.
 
-    ``first[g]`` is the number of the first cell of super cell g; ``parts[c]`` tells into how
-    many parts the points of cell c are split because a sample says that it is hot.
+    ``first[g]`` is the number of the first cell of super cell g. Samples tell which cells are
+    hot: the points of cell c are split into ``parts[c]`` parts and its discs into
+    ``disc_parts[c]``; every part of the one meets every part of the other.
     """
 
     top: np.ndarray
     low: list[np.ndarray]
     first: np.ndarray
     parts: np.ndarray
+    disc_parts: np.ndarray
 
 
 def to_xyz(ra_deg: np.ndarray, dec_deg: np.ndarray) -> np.ndarray:
@@ -57,36 +62,42 @@ def angle(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 2.0 * np.arcsin(np.minimum(1.0, 0.5 * np.sqrt(np.einsum("ij,ij->i", d, d))))
 
 
-def fit_pivots(points: DataFrame, most: int = 65536, rows_per_cell: int = 2000) -> Pivots:
-    """Choose pivots from a sample of distinct points, at most ``4 * most`` of them.
+def _sample(rows: DataFrame, n: int, most: int) -> tuple[np.ndarray, int]:
+    """Unit vectors of about ``most`` distinct rows (``id, ra, dec``), twice as many at most, and how many rows each stands for.
 
-    ``points`` has ``id, ra, dec``. Their number follows that of the points up to ``most``
-    (1.6 MB of pivots), so cells stay small where the sky is dense. The sample is chosen by a
-    hash of the row, hence copies of a row are sampled together or not at all.
+    The sample is chosen by a hash of the row, hence copies of a row are sampled together or not at all.
     """
-    n = points.count()
+    step = max(1, n // most)
+    got = rows.where(F.pmod(F.xxhash64("id", "ra", "dec"), F.lit(step)) == 0).select("id", "ra", "dec").distinct().limit(2 * most).toPandas()
+    xyz = to_xyz(got["ra"].to_numpy(), got["dec"].to_numpy())
+    return xyz[np.random.default_rng(7).permutation(len(xyz))], step
+
+
+def fit_pivots(points: DataFrame, discs: DataFrame | None = None, n: int | None = None, n_discs: int | None = None, most: int = 65536, rows_per_cell: int = 2000) -> Pivots:
+    """Choose pivots from a sample of distinct points, and split cells that samples show to be hot.
+
+    ``points`` and ``discs`` have ``id, ra, dec``; ``n`` and ``n_discs`` are their numbers, or
+    bounds of them, where they are known without reading the rows. The number of pivots follows
+    that of the points up to ``most`` (1.6 MB of pivots), so cells stay small where the sky is
+    dense; at most ``8 * most`` rows of either table come to the driver.
+    """
+    n = points.count() if n is None else n
     wanted = int(min(most, max(16, n // rows_per_cell)))
-    step = max(1, n // (4 * wanted))
-    rows = (
-        points.where(F.pmod(F.xxhash64("id", "ra", "dec"), F.lit(step)) == 0).select("ra", "dec").distinct().limit(8 * wanted).toPandas()
-        if n
-        else None
-    )
-    if rows is None or not len(rows):
-        rows_xyz = to_xyz(np.arange(12) * 30.0, np.linspace(-75, 75, 12))
-    else:
-        rows_xyz = to_xyz(rows["ra"].to_numpy(), rows["dec"].to_numpy())
-    rng = np.random.default_rng(7)
-    rows_xyz = rows_xyz[rng.permutation(len(rows_xyz))]
-    k = max(1, int(math.isqrt(min(wanted, len(rows_xyz)))))
-    top, chosen = rows_xyz[:k], rows_xyz[: max(k, wanted)]
+    rows, step = _sample(points, n, 4 * wanted) if n else (np.empty((0, 3)), 1)
+    seeds = rows if len(rows) else to_xyz(np.arange(12) * 30.0, np.linspace(-75, 75, 12))
+    k = max(1, int(math.isqrt(min(wanted, len(seeds)))))
+    top, chosen = seeds[:k], seeds[: max(k, wanted)]
     home = (chosen @ top.T).argmax(1)
     low = [chosen[home == g] if (home == g).any() else top[g : g + 1] for g in range(k)]
     first = np.concatenate([[0], np.cumsum([len(x) for x in low])]).astype(np.int64)
-    pivots = Pivots(top, low, first, np.ones(int(first[-1]), np.int64))
-    # a cell that holds many more sampled points than its share is split into parts
-    count = np.bincount(assign(rows_xyz, pivots), minlength=int(first[-1]))
-    pivots.parts = np.maximum(1, count // max(32, 8 * len(rows_xyz) // len(count))).astype(np.int64)
+    one = np.ones(int(first[-1]), np.int64)
+    pivots = Pivots(top, low, first, one, one)
+    split = lambda xyz, step: np.maximum(1, np.bincount(assign(xyz, pivots), minlength=len(one)) * step // PART_ROWS)
+    pivots.parts = split(rows, step)
+    if discs is not None:
+        n_discs = discs.count() if n_discs is None else n_discs
+        if n_discs > PART_ROWS:
+            pivots.disc_parts = split(*_sample(discs, n_discs, 4 * wanted))
     return pivots
 
 
@@ -199,26 +210,34 @@ def _ship(pivots: Pivots, side: int):
             t = t.group_by(t.column_names).aggregate([])  # copies collapse before the shuffle
             ids, ra, dec, radius = (t.column(k).to_numpy() for k in ("id", "ra", "dec", "radius"))
             xyz = to_xyz(ra, dec)
-            if side:
-                at, cell = replicate(xyz, np.radians(radius), pivots)
-                again = pivots.parts[cell]
-                part, at, cell = _ranges(np.zeros(len(at), np.int64), again), np.repeat(at, again), np.repeat(cell, again)
-            else:
-                at, cell = np.arange(len(ids)), assign(xyz, pivots)
-                part = (ids ^ (ids >> 17)) % pivots.parts[cell]
+            at, cell = replicate(xyz, np.radians(radius), pivots) if side else (np.arange(len(ids)), assign(xyz, pivots))
+            points, discs = pivots.parts[cell], pivots.disc_parts[cell]
+            mix = (ids[at] ^ (ids[at] >> 17)) & 0x7FFFFFFF
+            # a point goes to each part of the discs, a disc to each part of the points
+            again = points if side else discs
+            other = _ranges(np.zeros(len(at), np.int64), again)
+            at, cell, mix, points, discs = (np.repeat(v, again) for v in (at, cell, mix, points, discs))
+            part = other * discs + mix % discs if side else mix % points * discs + other
             cols = [cell.astype(np.int32), part.astype(np.int32), np.full(len(at), side, np.int32), ids[at], ra[at], dec[at], radius[at]]
             yield from pa.Table.from_arrays([pa.array(c) for c in cols], names=["cell", "part", "side", "id", "ra", "dec", "radius"]).to_batches(65536)
 
     return run
 
 
+def _key(t: pa.Table) -> np.ndarray:
+    """One number for cell and part."""
+    return t.column("cell").to_numpy().astype(np.int64) << 32 | t.column("part").to_numpy()
+
+
 def _whole_cells(batches):
-    """Cut a partition sorted by cell into tables of whole cells of about CHUNK_ROWS rows."""
+    """Cut a partition sorted by cell into tables of whole parts of cells, of about CHUNK_ROWS rows.
+
+    A table holds more only where one part does, and parts have about PART_ROWS points and discs.
+    """
     held = None
     for t in narrow_batches(batches, CHUNK_ROWS):
         held = t if held is None else pa.concat_tables([held, t])
-        key = held.column("cell").to_numpy() * (1 << 20) + held.column("part").to_numpy()
-        cut = int(np.searchsorted(key, key[-1]))
+        cut = int(np.searchsorted(_key(held), _key(held.slice(held.num_rows - 1))[0]))
         if cut:
             yield held.slice(0, cut)
             held = held.slice(cut)
@@ -226,11 +245,12 @@ def _whole_cells(batches):
         yield held
 
 
-def _local(batches):
+def _hits(batches):
+    """For each group of parts: ids of discs and of the points in them, and the points' positions."""
     for t in _whole_cells(batches):
         t = t.group_by(t.column_names).aggregate([])
-        cell, part, side, ids, ra, dec, radius = (t.column(k).to_numpy() for k in ("cell", "part", "side", "id", "ra", "dec", "radius"))
-        key = cell.astype(np.int64) * (1 << 20) + part
+        key = _key(t)
+        side, ids, ra, dec, radius = (t.column(k).to_numpy() for k in ("side", "id", "ra", "dec", "radius"))
         p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         p = p[np.argsort(key[p], kind="stable")]
         if not len(p) or not len(q):
@@ -243,8 +263,34 @@ def _local(batches):
         forest = VantageForest(to_xyz(ra[p], dec[p]), starts, np.append(starts[1:], len(p)))
         for i, j in forest.search(to_xyz(ra[q], dec[q]), np.radians(radius[q]), root):
             if len(i):
-                a, b = q[i], p[j]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(ra[b]), pa.array(dec[b])], names=["query_id", "point_id", "point_ra", "point_dec"])
+                yield ids[q[i]], ids[p[j]], ra[p[j]], dec[p[j]]
+
+
+def _local(batches):
+    for found in _hits(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in found], names=["query_id", "point_id", "point_ra", "point_dec"])
+
+
+def _local_counts(batches):
+    for query, point, _, _ in _hits(batches):
+        who, n = np.unique(query[query != point], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(n.astype(np.int64))], names=["query_id", "n"])
+
+
+def _clean(df: DataFrame, *names: str) -> DataFrame:
+    df = df.select(F.col("id").cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in names])
+    bad = F.col("id").isNull()
+    for c in names:
+        bad = bad | F.col(c).isNull() | F.isnan(c)
+    return df.where(~bad)
+
+
+def _meet(points: DataFrame, discs: DataFrame, pivots: Pivots | None) -> DataFrame:
+    """Points and discs of each part of each cell together, sorted by it: the one shuffle."""
+    points, discs = _clean(points, "ra", "dec"), _clean(discs, "ra", "dec", "radius")
+    pivots = pivots or fit_pivots(points, discs)
+    sent = points.withColumn("radius", F.lit(0.0)).mapInArrow(_ship(pivots, 0), SHIPPED).unionByName(discs.mapInArrow(_ship(pivots, 1), SHIPPED))
+    return sent.repartition("cell", "part").sortWithinPartitions("cell", "part")
 
 
 def radius_join(points: DataFrame, discs: DataFrame, pivots: Pivots | None = None) -> DataFrame:
@@ -254,15 +300,20 @@ def radius_join(points: DataFrame, discs: DataFrame, pivots: Pivots | None = Non
     ``query_id, point_id, point_ra, point_dec``; a pair may recur if an id has several
     positions. Complete for any pivots; borders are inclusive. Rows with a null or NaN in
     these columns match nothing. Copies of a row are dropped before and after the one
-    shuffle; hot cells are split into parts, to each of which the discs are sent. Further
+    shuffle; cells with very many points or discs are split into parts. Further
     columns are ignored, so their names cannot clash. Empty input gives an empty result.
     """
-    clean = lambda df, *c: df.where(F.greatest(*[F.when(F.col(x).isNull() | F.isnan(F.col(x).cast("double")), 1).otherwise(0) for x in ("id", "ra", "dec", *c)]) == 0)
-    points = clean(points.select(F.col("id").cast("long").alias("id"), F.col("ra").cast("double").alias("ra"), F.col("dec").cast("double").alias("dec")))
-    discs = clean(discs.select(F.col("id").cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in ("ra", "dec", "radius")]), "radius")
-    pivots = pivots or fit_pivots(points)
-    sent = points.withColumn("radius", F.lit(0.0)).mapInArrow(_ship(pivots, 0), SHIPPED).unionByName(discs.mapInArrow(_ship(pivots, 1), SHIPPED))
-    return sent.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(_local, FOUND)
+    return _meet(points, discs, pivots).mapInArrow(_local, FOUND)
+
+
+def neighbour_counts(points: DataFrame, radius: float, pivots: Pivots | None = None) -> DataFrame:
+    """``query_id, n``: how many other points lie within ``radius`` degrees of each; those with none are left out.
+
+    ``points`` has ``id, ra, dec`` with one position per id. Pairs are counted where they are
+    found and never become rows. Nulls, NaN, copies and empty input as in :func:`radius_join`.
+    """
+    counted = _meet(points, points.withColumn("radius", F.lit(float(radius))), pivots).mapInArrow(_local_counts, COUNTED)
+    return counted.groupBy("query_id").agg(F.sum("n").alias("n"))
 
 
 def bounding_discs(fields: DataFrame) -> DataFrame:
@@ -287,14 +338,14 @@ def bounding_discs(fields: DataFrame) -> DataFrame:
     ).where(F.col("radius") >= 0)
 
 
-def inside_regions(points: DataFrame, fields: DataFrame) -> DataFrame:
+def inside_regions(points: DataFrame, fields: DataFrame, pivots: Pivots | None = None) -> DataFrame:
     """(field_id, point_id) for each point inside a cone or box; borders are inclusive.
 
     The radius join with the regions' bounding discs finds the candidates; boxes are then
     tested exactly. A box with ``ra_min > ra_max`` runs across 0h. The regions meet their
     candidates by an equi-join on the id, whatever their number.
     """
-    got = radius_join(points, bounding_discs(fields.dropDuplicates(["field_id"])))
+    got = radius_join(points, bounding_discs(fields.dropDuplicates(["field_id"])), pivots)
     boxes = fields.dropDuplicates(["field_id"]).select("field_id", "shape", "ra_min", "ra_max", "dec_min", "dec_max")
     ra, dec = F.col("point_ra"), F.col("point_dec")
     in_ra = F.when(F.col("ra_min") <= F.col("ra_max"), ra.between(F.col("ra_min"), F.col("ra_max"))).otherwise((ra >= F.col("ra_min")) | (ra <= F.col("ra_max")))
@@ -329,9 +380,10 @@ def sources_near_and_inside(gaia: DataFrame, stars: DataFrame, fields: DataFrame
     A source counts if any of its rows does; each triple comes out once. Rows without a
     possible position are left out.
     """
-    sources = valid_sources(gaia)
-    near = radius_join(star_positions(stars), sources.withColumn("radius", F.lit(arcsec / 3600.0)))
-    inside = inside_regions(sources, fields)
+    sources, n = valid_sources(gaia), gaia.count()  # a count of whole rows comes from the files' footers
+    places = star_positions(stars)
+    near = radius_join(places, sources.withColumn("radius", F.lit(arcsec / 3600.0)), fit_pivots(places, sources, stars.count(), n))
+    inside = inside_regions(sources, fields, fit_pivots(sources, n=n))
     return (
         near.select(F.lit("near").alias("kind"), F.col("query_id").alias("source_id"), F.col("point_id").alias("other_id"))
         .unionByName(inside.select(F.lit("inside").alias("kind"), F.col("point_id").alias("source_id"), F.col("field_id").alias("other_id")))

@@ -167,10 +167,9 @@ def first_location(spark, d):
 
 
 def centre_neighbours(spark, d):
-    """Other solved centres within half a degree of each, by the radius join."""
+    """How many other solved centres lie within half a degree of each, counted inside the radius join."""
     s = table(spark, d, "solve_log").select("log_id", F.col("outcome.field.center.ra").alias("ra"), F.col("outcome.field.center.dec").alias("dec")).dropDuplicates(["log_id"]).withColumnRenamed("log_id", "id")
-    got = spatial_join.radius_join(s, s.withColumn("radius", F.lit(0.5))).where(F.col("query_id") != F.col("point_id"))
-    return got.groupBy(F.col("query_id").alias("log_id")).agg(F.count(F.lit(1)).alias("neighbours"))
+    return spatial_join.neighbour_counts(s, 0.5).select(F.col("query_id").alias("log_id"), F.col("n").alias("neighbours"))
 
 
 def _px(spark, d):

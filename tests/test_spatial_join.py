@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from skyframe.operators import spatial_join as sj
@@ -55,3 +56,40 @@ def test_boxes_across_zero_and_inclusive_borders(spark):
 def test_right_ascension_is_taken_modulo_360(spark):
     g = spark.createDataFrame([(1, 370.0, 0.0), (2, -10.0, 0.0), (3, 10.0, 91.0), (4, float("inf"), 0.0)], "source_id long, ra double, dec double")
     assert sorted((r["id"], r["ra"]) for r in sj.valid_sources(g).collect()) == [(1, 10.0), (2, 350.0)]
+
+
+def test_hot_points_and_hot_discs_of_one_cell_are_split(spark, monkeypatch):
+    monkeypatch.setattr(sj, "PART_ROWS", 100)
+    rng = np.random.default_rng(5)
+    p = pd.DataFrame({"id": range(3000), "ra": 120.0, "dec": -30.0})
+    p.loc[2000:, "ra"] = rng.uniform(0, 360, 1000)
+    q = pd.DataFrame({"id": range(1500), "ra": 120.0, "dec": -30.0 + rng.uniform(-2e-3, 2e-3, 1500), "radius": 0.001})
+    points, discs = spark.createDataFrame(p), spark.createDataFrame(q)
+    pivots = sj.fit_pivots(points, discs)
+    assert pivots.parts.max() >= 10 and pivots.disc_parts.max() >= 10
+    got = [tuple(r) for r in sj.radius_join(points, discs, pivots).select("query_id", "point_id").collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(p, q)
+
+
+def test_more_than_five_thousand_cells(spark):
+    rng = np.random.default_rng(6)
+    n = 9000
+    p = pd.DataFrame({"id": range(n), "ra": rng.uniform(0, 360, n), "dec": np.degrees(np.arcsin(rng.uniform(-1, 1, n)))})
+    q = p.iloc[::9].assign(radius=1.0)
+    points = spark.createDataFrame(p)
+    pivots = sj.fit_pivots(points, rows_per_cell=1)
+    assert len(pivots.parts) > 5000
+    cells = next(sj._ship(pivots, 0)(iter([pa.RecordBatch.from_pandas(p.assign(radius=0.0), preserve_index=False)])))
+    tables = list(sj._whole_cells(iter(pa.Table.from_batches([cells]).sort_by([("cell", "ascending"), ("part", "ascending")]).to_batches(500))))
+    keys = [set(sj._key(t).tolist()) for t in tables]
+    assert sum(map(len, keys)) == len(set().union(*keys))
+    got = {tuple(r) for r in sj.radius_join(points, spark.createDataFrame(q), pivots).select("query_id", "point_id").collect()}
+    assert got == brute(p, q)
+
+
+def test_neighbour_counts(spark):
+    rng = np.random.default_rng(8)
+    p = pd.DataFrame({"id": range(400), "ra": rng.uniform(0, 3, 400), "dec": rng.uniform(-1, 2, 400)})
+    pairs = brute(p, p.assign(radius=0.2))
+    want = pd.Series([a for a, b in pairs if a != b]).value_counts().to_dict()
+    assert {r["query_id"]: r["n"] for r in sj.neighbour_counts(spark.createDataFrame(p), 0.2).collect()} == want
