@@ -28,7 +28,12 @@ def p4_unified(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_versions(spark: SparkSession, d: str) -> DataFrame:
     """Schema version and fingerprint of each shard."""
-    return _shards(spark, d).rules.select("shard_id", "feed", "seq", "version", "fingerprint")
+    return _shards(spark, d).versions().select("shard_id", "feed", "seq", "version", "fingerprint")
+
+
+def p4_steps(spark: SparkSession, d: str) -> DataFrame:
+    """The migration steps that lead from version to version."""
+    return _shards(spark, d).steps()
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -41,7 +46,7 @@ def p5_loaded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries():
-    return {"p2_found": p2_found, "p4_found": p4_found, "p4_unified": p4_unified, "p4_versions": p4_versions, "p5_found": p5_found, "p5_loaded": p5_loaded}
+    return {"p2_found": p2_found, "p4_found": p4_found, "p4_unified": p4_unified, "p4_versions": p4_versions, "p4_steps": p4_steps, "p5_found": p5_found, "p5_loaded": p5_loaded}
 
 
 HAVERSINE = "2.0e0*degrees(asin(least(1.0e0,sqrt(pow(sin(radians(d2-d1)/2.0e0),2)+cos(radians(d1))*cos(radians(d2))*pow(sin(radians(r2-r1)/2.0e0),2)))))"

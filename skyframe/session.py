@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,7 +27,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             named = tempfile.mkdtemp(prefix="skyframe-checkpoint-")
         sc.setCheckpointDir(named)
-        current = named
+        current = sc.getCheckpointDir()
     return current
 
 
@@ -39,6 +40,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared checkpoint folder and read it from there.
+
+    Cuts lineage like :func:`cut`, but in compressed columns, of which later plans read only
+    those that they need.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Configured number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

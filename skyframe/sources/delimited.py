@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv as pv
@@ -13,13 +14,11 @@ import pyarrow.csv as pv
 DEFAULTS = {"source_id": "source_id", "ra": "ra", "dec": "dec", "mag": "phot_g_mean_mag", "pmra": "pmra", "pmdec": "pmdec"}
 ROLES = list(DEFAULTS)
 CHECKED = ["ra", "dec", "mag", "pmra", "pmdec"]
-REQUIRED = {"ra", "dec"}
 REASONS = ["", "quoting", "field_count", *[f"bad_{r}" for r in CHECKED]]
 
 #: A line whose quoted fields are closed and whose unquoted ones have no quote (linear-time engine).
 WELL_QUOTED = r'^(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*$'
 NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
-INTEGER = r"^[+-]?[0-9]+$"
 
 
 def header_names(line: str) -> list[str]:
@@ -51,18 +50,11 @@ class Parsed:
         self.at, self.columns, self.n = at, columns, len(at)
         self._all = None
 
-    def field(self, index: np.ndarray) -> pa.Array:
-        """The field number ``index[i]`` of each row i; null where it is negative."""
+    def cells(self, row: np.ndarray, column: np.ndarray) -> pa.Array:
+        """The values at these places."""
         if self._all is None:
             self._all = pa.concat_arrays(self.columns)
-        place = index * self.n + np.arange(self.n)
-        return self._all.take(pa.array(place, mask=index < 0))
-
-    def row_major(self, rows: np.ndarray) -> pa.Array:
-        if self._all is None:
-            self._all = pa.concat_arrays(self.columns)
-        w = len(self.columns)
-        return self._all.take(pa.array((np.arange(w)[None, :] * self.n + rows[:, None]).ravel()))
+        return self._all.take(pa.array(column * self.n + row))
 
 
 def parse_batch(lines: pa.Array, width: np.ndarray) -> tuple[np.ndarray, list[Parsed]]:
@@ -73,8 +65,9 @@ def parse_batch(lines: pa.Array, width: np.ndarray) -> tuple[np.ndarray, list[Pa
     the rows with too few or too many fields.
     """
     lines = pc.utf8_rtrim_whitespace(lines)
-    odd = pc.match_substring_regex(lines, r"[\r\n]").to_numpy(zero_copy_only=False).astype(bool)
-    quoted = pc.match_substring_regex(lines, WELL_QUOTED.replace("[^\"]", r"[^\"]")).to_numpy(zero_copy_only=False).astype(bool)
+    odd = _matches(lines, r"[\r\n]")
+    plain = ~pc.match_substring(lines, '"').to_numpy(zero_copy_only=False).astype(bool)
+    quoted = plain if plain.all() else plain | _matches(lines, WELL_QUOTED)
     code = np.where(quoted, 0, 1).astype(np.int8)
     parsed = []
     for w in np.unique(width[quoted]):
@@ -101,11 +94,11 @@ def parse_batch(lines: pa.Array, width: np.ndarray) -> tuple[np.ndarray, list[Pa
         if len(good) != t.num_rows:
             raise ValueError(f"the CSV reader returned {t.num_rows} of {len(good)} rows")
         if len(good):
-            parsed.append(Parsed(good, [_one(t.column(k)) for k in names]))
+            parsed.append(Parsed(good, [one(t.column(k)) for k in names]))
     return code, parsed
 
 
-def _one(c: pa.ChunkedArray) -> pa.Array:
+def one(c: pa.ChunkedArray) -> pa.Array:
     return c.chunk(0) if c.num_chunks == 1 else pa.concat_arrays(c.chunks)
 
 
@@ -118,56 +111,63 @@ def present(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 def numbers(values: pa.Array) -> np.ndarray:
     """Doubles of plain ASCII decimal numbers; NaN where the text is anything else."""
-    ok = pc.match_substring_regex(values, NUMBER).to_numpy(zero_copy_only=False).astype(bool)
+    ok = _matches(values, NUMBER)
     out = np.full(len(values), np.nan)
     if ok.any():
-        out[ok] = values.filter(pa.array(ok)).to_numpy(zero_copy_only=False).astype(np.float64)
+        plain = values if ok.all() else values.filter(pa.array(ok))
+        try:
+            got = pc.cast(pc.utf8_ltrim(plain, "+"), pa.float64()).to_numpy(zero_copy_only=False)
+        except pa.ArrowInvalid:  # a number beyond the range of doubles
+            got = np.array([float(x) for x in plain.to_pylist()])
+        out[ok] = got
     out[~np.isfinite(out)] = np.nan
     return out
 
 
-def check_values(p: Parsed, roles: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Reason code of each row by its values, and the doubles of the five checked roles.
-
-    ``roles[i, k]`` is the field number of role k in row i, -1 if the shard has none; such a
-    value is missing. Missing is allowed but in ``ra`` and ``dec``.
-    """
-    code = np.zeros(p.n, np.int8)
-    values = {}
-    for r in CHECKED:
-        v, there = present(p.field(roles[:, ROLES.index(r)]))
-        x = numbers(v)
-        bad = there & np.isnan(x)
-        if r in REQUIRED:
-            low, high = (0.0, 360.0) if r == "ra" else (-90.0, 90.0)
-            bad |= ~there | (x < low) | (x > high)
-        x[~there] = np.nan
-        code = np.where((code == 0) & bad, REASONS.index(f"bad_{r}"), code).astype(np.int8)
-        values[r] = x
-    return code, values
-
-
-def type_codes(values: pa.Array) -> np.ndarray:
-    """0 missing, 1 integer, 2 decimal, 3 text."""
-    v, there = present(values)
-    integer = pc.match_substring_regex(v, INTEGER).to_numpy(zero_copy_only=False).astype(bool)
-    number = ~np.isnan(numbers(v))
-    return np.where(~there, 0, np.where(integer, 1, np.where(number, 2, 3))).astype(np.int8)
-
-
-def normalised(values: pa.Array) -> list[str | None]:
-    """Texts that are equal for equal numbers: integers stay exact, other numbers by their double."""
-    v, there = present(values)
-    code = type_codes(v)
-    out: list[str | None] = []
-    for s, t, ok in zip(v.to_pylist(), code, there):
-        if not ok:
-            out.append(None)
-        elif t == 1:
-            out.append(str(int(s)) if len(s) < 4000 else s)
-        elif t == 2:
-            x = float(s)
-            out.append(str(int(x)) if x == int(x) and abs(x) < 2**53 else repr(x))
-        else:
-            out.append(s)
-    return out
+def _matches(values: pa.Array, pattern: str) -> np.ndarray:
+    return pc.match_substring_regex(values, pattern).to_numpy(zero_copy_only=False).astype(bool)
+
+
+#: What a pattern says of a value: missing, text, or a number that is an integer or not and may be a right
+#: ascension, a declination, both or neither. A row that has no fields has the pattern of its reason.
+MISSING, TEXT = "m", "t"
+NUMBERS = {s: (k & 4 == 0, k & 2 != 0, k & 1 != 0) for k, s in enumerate("abcdefgh")}
+INTEGERS = [s for s, (whole, _, _) in NUMBERS.items() if whole]
+RA_ALLOWED = [s for s, (_, ra, _) in NUMBERS.items() if ra]
+DEC_ALLOWED = [s for s, (_, _, dec) in NUMBERS.items() if dec]
+BROKEN = {1: "!1", 2: "!2"}
+
+
+class Cells:
+    """The values of one column of equal-width rows, looked at once."""
+
+    def __init__(self, values: pa.Array) -> None:
+        self.text, self.there = present(values)
+        self.number = numbers(self.text)
+        known = ~np.isnan(self.number)
+        self.whole = known & ~_matches(self.text, "[.eE]")
+        x = np.where(known, self.number, -1e9)
+        kind = ord("a") + 4 * ~self.whole + 2 * ((x >= 0) & (x <= 360)) + ((x >= -90) & (x <= 90))
+        self.symbol = np.where(~self.there, ord(MISSING), np.where(known, kind, ord(TEXT))).astype(np.uint8)
+
+    def tokens(self, telling: int) -> np.ndarray:
+        """A hash of each value, equal for equal numbers however they are written; -1 where it cannot tell a source from others."""
+        digits = pc.replace_substring_regex(self.text, r"^[+-]?[0.]*|[.]|[eE][+-]?[0-9]+$", "")
+        tells = self.there & (pc.utf8_length(digits).to_numpy(zero_copy_only=False) >= telling)
+        exact = np.abs(self.number) < 2.0**53
+        out = np.full(len(tells), -1, np.int64)
+        by_value = tells & exact
+        out[by_value] = (self.number[by_value] + 0.0).view(np.int64)
+        rest = np.flatnonzero(tells & ~exact)  # long integers and text keep all their characters
+        if len(rest):
+            plain = pc.replace_substring_regex(self.text.take(pa.array(rest)), r"^\+", "")
+            out[rest] = pd.util.hash_array(plain.to_numpy(zero_copy_only=False).astype(object)).view(np.int64)
+        out[tells] = (out[tells].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(1)).view(np.int64)
+        return out
+
+
+def patterns(columns: list[Cells], n: int) -> pa.Array:
+    """One string per row with the symbol of each of its values."""
+    w = len(columns)
+    flat = np.stack([c.symbol for c in columns], axis=1).tobytes()
+    return pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer((np.arange(n + 1) * w).astype(np.int32)), pa.py_buffer(flat)])
