@@ -20,6 +20,8 @@ from ..session import cut, narrow_batches, stored
 from . import delimited as dl
 
 SALTS = 16
+#: Shards whose rules (numbers of columns, at most a few hundred bytes each) may be sent to all tasks.
+FEW_SHARDS = 50_000
 CHUNK_ROWS = 50_000
 #: A value of at least this many digits or letters can tell a source from the others.
 TELLING = 6
@@ -131,20 +133,23 @@ def _fields(batches):
             yield pa.RecordBatch.from_arrays([x.take(pa.array(p.at)) for x in ids] + [dl.patterns(columns, p.n), fields], names=["shard_id", "raw_id", "pattern", "fields"])
 
 
-def _with_shard(lines: DataFrame, shards: DataFrame) -> DataFrame:
+def _with_shard(lines: DataFrame, shards: DataFrame, few: bool) -> DataFrame:
     """Rows of all shards with columns of their shard, the header lines left out.
 
-    A shard is repeated for each salt and its lines are salted, so that a join which has to
-    shuffle them does not put a hot shard into one task. The planner joins without a shuffle
-    where it sees that the shards are few.
+    ``few`` tells that the shards have been counted and are at most FEW_SHARDS: then they are
+    sent to the tasks and the lines stay where they are. Otherwise a shard is repeated for each
+    salt and its lines are salted, so that the join does not put a hot shard into one task.
     """
-    salted = lines.withColumn("salt", F.pmod(F.xxhash64("raw_id"), F.lit(SALTS)).cast("int"))
-    every = shards.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(every, ["shard_id", "salt"]).where(F.col("raw_id") != F.col("header_id")).drop("salt", "header_id")
+    if few:
+        got = lines.join(F.broadcast(shards), "shard_id")
+    else:
+        salted = lines.withColumn("salt", F.pmod(F.xxhash64("raw_id"), F.lit(SALTS)).cast("int"))
+        got = salted.join(shards.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["shard_id", "salt"]).drop("salt")
+    return got.where(F.col("raw_id") != F.col("header_id")).drop("header_id")
 
 
-def facts(raw: DataFrame, shards: DataFrame) -> DataFrame:
-    """``shard_id, raw_id, pattern, tokens, now, next`` of each row, in one pass over the lines and without a shuffle.
+def facts(raw: DataFrame, shards: DataFrame, few: bool) -> DataFrame:
+    """``shard_id, raw_id, pattern, tokens, now, next`` of each row, in one pass over the lines.
 
     ``now`` has the values of the columns that are new against the preceding shard, ``next``
     those of the columns that the following one lacks; both, and the tokens that link rows, are
@@ -157,7 +162,7 @@ def facts(raw: DataFrame, shards: DataFrame) -> DataFrame:
     info = shards.join(after, "shard_id", "left").select(
         "shard_id", "header_id", F.size("names").alias("width"), F.when(compared, place(F.col("fresh"))).alias("now"), place(F.col("lost")).alias("next")
     )
-    return _with_shard(carrying(raw).select("shard_id", "raw_id", "line"), info).mapInArrow(_facts, FACTS)
+    return _with_shard(carrying(raw).select("shard_id", "raw_id", "line"), info, few).mapInArrow(_facts, FACTS)
 
 
 # ---- renames ----------------------------------------------------------------------------
@@ -318,13 +323,15 @@ class ShardSet:
         self.raw = raw.select("raw_id", "shard_id", "line_no", "line")
         files = files.select("shard_id", "feed", "seq", "column_spec")
         self.shards = cut(shard_headers(self.raw, files))
-        self.facts = stored(facts(self.raw, self.shards))
+        self.few = self.shards.count() <= FEW_SHARDS
+        self.facts = stored(facts(self.raw, self.shards, self.few))
         self.rules = cut(rules(self.shards, renames(self.facts, self.shards)))
         self._versions = None
 
     def rejected(self) -> DataFrame:
         """``raw_id, shard_id, reason`` of each row that cannot become a catalogue row."""
-        seen = self.facts.select("shard_id", "raw_id", "pattern").join(self.rules.select("shard_id", "roles"), "shard_id")
+        roles = self.rules.select("shard_id", "roles")
+        seen = self.facts.select("shard_id", "raw_id", "pattern").join(F.broadcast(roles) if self.few else roles, "shard_id")
         return seen.select("raw_id", "shard_id", reason_of(F.col("pattern"), F.col("roles")).alias("reason")).where("reason is not null").distinct()
 
     def types(self) -> DataFrame:
@@ -382,7 +389,7 @@ class ShardSet:
         routes = v.withColumn("route", F.coalesce("feed", F.concat(F.lit("\x00"), F.col("shard_id").cast("string")))).join(per, "route")
         routes = routes.join(self.rules.select("shard_id", "roles"), "shard_id").select("shard_id", "feed", "version", "canonical", "roles", "columns")
         info = self.shards.select("shard_id", "header_id", F.size("names").alias("width"))
-        rows = _with_shard(carrying(self.raw).select("shard_id", "raw_id", "line"), info).mapInArrow(_fields, FIELDS).dropDuplicates(["shard_id", "raw_id"])
+        rows = _with_shard(carrying(self.raw).select("shard_id", "raw_id", "line"), info, self.few).mapInArrow(_fields, FIELDS).dropDuplicates(["shard_id", "raw_id"])
         good = rows.join(routes, "shard_id").where(reason_of(F.col("pattern"), F.col("roles")).isNull())
         clean = F.transform("fields", lambda f: F.when(~F.lower(F.trim(f)).isin("", "null"), F.trim(f)))
         good = good.withColumn("values", clean).withColumn("of", F.map_from_arrays("canonical", "values"))

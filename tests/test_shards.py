@@ -6,16 +6,17 @@ import pytest
 from conftest import DATA
 
 from skyframe.sources import delimited as dl
+from skyframe.sources import shards
 from skyframe.sources.shards import ShardSet
 
 RAW = "raw_id long, shard_id long, line_no int, line string, names string"
 FILES = "shard_id long, feed string, seq int, column_spec string, names string"
 
 
-def make(spark, shards):
-    """shards: list of (feed, seq, spec, lines)."""
+def make(spark, made):
+    """made: list of (feed, seq, spec, lines)."""
     raw, files, n = [], [], 0
-    for s, (feed, seq, spec, lines) in enumerate(shards, 1):
+    for s, (feed, seq, spec, lines) in enumerate(made, 1):
         files.append((s, feed, seq, spec, "clash"))
         for k, line in enumerate(lines, 1):
             n += 1
@@ -23,8 +24,8 @@ def make(spark, shards):
     return spark.createDataFrame(raw, RAW), spark.createDataFrame(files, FILES), raw, files
 
 
-def both(spark, shards, repeat=1):
-    raw, files, r, f = make(spark, shards)
+def both(spark, made, repeat=1):
+    raw, files, r, f = make(spark, made)
     for _ in range(repeat - 1):
         raw = raw.union(raw)
     got = ShardSet(raw, files)
@@ -43,7 +44,9 @@ BAD = [
 ]
 
 
-def test_reasons_in_order(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_reasons_in_order(spark, monkeypatch, few):
+    monkeypatch.setattr(shards, "FEW_SHARDS", few)
     got, _, p5 = both(spark, [("f", 1, None, BAD)], repeat=2)
     why = dict(p5)
     assert why[8] == "bad_ra" and why[17] == "field_count" and why[20] == "quoting" and why[30] == "bad_pmdec"
