@@ -94,12 +94,12 @@ def with_centre(df: DataFrame, nside: int, cell: str = "cell", ra: str = "ra", d
     return df.drop("__face", "__in", "__x", "__y", "__ring", "__n", "__odd", "__l")
 
 
-def centres(nside: int) -> tuple[np.ndarray, np.ndarray]:
-    """Centres of all cells, in numpy."""
-    order, n = order_of(nside), cells(nside)
-    cell = np.arange(n)
+def centres(nside: int, cell: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Centres of these cells (all of them by default), in numpy."""
+    order = order_of(nside)
+    cell = np.arange(cells(nside)) if cell is None else cell
     face, inside = cell >> (2 * order), cell & (nside * nside - 1)
-    x, y = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    x, y = np.zeros(len(cell), np.int64), np.zeros(len(cell), np.int64)
     for b in range(order):
         x |= ((inside >> (2 * b)) & 1) << b
         y |= ((inside >> (2 * b + 1)) & 1) << b
@@ -114,17 +114,35 @@ def centres(nside: int) -> tuple[np.ndarray, np.ndarray]:
     return ((lon - (odd + 1) * 0.5) * (90.0 / k)) % 360.0, np.degrees(np.arcsin(z))
 
 
-@lru_cache(maxsize=4)
-def _centre_vectors(nside: int) -> np.ndarray:
-    ra, dec = (np.radians(v) for v in centres(nside))
+def _vectors(ra: np.ndarray, dec: np.ndarray) -> np.ndarray:
+    ra, dec = np.radians(ra), np.radians(dec)
     return np.stack([np.cos(dec) * np.cos(ra), np.cos(dec) * np.sin(ra), np.sin(dec)], axis=1)
 
 
+@lru_cache(maxsize=16)
+def _centre_vectors(nside: int) -> np.ndarray:
+    return _vectors(*centres(nside))
+
+
+def cells_in_discs(nside: int, ra: np.ndarray, dec: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(disc, cell) for every cell that may hold points of each disc, ascending: a padded superset of the true cover.
+
+    All discs walk down the levels of the nested scheme together: of a level's cells only the
+    children of those that may touch the disc are looked at.
+    """
+    middle = _vectors(ra, dec)
+    disc, cell = np.repeat(np.arange(len(ra)), 12), np.tile(np.arange(12), len(ra))
+    for order in range(order_of(nside) + 1):
+        here = 1 << order
+        if order:
+            disc, cell = np.repeat(disc, 4), (cell[:, None] * 4 + np.arange(4)).ravel()
+        limit = np.radians(np.minimum(180.0, radius + cell_radius(here)))
+        at = _centre_vectors(here)[cell] if here <= 64 else _vectors(*centres(here, cell))
+        near = np.einsum("ij,ij->i", at, middle[disc]) >= np.cos(limit)[disc] - 1e-12
+        disc, cell = disc[near], cell[near]
+    order = np.lexsort((cell, disc))
+    return disc[order], cell[order]
+
+
 def cells_in_disc(nside: int, ra: float, dec: float, radius: float) -> list[int]:
-    """Cells that may hold points of the disc, ascending: a padded superset of the true cover."""
-    limit = radius + cell_radius(nside)
-    if limit >= 180:
-        return list(range(cells(nside)))
-    r, d = math.radians(ra), math.radians(dec)
-    middle = np.array([math.cos(d) * math.cos(r), math.cos(d) * math.sin(r), math.sin(d)])
-    return np.flatnonzero(_centre_vectors(nside) @ middle >= math.cos(math.radians(limit)) - 1e-12).tolist()
+    return cells_in_discs(nside, *(np.array([v], float) for v in (ra, dec, radius)))[1].tolist()

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import codec, healpix, sphere
+from ..session import narrow_batches, shuffle_width
+from . import ranks
 
 
 def row_filter(df: DataFrame, max_mag: float, min_dec: float = -90.0, max_dec: float = 90.0) -> DataFrame:
@@ -80,33 +84,55 @@ def index_info(stars: DataFrame) -> DataFrame:
     return per.agg(F.count(F.lit(1)).alias("occupied"), F.sum("n").alias("n_stars"), F.max("n").alias("max_per_cell"), F.round(F.avg("n") * 1000).cast("long").alias("mean_milli"))
 
 
+#: Discs whose covers are computed together, and about how many cells these may have.
+DISCS_AT_ONCE, CELLS_AT_ONCE = 4096, 1 << 20
+#: Pairs of a star and a disc that one task of the cone join is to test.
+PAIRS_PER_PART = 1 << 20
+#: Cells of which a table may be sent to all tasks: those of nside 256 (12 MB).
+MOST_CELLS = 12 * 256 * 256
+
+
 def disc_cells(discs: DataFrame, nside: int) -> DataFrame:
     """Cells that may hold points of each disc, one row per (disc, cell); a padded superset.
 
-    ``discs`` has ``disc_id, ra0, dec0, radius``. The cover is computed per disc in numpy from
-    the centres of all cells.
+    ``discs`` has ``disc_id, ra0, dec0, radius``, which the rows keep. Covers are computed in
+    numpy for many discs at once, down the levels of the nested scheme.
     """
-    import pandas as pd
 
     def cover(batches):
-        for pdf in batches:
-            got = [healpix.cells_in_disc(nside, r, d, q) for r, d, q in zip(pdf.ra0, pdf.dec0, pdf.radius)]
-            yield pd.DataFrame({"disc_id": pdf.disc_id.repeat([len(g) for g in got]), "cell": [c for g in got for c in g]})
+        for t in narrow_batches(batches, DISCS_AT_ONCE):
+            ra, dec, radius = (t.column(c).to_numpy() for c in ("ra0", "dec0", "radius"))
+            wide = np.radians(np.minimum(180.0, radius + healpix.cell_radius(nside)))
+            load = np.cumsum(1 + healpix.cells(nside) * (1 - np.cos(wide)) / 2) // CELLS_AT_ONCE
+            for part in np.split(np.arange(len(ra)), np.flatnonzero(np.diff(load)) + 1):
+                at, cell = healpix.cells_in_discs(nside, ra[part], dec[part], radius[part])
+                yield from t.take(pa.array(part[at])).append_column("cell", pa.array(cell)).to_batches(1 << 16)
 
-    usable = discs.where(finite("ra0", "dec0", "radius") & (F.col("radius") >= 0)).select("disc_id", "ra0", "dec0", "radius")
-    return usable.mapInPandas(cover, T.StructType([discs.schema["disc_id"], T.StructField("cell", T.LongType())]))
+    usable = discs.where(finite("ra0", "dec0", "radius") & (F.col("radius") >= 0))
+    usable = usable.select("disc_id", *[F.col(c).cast("double").alias(c) for c in ("ra0", "dec0", "radius")])
+    return usable.mapInArrow(cover, T.StructType([*usable.schema.fields, T.StructField("cell", T.LongType())]))
 
 
 def cone_search(stars: DataFrame, discs: DataFrame, nside: int = 64) -> DataFrame:
     """Stars within each disc: equi-join on the cell, then the exact distance.
 
     ``stars`` has ``star_id, cell, ra, dec, mag_milli``. The join never compares a disc with
-    stars outside its cover, a hot cell is split by the adaptive skew join, and both borders
-    and poles are exact. Adds ``sep`` in degrees. Empty inputs give an empty result.
+    stars outside its cover. Cells with many stars and many discs are split: their stars are
+    dealt to as many parts as the pairs demand, to each of which the discs go. Both borders and
+    poles are exact. Adds ``sep`` in degrees. Empty inputs give an empty result.
     """
-    cover = disc_cells(discs, nside).join(discs.select("disc_id", "ra0", "dec0", "radius"), "disc_id")
-    near = stars.join(cover, "cell").withColumn("sep", sphere.separation(F.col("ra0"), F.col("dec0"), F.col("ra"), F.col("dec")))
-    return near.where(F.col("sep") <= F.col("radius"))
+    cover = disc_cells(discs, nside)
+    width = shuffle_width(stars.sparkSession)
+    per = cell_histogram(stars).join(cover.groupBy("cell").agg(F.count(F.lit(1)).alias("discs")), "cell")
+    hot = per.select("cell", F.ceil(F.col("n") * F.col("discs") / PAIRS_PER_PART).cast("int").alias("parts")).where(F.col("parts") > 1)
+    hot = F.broadcast(hot) if healpix.cells(nside) <= MOST_CELLS else hot
+    parts = F.coalesce("parts", F.lit(1))
+    left = stars.join(hot, "cell", "left").withColumn("part", F.pmod(F.xxhash64("star_id"), parts).cast("int")).drop("parts")
+    right = cover.join(hot, "cell", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    # a number of partitions that is asked for is not put together: the work is in the pairs, not in the bytes
+    near = left.repartition(width, "cell", "part").join(right.repartition(width, "cell", "part"), ["cell", "part"]).drop("part")
+    sep = sphere.separation(F.col("ra0"), F.col("dec0"), F.col("ra"), F.col("dec"))
+    return near.where(F.abs(F.col("dec") - F.col("dec0")) <= F.col("radius") + 1e-9).withColumn("sep", sep).where(F.col("sep") <= F.col("radius"))
 
 
 BRIGHTEST = ["mag_milli", "cell", "star_id"]
@@ -134,8 +160,15 @@ def stratified(cone: DataFrame, k: int | Column, bound: int | None = None) -> Da
 
 
 def index_order(cone: DataFrame) -> DataFrame:
-    """All stars of each disc numbered in index order (cell, magnitude)."""
-    return cone.withColumn("place", F.row_number().over(Window.partitionBy("disc_id").orderBy("cell", "mag_milli", "star_id")))
+    """All stars of each disc numbered in index order (cell, magnitude).
+
+    A star's place is its place in its cell and disc, after all stars of the disc's earlier
+    cells: only counts per cell pass through one task per disc.
+    """
+    place = F.row_number().over(Window.partitionBy("disc_id", "cell").orderBy("mag_milli", "star_id"))
+    before = F.sum("__n").over(Window.partitionBy("disc_id").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
+    first = cone.groupBy("disc_id", "cell").agg(F.count(F.lit(1)).alias("__n")).select("disc_id", "cell", F.coalesce(before, F.lit(0)).alias("__first"))
+    return cone.withColumn("__in", place).join(first, ["disc_id", "cell"]).withColumn("place", F.col("__first") + F.col("__in")).drop("__in", "__first")
 
 
 def concentration(selected: DataFrame, nside: int = 64) -> DataFrame:
@@ -167,11 +200,13 @@ def select_catalogue(cone: DataFrame, limit: int | Column, nside: int = 64, thre
     return plain.unionByName(spread)
 
 
-def global_order(stars: DataFrame, nside: int = 64) -> DataFrame:
-    """Add ``global_idx``, a star's place in the whole index, from cell offsets and the place in the cell."""
-    first = cell_offsets(stars, nside).select("cell", "first")
-    place = F.row_number().over(Window.partitionBy("cell").orderBy("mag_milli", "star_id"))
-    return stars.withColumn("place", place).join(first, "cell").withColumn("global_idx", F.col("first") + F.col("place") - 1).drop("place", "first")
+def global_order(stars: DataFrame) -> DataFrame:
+    """Add ``global_idx``, a star's place in the whole index (cell, magnitude, star), from 0.
+
+    The stars are sorted in range partitions, which split a hot cell, and a partition's first
+    place is the number of stars before it.
+    """
+    return ranks.numbered(stars, ["cell", "mag_milli", "star_id"], "global_idx")
 
 
 def star_at(indexed: DataFrame, wanted: DataFrame) -> DataFrame:

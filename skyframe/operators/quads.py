@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import sphere
-from . import catalog, joins
+from . import catalog, joins, ranks
 
 #: Scales of the pattern bands in degrees (fixed values).
 BANDS = [0.25, 0.5, 1.0, 2.0, 4.0, 8.0]
@@ -174,13 +174,12 @@ def code_join(left: DataFrame, right: DataFrame, tol: float, left_code: str = "c
 def quantile_edges(codes: DataFrame, keys: list[str], bins: int = 48) -> DataFrame:
     """``keys, axis, i, edge``: values at ranks floor(i (n-1) / bins) of each code axis.
 
-    Ranks come from one window per key and axis over partitioned rows; the keys are pattern bands.
+    Exact for any number of codes: ranks are found in sorted partitions (``ranks.values_at``),
+    so that a pattern band, of which there are few, is never in one task.
     """
     long = codes.select(*keys, F.posexplode("code").alias("axis", "v"))
-    w = Window.partitionBy(*keys, "axis")
-    ranked = long.withColumn("rk", F.row_number().over(w.orderBy("v")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
-    at = F.filter(F.sequence(F.lit(0), F.lit(bins)), lambda i: F.floor(i * (F.col("n") - 1) / bins) == F.col("rk"))
-    return ranked.select(*keys, "axis", F.explode(at).alias("i"), F.col("v").alias("edge"))
+    wanted = F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda i: F.struct(i.alias("i"), F.floor(i * (F.col("n") - 1) / bins).alias("rank")))
+    return ranks.values_at(long, [*keys, "axis"], "v", wanted).select(*keys, "axis", "i", F.col("v").alias("edge"))
 
 
 def grid_join(left: DataFrame, right: DataFrame, edges: DataFrame, tol: float, keys: list[str], bins: int = 48) -> DataFrame:

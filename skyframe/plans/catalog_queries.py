@@ -101,10 +101,13 @@ def select_catalogue(spark, d):
 
 
 def star_at_index(spark, d):
-    """Stars of patterns given by places in the index, some of which lie beyond its end."""
-    indexed = catalog.global_order(stars(spark, d), NSIDE).select("global_idx", "star_id")
+    """Stars of patterns given by places all over the index, and some beyond its end."""
+    s = stars(spark, d)
+    indexed = catalog.global_order(s).select("global_idx", "star_id")
     quads = table(spark, d, "frames").select(F.col("frame_id").alias("quad_id")).distinct()
-    wanted = quads.select("quad_id", F.posexplode(F.array(*[(F.col("quad_id") * m) % 25000 for m in (7, 211, 5003, 911)])).alias("k", "global_idx"))
+    n = s.agg((F.count(F.lit(1)) + F.lit(3)).alias("n"))  # one row
+    places = F.array(*[(F.col("quad_id") * m) % F.col("n") for m in (7919, 104729, 1299709, 15485863)])
+    wanted = quads.join(F.broadcast(n)).select("quad_id", F.posexplode(places).alias("k", "global_idx"))
     return catalog.star_at(indexed, wanted).select("quad_id", "k", "star_id")
 
 
@@ -245,7 +248,8 @@ select cell, n, sum(n) over (order by cell) - n as first, sum(n) over (order by
 crowded as (select disc_id from conc where n >= cells and busiest/(n/cells) >= 2)
 select disc_id, star_id, "rank", false stratified from top where disc_id not in (from crowded) union all select disc_id, star_id, "rank", true from strat where disc_id in (from crowded) and mag_milli <= 20500""",
         "star_at_index": f"""with {STARS}, i as (select star_id, row_number() over (order by cell, mag_milli, star_id) - 1 g from stars), f as (select distinct frame_id quad_id from frames),
-w as (select quad_id, k, (quad_id * m) % 25000 g from f, (values (0,7),(1,211),(2,5003),(3,911)) v(k, m)), j as (select * from w join i using (g))
+n as (select count(*) + 3 n from stars),
+w as (select quad_id, k, (quad_id * m) % n g from f, n, (values (0,7919),(1,104729),(2,1299709),(3,15485863)) v(k, m)), j as (select * from w join i using (g))
 select quad_id, k, star_id from j where quad_id in (select quad_id from j group by quad_id having count(*) = 4)""",
         "star_pack": f"""with {DISTINCT_GAIA} select source_id, ra_scaled, dec_scaled, mag_milli, pmra_mas, pmdec_mas, clamped, count(*) n from (select source_id,
   cast(round(({MOD('ra', '360.0e0')}) * (4294967296.0e0/360.0e0)) as bigint) & 4294967295 ra_scaled, cast(round(dec * (2147483647.0e0/90.0e0)) as int) dec_scaled,
