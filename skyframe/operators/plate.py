@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from .quads import canonical_codes, triples
+from .quads import canonical_codes, point_patterns
 
 
 @dataclass
@@ -237,24 +237,8 @@ class Quads:
 
 def build_quads(x: np.ndarray, y: np.ndarray, k: int = 6, limit: int = 600) -> Quads:
     """Patterns of each point with three of its k nearest, one rank of every seed before the next."""
-    n, k = len(x), max(3, min(12, k))
-    k = min(k, n - 1)
-    if n < 4:
-        return Quads(np.empty((0, 4), int), np.empty((0, 4)), np.empty(0))
-    d2 = (x[:, None] - x) ** 2 + (y[:, None] - y) ** 2
-    np.fill_diagonal(d2, np.inf)
-    near = np.argsort(d2, axis=1, kind="stable")[:, :k]
-    t = np.array(triples(k))
-    idx = np.concatenate([np.repeat(np.arange(n), len(t))[:, None], near[:, t].reshape(-1, 3)], axis=1)
-    code, diag = canonical_codes(x[idx], y[idx])
-    ok = np.isfinite(code[:, 0])
-    idx, code, diag = idx[ok], code[ok], diag[ok]
-    _, first = np.unique(np.sort(idx, axis=1), axis=0, return_index=True)
-    first.sort()
-    idx, code, diag = idx[first], code[first], diag[first]
-    rank = np.arange(len(idx)) - np.searchsorted(idx[:, 0], idx[:, 0])
-    order = np.lexsort((idx[:, 0], rank))[:limit]
-    return Quads(idx[order], code[order], diag[order])
+    idx, _, code, diag = point_patterns(x, y, np.zeros(min(1, len(x)), np.int64), k, limit)
+    return Quads(idx, code, diag)
 
 
 def merged_votes(key: np.ndarray, count: np.ndarray) -> np.ndarray:

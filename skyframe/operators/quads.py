@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import sphere
-from . import catalog, joins, ranks
+from ..session import whole_groups
+from . import catalog, ranks
 
 #: Scales of the pattern bands in degrees (fixed values).
 BANDS = [0.25, 0.5, 1.0, 2.0, 4.0, 8.0]
@@ -23,24 +24,6 @@ def triples(k: int) -> list[tuple[int, int, int]]:
     return [(a, b, c) for a in range(k) for b in range(a + 1, k) for c in range(b + 1, k)]
 
 
-def candidate_sets(points: DataFrame, keys: list[str], k: int = 6) -> DataFrame:
-    """``keys, seed, ord, idx, p``: each point with every three of its k nearest, once per set.
-
-    ``points`` has ``keys, i, x, y`` and is bounded per key. A set of four points belongs to
-    its lowest seed; ``ord`` is the place of the three among the seed's neighbours, and ``p`` has
-    the points in the order seed, neighbours.
-    """
-    k = max(3, min(12, k))
-    sets = points.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("x", "y")))).alias("at"))
-    near = joins.nearest_neighbours(points, keys, k).groupBy(*keys, "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "j"))), lambda n: n["j"]).alias("near"))
-    combos = F.array(*[F.array(*[F.lit(v) for v in t]) for t in triples(k)])
-    got = near.select(*keys, F.col("i").alias("seed"), "near", F.posexplode(combos).alias("ord", "t")).where(F.element_at("t", 3) < F.size("near"))
-    got = got.withColumn("idx", F.concat(F.array("seed"), F.transform("t", lambda v: F.get("near", v)))).withColumn("set", F.array_sort("idx"))
-    first = F.row_number().over(Window.partitionBy(*keys, "set").orderBy("seed", "ord"))
-    once = got.withColumn("__r", first).where(F.col("__r") == 1).drop("__r", "near", "t", "set")
-    return once.join(sets, keys).withColumn("p", F.transform("idx", lambda v: F.element_at("at", v))).drop("at")
-
-
 def canonical_codes(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Codes (n, 4) and diagonals (n) of n patterns given as (n, 4) coordinates; NaN where points coincide.
 
@@ -105,35 +88,106 @@ def mirrored_codes(code: np.ndarray) -> np.ndarray:
     return canonical_codes(np.stack([zero, zero + 1, code[:, 0], code[:, 2]], axis=1), np.stack([zero, zero + 1, code[:, 1], code[:, 3]], axis=1))[0]
 
 
-def interleave(quads: DataFrame, keys: list[str], limit: int, within: list[Column] | None = None) -> DataFrame:
-    """The first ``limit`` patterns of each key, one rank of every seed before the next rank."""
-    r = F.row_number().over(Window.partitionBy(*keys, "seed").orderBy(*(within or [F.col("ord")])))
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("r", "seed"))
-    return quads.withColumn("r", r).withColumn("place", place).where(F.col("place") <= limit)
+#: Rows of point sets whose patterns are coded together.
+ROWS_AT_ONCE = 1 << 13
 
 
-def build_quads(points: DataFrame, keys: list[str], k: int = 6, limit: int = 600) -> DataFrame:
-    """``keys, place, seed, idx, code, diag`` of the patterns of bounded point sets."""
-    return interleave(with_code(candidate_sets(points, keys, k)), keys, limit)
+def nearest(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+    """The k nearest others of each of n > k points, nearest first, ties by number."""
+    d2 = (x[:, None] - x) ** 2 + (y[:, None] - y) ** 2
+    np.fill_diagonal(d2, np.inf)
+    limit = np.partition(d2, k - 1, axis=1)[:, k - 1 : k]
+    row, col = np.nonzero(d2 <= limit)  # all that tie with the k-th
+    order = np.lexsort((col, d2[row, col], row))
+    row, col = row[order], col[order]
+    return col[np.searchsorted(row, np.arange(len(x)))[:, None] + np.arange(k)]
 
 
-def conditioning(code: str = "code", p: str = "p") -> Column:
-    """How far a pattern is from being ambiguous: off its own diagonal, and its widest pair from the next."""
-    q = lambda i: F.col(code)[i]
-    off = F.least(F.abs((q(1) - q(0)) / 2), F.abs((q(3) - q(2)) / 2))
-    pt = lambda i: F.col(p)[i]
-    d = [F.sqrt((pt(j)["x"] - pt(i)["x"]) * (pt(j)["x"] - pt(i)["x"]) + (pt(j)["y"] - pt(i)["y"]) * (pt(j)["y"] - pt(i)["y"])) for i, j, _, _ in PAIRS]
-    s = F.sort_array(F.array(*d), asc=False)
-    return F.least(off, (s[0] - s[1]) / s[0])
+def conditioning(code: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How far patterns are from being ambiguous: off their own diagonal, and the widest pair from the next."""
+    off = np.minimum(np.abs((code[:, 1] - code[:, 0]) / 2), np.abs((code[:, 3] - code[:, 2]) / 2))
+    d = np.sort(np.stack([np.sqrt((x[:, j] - x[:, i]) ** 2 + (y[:, j] - y[:, i]) ** 2) for i, j, _, _ in PAIRS], axis=1), axis=1)
+    return np.minimum(off, (d[:, 5] - d[:, 4]) / d[:, 5])
 
 
-def select_conditioned(quads: DataFrame, keys: list[str], cap: int = 25) -> DataFrame:
-    """At most ``cap`` patterns per key, the best-conditioned of each seed first; all if they are few."""
-    few = F.count(F.lit(1)).over(Window.partitionBy(*keys)) <= cap
-    key = F.when(F.col("__few"), F.lit(0.0)).otherwise(F.round(conditioning(), 9))  # rounding makes ties of equal shapes
-    df = quads.drop("r", "place").withColumn("__few", few).withColumn("cond", key)
-    order = [F.desc("cond"), F.when(F.col("__few"), F.col("ord")), F.col("idx")]
-    return interleave(df, keys, cap, order).drop("__few")
+def _places(group: np.ndarray, seed: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns in interleaved order, and the place of each in its group: one rank of every seed before the next rank."""
+    seed = seed[order]
+    rank = np.arange(len(order)) - np.searchsorted(seed, seed)
+    again = np.lexsort((seed, rank, group[order]))
+    order = order[again]
+    return order, np.arange(len(order)) - np.searchsorted(group[order], group[order]) + 1
+
+
+def point_patterns(x: np.ndarray, y: np.ndarray, starts: np.ndarray, k: int, limit: int, cap: int | None = None):
+    """Patterns of many point sets at once: rows of the four points, place, code and diagonal.
+
+    Each point with every three of its k nearest makes a set of four, which belongs to its
+    first seed and the first such three. Of each point set the first ``limit`` patterns are kept,
+    in interleaved order. With ``cap``, at most so many are kept of these, the best-conditioned
+    of each seed first; all in their order if they are few.
+    """
+    k = max(3, min(12, k))
+    idx, owner = [np.empty((0, 4), np.int64)], [np.empty(0, np.int64)]
+    for g, (a, b) in enumerate(zip(starts, [*starts[1:], len(x)])):
+        if b - a >= 4:
+            near = nearest(x[a:b], y[a:b], min(k, b - a - 1))
+            t = np.array(triples(near.shape[1]))
+            idx.append(a + np.concatenate([np.repeat(np.arange(b - a), len(t))[:, None], near[:, t].reshape(-1, 3)], axis=1))
+            owner.append(np.full(len(idx[-1]), g))
+    idx, owner = np.concatenate(idx), np.concatenate(owner)
+    same = np.sort(idx, axis=1)
+    order = np.lexsort(same.T)
+    new = np.ones(len(order), bool)
+    new[1:] = (same[order][1:] != same[order][:-1]).any(1)
+    first = np.sort(np.minimum.reduceat(order, np.flatnonzero(new))) if len(order) else order
+    code, diag = canonical_codes(x[idx[first]], y[idx[first]])
+    ok = np.isfinite(code[:, 0])
+    idx, owner, code, diag = idx[first][ok], owner[first][ok], code[ok], diag[ok]
+    order, place = _places(owner, idx[:, 0], np.arange(len(idx)))
+    order, place = order[place <= limit], place[place <= limit]
+    if cap is not None:
+        order = np.sort(order)
+        idx, owner, code, diag = idx[order], owner[order], code[order], diag[order]
+        few = np.bincount(owner, minlength=len(starts))[owner] <= cap
+        cond = np.where(few, 0.0, np.round(conditioning(code, x[idx], y[idx]), 9))  # rounding makes ties of equal shapes
+        turn = np.where(few, np.arange(len(idx)), 0)
+        order, place = _places(owner, idx[:, 0], np.lexsort((*idx.T[::-1], turn, -cond, idx[:, 0])))
+        order, place = order[place <= cap], place[place <= cap]
+    return idx[order], place, code[order], diag[order]
+
+
+POINT = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
+
+
+def build_quads(points: DataFrame, keys: list[str], k: int = 6, limit: int = 600, cap: int | None = None, name: str = "i", grouped: bool = False) -> DataFrame:
+    """``keys, place, seed, idx, p, code, diag``: the patterns of point sets (``keys, i, x, y``), see :func:`point_patterns`.
+
+    ``idx`` has the points' values of the column ``name`` in the order seed, neighbours, ``seed``
+    the first ``i`` of it, ``p`` their places. Sets must be bounded per key (``top_by_flux``,
+    ``tile_points``); a set of fewer than four points has no pattern. A task takes whole sets,
+    many at a time, in numpy. ``grouped`` says that the rows come from a window over ``keys`` in
+    the order of ``i``, so they need not be shuffled again.
+    """
+    long = T.LongType()
+    fields = [*[points.schema[c] for c in keys], T.StructField("place", long), T.StructField("seed", long), T.StructField("idx", T.ArrayType(long)), T.StructField("p", POINT), T.StructField("code", T.ArrayType(T.DoubleType())), T.StructField("diag", T.DoubleType())]
+    slim = points.select(*keys, "i", "x", "y", *([name] if name != "i" else []))
+    if not grouped:
+        slim = slim.repartition(*keys).sortWithinPartitions(*keys, "i")
+
+    def run(batches):
+        for t, starts in whole_groups(batches, keys, ROWS_AT_ONCE):
+            x, y = (t.column(c).to_numpy().astype(float) for c in ("x", "y"))
+            idx, place, code, diag = point_patterns(x, y, starts, k, limit, cap)
+            n = len(idx)
+            lists = lambda v: pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * 4, pa.int32()), v)
+            flat = pa.StructArray.from_arrays([pa.array(x[idx].ravel()), pa.array(y[idx].ravel())], names=["x", "y"])
+            named = pa.array(t.column(name).to_numpy()[idx].ravel(), pa.int64())
+            seed = pa.array(t.column("i").to_numpy()[idx[:, 0]], pa.int64())
+            keyed = [t.column(c).take(pa.array(idx[:, 0])).combine_chunks() for c in keys]
+            yield from pa.Table.from_arrays([*keyed, pa.array(place.astype(np.int64)), seed, lists(named), lists(flat), lists(pa.array(code.ravel())), pa.array(diag)], names=[f.name for f in fields]).to_batches(1 << 14)
+
+    return slim.mapInArrow(run, T.StructType(fields))
 
 
 def band_of(diag_deg: Column, bands: list[float] = BANDS) -> Column:
@@ -211,29 +265,39 @@ def tile_sweep(spark, scale: float, bounds: tuple[float, float, float, float] =
     return df.where(inside).select((F.col("id") * 1000000 + F.col("j")).alias("disc_id"), "ra0", "dec0", F.lit(scale / 2).alias("radius"))
 
 
-def tile_points(stars: DataFrame, tiles: DataFrame, budget: int = 14, nside: int = 64) -> DataFrame:
-    """The brightest stars of each tile in its tangent plane, numbered by brightness."""
-    top = catalog.brightest(catalog.cone_search(stars, tiles, nside), budget)
+def tile_points(stars: DataFrame, scales: list[float], budget: int = 14, bounds: tuple[float, float, float, float] = (0.0, 360.0, -90.0, 90.0)) -> DataFrame:
+    """The brightest stars of each tile of the sweeps in its tangent plane: ``tile_scale, disc_id, i, star_id, x, y``.
+
+    A star names its tiles itself: the sweep is regular, so only the tiles of its own and the
+    neighbouring bands next to it can reach it. Nothing is joined; the limit is pushed below the
+    one shuffle, which is by tile. Rows come tile by tile, brightest first.
+    """
+    every = F.array(*[F.struct(F.lit(float(s)).alias("tile_scale"), F.lit(max(1, round(180.0 / s))).alias("n_dec")) for s in scales])
+    df = stars.where(catalog.finite("ra", "dec")).select("star_id", "cell", "ra", "dec", "mag_milli", F.explode(every).alias("t")).select("*", "t.*").drop("t")
+    step, half = 180.0 / F.col("n_dec"), F.col("tile_scale") / 2
+    df = df.withColumn("band", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda o: F.least(F.floor((F.col("dec") + 90.0) / step), F.col("n_dec") - 1) + o)))
+    df = df.where(F.col("band").between(0, F.col("n_dec") - 1)).withColumn("dec0", -90.0 + step * (F.col("band") + 0.5)).where(F.abs(F.col("dec") - F.col("dec0")) <= half)
+    df = df.withColumn("n_ra", F.greatest(F.lit(1), F.round(360.0 * F.cos(F.radians("dec0")) / F.col("tile_scale")).cast("int")))
+    # around a pole all tiles of a band are looked at
+    own = F.floor(F.col("ra") / 360.0 * F.col("n_ra"))
+    near = F.when(F.col("n_ra") <= 8, F.sequence(F.lit(0).cast("long"), F.col("n_ra").cast("long") - 1)).otherwise(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda o: F.pmod(own + o, F.col("n_ra").cast("long"))))
+    df = df.withColumn("j", F.explode(near)).withColumn("ra0", 360.0 / F.col("n_ra") * (F.col("j") + 0.5))
+    df = df.where(F.col("ra0").between(bounds[0], bounds[1]) & F.col("dec0").between(bounds[2], bounds[3]))
+    df = df.where(sphere.separation(*map(F.col, ("ra0", "dec0", "ra", "dec"))) <= half).withColumn("disc_id", F.col("band") * 1000000 + F.col("j"))
+    place = F.row_number().over(Window.partitionBy("tile_scale", "disc_id").orderBy(*catalog.BRIGHTEST))
+    top = df.withColumn("rank", place).where(F.col("rank") <= budget)
     xi, eta = sphere.to_plane(*map(F.col, ("ra", "dec", "ra0", "dec0")))
-    return top.select("disc_id", (F.col("rank") - 1).alias("i"), "star_id", xi.alias("x"), eta.alias("y")).where(F.col("x").isNotNull())
+    return top.select("tile_scale", "disc_id", (F.col("rank") - 1).alias("i"), "star_id", xi.alias("x"), eta.alias("y")).where(F.col("x").isNotNull())
 
 
-def build_quad_index(stars: DataFrame, scales: list[float], nside: int = 64, cap: int = 25, bounds: tuple[float, float, float, float] = (0.0, 360.0, -90.0, 90.0)) -> DataFrame:
-    """Patterns of all tiles at the given scales: ``tile_scale, disc_id, place, band, code, stars``.
+def build_quad_index(stars: DataFrame, scales: list[float] = BANDS, cap: int = 25, bounds: tuple[float, float, float, float] = (0.0, 360.0, -90.0, 90.0), budget: int = 14) -> DataFrame:
+    """Patterns of all tiles at the given scales: ``tile_scale, disc_id, place, band, code, diag, stars``.
 
-    Tiles never meet in one task; each is bounded by its star budget and pattern cap.
+    One shuffle, of the tiles' brightest stars; each tile is bounded by its star budget and pattern cap.
     """
-    parts = []
-    for s in scales:
-        pts = tile_points(stars, tile_sweep(stars.sparkSession, s, bounds), nside=nside)
-        chosen = select_conditioned(build_quads(pts.drop("star_id"), ["disc_id"], 6, 4096), ["disc_id"], cap)
-        names = pts.groupBy("disc_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "star_id"))).alias("at"))
-        got = chosen.join(names, "disc_id").withColumn("stars", F.transform("idx", lambda v: F.element_at("at", v)))
-        parts.append(got.select(F.lit(float(s)).alias("tile_scale"), "disc_id", "place", band_of(F.col("diag")).alias("band"), "code", "diag", "stars"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    keys = ["tile_scale", "disc_id"]
+    got = build_quads(tile_points(stars, scales, budget, bounds), keys, 6, 4096, cap, "star_id", grouped=True)
+    return got.select(*keys, "place", band_of(F.col("diag")).alias("band"), "code", "diag", F.col("idx").alias("stars"))
 
 
 def quad_index_info(index: DataFrame) -> DataFrame:

@@ -12,13 +12,13 @@ from ..session import cut, table
 from .catalog_queries import CONE, LINES_TO_PLANE, NSIDE, SEP, STARS, discs, micro, stars
 from .frame_queries import FRAMES, PTS, frames, points
 
-N_POINTS, N_NEAR, N_QUADS = 16, 5, 120
-TILE = 4.0
+#: Points of a frame or field, neighbours of a point, and patterns.
+N_POINTS, N_NEAR, N_QUADS = 500, 6, 600
 TOL = 0.02
 
 
-def _image(spark, d):
-    return quads.build_quads(points(spark, d, N_POINTS), ["frame_id"], N_NEAR, N_QUADS)
+def _image(spark, d, cap=None):
+    return quads.build_quads(points(spark, d, N_POINTS), ["frame_id"], N_NEAR, N_QUADS, cap, grouped=True)
 
 
 def _code(c: str = "code", n: str = "c"):
@@ -46,7 +46,7 @@ def quad_code_roundtrip(spark, d):
 
 
 def quad_conditioning_topk(spark, d):
-    return quads.select_conditioned(_image(spark, d), ["frame_id"], 25).select("frame_id", "place", F.concat_ws(",", F.transform("idx", lambda v: v.cast("string"))).alias("idx"))
+    return _image(spark, d, 25).select("frame_id", "place", F.concat_ws(",", F.transform("idx", lambda v: v.cast("string"))).alias("idx"))
 
 
 def _scaled(spark, d):
@@ -65,20 +65,23 @@ def _sky(spark, d):
     """Patterns of the brightest stars of the sky fields, in their tangent planes."""
     top = catalog.brightest(catalog.cone_search(stars(spark, d), discs(spark, d), NSIDE), N_POINTS)
     xi, eta = sphere.to_plane(*map(F.col, ("ra", "dec", "ra0", "dec0")))
-    return quads.build_quads(top.select("disc_id", (F.col("rank") - 1).alias("i"), xi.alias("x"), eta.alias("y")), ["disc_id"], N_NEAR, N_QUADS)
+    return quads.build_quads(top.select("disc_id", (F.col("rank") - 1).alias("i"), xi.alias("x"), eta.alias("y")), ["disc_id"], N_NEAR, N_QUADS, grouped=True)
+
+
+def _direction(sign=1.0):
+    p = F.col("p")
+    return F.degrees(F.atan2(p[1]["y"] - p[0]["y"], (p[1]["x"] - p[0]["x"]) * sign))
 
 
 def _matches(spark, d):
-    """Image patterns against those of the sky, as they are and mirrored."""
-    img = _image(spark, d).select("frame_id", F.col("place").alias("iq"), "code", F.col("idx").alias("image_idx"), F.col("diag").alias("idiag"), F.col("p").alias("ip"))
-    sky = _sky(spark, d).withColumnRenamed("code", "rcode")
-    parts = []
+    """Image patterns against those of the sky, as they are and mirrored; only codes, sizes and directions meet."""
+    img = _image(spark, d).select("frame_id", F.col("place").alias("iq"), "code", F.col("idx").alias("image_idx"), F.col("diag").alias("idiag"), _direction().alias("irot"))
+    sky, parts = _sky(spark, d), []
     for m in (False, True):
-        side = quads.with_code(sky.drop("diag"), "p", "rcode", True).withColumn("mirrored", F.lit(True)) if m else sky.withColumn("mirrored", F.lit(False))
-        parts.append(side.select("disc_id", F.col("place").alias("cq"), "rcode", F.col("idx").alias("sky_idx"), F.col("diag").alias("cdiag"), F.col("p").alias("cp"), "mirrored"))
+        side = quads.with_code(sky, "p", "code", True) if m else sky
+        parts.append(side.select("disc_id", F.col("place").alias("cq"), F.col("code").alias("rcode"), F.col("idx").alias("sky_idx"), F.col("diag").alias("cdiag"), _direction(-1.0 if m else 1.0).alias("crot"), F.lit(m).alias("mirrored")))
     got = quads.code_join(img, parts[0].unionByName(parts[1]), TOL)
-    ang = lambda p, s: F.degrees(F.atan2(F.col(p)[1]["y"] - F.col(p)[0]["y"], (F.col(p)[1]["x"] - F.col(p)[0]["x"]) * s))
-    rot = F.pmod(ang("cp", F.when(F.col("mirrored"), -1.0).otherwise(1.0)) - ang("ip", F.lit(1.0)), F.lit(360.0))
+    rot = F.pmod(F.col("crot") - F.col("irot"), F.lit(360.0))
     return got.withColumn("scale", F.col("cdiag") / F.col("idiag")).withColumn("rot", rot).withColumn("ord", (F.col("iq") * 1000 + F.col("cq")) * 2 + F.col("mirrored").cast("int"))
 
 
@@ -144,11 +147,11 @@ def tile_sweep(spark, d):
 
 
 def _index(spark, d):
-    return quads.build_quad_index(stars(spark, d), [TILE], NSIDE)
+    return quads.build_quad_index(stars(spark, d))
 
 
 def quad_index(spark, d):
-    return _index(spark, d).select("disc_id", "place", "band", F.concat_ws(",", F.transform("stars", lambda v: v.cast("string"))).alias("stars"))
+    return _index(spark, d).select("tile_scale", "disc_id", "place", "band", F.concat_ws(",", F.transform("stars", lambda v: v.cast("string"))).alias("stars"))
 
 
 def quad_index_info(spark, d):
@@ -248,11 +251,13 @@ def oracle_sql():
     pick = f"""cnd as (select *, count(*) over (partition by {{k}}) <= 25 few from {{q}}), cn as (select *, case when few then 0.0e0 else round({cond}, 9) end cond from cnd),
 cr as (select *, row_number() over (partition by {{k}}, seed order by cond desc, case when few then ord end, [i0,i1,i2,i3]) r2 from cn),
 sel as (select * from (select *, row_number() over (partition by {{k}} order by r2, seed) p2 from cr) where p2 <= 25)"""
-    tiles = lambda s: f"""select {s}.0e0 scale, cast(id*1000000+j as bigint) disc_id, 360.0e0/n_ra*(j+0.5e0) ra0, dec0, {s / 2}e0 radius from (select range id, -90+{180 / round(180 / s)!r}e0*(range+0.5e0) dec0,
-  greatest(1, cast(round(360.0e0*cos(radians(-90+{180 / round(180 / s)!r}e0*(range+0.5e0)))/{s}) as int)) n_ra from range({round(180 / s)})), range(0, 400) t(j) where j < n_ra"""
-    t4 = f"""{STARS}, discs as ({tiles(4)}), cone as (select * from (select *, {SEP} sep from discs join stars on abs(dec-dec0) <= radius + 0.001e0) where sep <= radius),
-top as (select * from (select *, row_number() over (partition by disc_id order by mag_milli, cell, star_id) rk from cone) where rk <= 14), {LINES_TO_PLANE.replace('from cone', 'from top')},
-sp as (select disc_id, rk-1 i, xi x, eta y, star_id from plane), {_quads('sp', 'disc_id', 'tq', 4096, 6)}, {pick.format(k='disc_id', q='tq')}"""
+    tiles = lambda s: f"""select {s}e0 scale, cast(id*1000000+j as bigint) disc_id, 360.0e0/n_ra*(j+0.5e0) ra0, dec0, {s / 2}e0 radius, id tile_band from (select range id, -90+{180 / round(180 / s)!r}e0*(range+0.5e0) dec0,
+  greatest(1, cast(round(360.0e0*cos(radians(-90+{180 / round(180 / s)!r}e0*(range+0.5e0)))/{s}) as int)) n_ra from range({round(180 / s)})), range(0, {round(360 / s) + 1}) t(j) where j < n_ra"""
+    t4 = f"""{STARS}, discs as ({' union all '.join(tiles(s) for s in quads.BANDS)}),
+sb as (select stars.*, sc, cast(floor((dec+90)*nd/180.0e0) as bigint) + o tile_band from stars, (values {', '.join(f'({s}e0, {round(180 / s)})' for s in quads.BANDS)}) z(sc, nd), (values (-1),(0),(1)) v(o)),
+cone as (select * from (select scale, disc_id, ra0, dec0, radius, star_id, cell, ra, dec, mag_milli, {SEP} sep from discs join sb on discs.tile_band = sb.tile_band and scale = sc and abs(dec-dec0) <= radius + 0.001e0) where sep <= radius),
+top as (select * from (select *, row_number() over (partition by scale, disc_id order by mag_milli, cell, star_id) rk from cone) where rk <= 14), {LINES_TO_PLANE.replace('from cone', 'from top')},
+sp as (select (scale, disc_id) tile, scale, disc_id, rk-1 i, xi x, eta y, star_id from plane), {_quads('sp', 'tile', 'tq', 4096, 6)}, {pick.format(k='tile', q='tq')}"""
     solved = "s as (select distinct on (log_id) * from solve_log where outcome.stars_matched is not null and outcome.field.scale_arcsec is not null)"
     lam = "outcome.stars_used*300*pi()*(5.0e0/3600)*(5.0e0/3600)/(naxis1*naxis2*pow(outcome.field.scale_arcsec/3600.0e0,2))"
     dec = lambda k: f"case when {k} > 0 and {k} > lam then greatest(0, ((case when {k} < 2 then 0 else {k}*ln({k})-{k}+0.5e0*ln(2*pi()*{k}) end) + lam - {k}*ln(lam))/ln(10.0e0)) else 0.0e0 end"
@@ -280,7 +285,7 @@ wh as (select frame_id, {spread} whole from pts group by all) select frame_id, d
 select frame_id, max(disc_id) filter (k=1) best, max(n) filter (k=1) best_score, max(n) filter (k=2) second_score from r group by frame_id""",
         "hypothesis_counter": f"with {BOTH} select frame_id, count(*) offered from m group by frame_id",
         "tile_sweep": f"with a as ({' union all '.join(tiles(s) for s in (8, 4, 2))}) select scale, disc_id, {micro('ra0')} ra_udeg, {micro('dec0')} dec_udeg from a",
-        "quad_index": f"with {t4} select disc_id, p2 place, {band('diag')} band, concat_ws(',', a.star_id, b.star_id, c.star_id, e.star_id) stars from sel join sp a using (disc_id) join sp b using (disc_id) join sp c using (disc_id) join sp e using (disc_id) where a.i=i0 and b.i=i1 and c.i=i2 and e.i=i3",
+        "quad_index": f"with {t4} select a.scale tile_scale, a.disc_id, p2 place, {band('diag')} band, concat_ws(',', a.star_id, b.star_id, c.star_id, e.star_id) stars from sel join sp a using (tile) join sp b using (tile) join sp c using (tile) join sp e using (tile) where a.i=i0 and b.i=i1 and c.i=i2 and e.i=i3",
         "quad_index_info": f"with {t4} select {band('diag')} band, count(*) n from sel group by 1",
         "poisson_confidence": f"with {solved}, l as (select *, {lam} lam, outcome.stars_matched k from s) select log_id, {micro('case when k > 0 and lam > 0 then lam else 0 end', 5)} chance_e5, {micro(dec('k'), 5)} decades_e5 from l",
         "blind_gate": f"""with {solved}, l as (select *, {lam} lam, greatest(0, outcome.stars_matched - outcome.fit.used) k, outcome.fit.rms_deg*3600.0e0/outcome.field.scale_arcsec rms,

@@ -87,11 +87,7 @@ def blind_solve(spark, d):
     """The frames again without their pointing, through a pattern index of their stars."""
     files, stars = _fields(spark, d)
     frames = solve.prepare(files).withColumn("ra0", F.lit(None).cast("double")).withColumn("dec0", F.lit(None).cast("double"))
-    tiles = table(spark, d, "sky_fields").where("shape = 'cone' and abs(dec_deg) < 80").select(F.col("field_id").alias("disc_id"), F.col("ra_deg").alias("ra0"), F.col("dec_deg").alias("dec0"), F.lit(0.3).alias("radius")).dropDuplicates(["disc_id"])
-    pts = quads.tile_points(stars, tiles, 28, NSIDE)
-    chosen = quads.select_conditioned(quads.build_quads(pts.drop("star_id"), ["disc_id"], 6, 4096), ["disc_id"], 200)
-    names = pts.groupBy("disc_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "star_id"))).alias("at"))
-    index = chosen.join(names, "disc_id").select("code", F.transform("idx", lambda v: F.element_at("at", v)).alias("stars"))
+    index = quads.build_quad_index(stars, budget=28, cap=200)
     return solve.solve_blind(cut(frames), stars, cut(index), NSIDE).select("path", "solved", "reason", "matched", F.round("log_odds", 2).alias("log_odds"))
 
 

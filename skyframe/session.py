@@ -84,3 +84,34 @@ def narrow_batches(batches, rows: int, text: str | None = None, most_bytes: int
                 held, n = [], 0
     if held:
         yield pa.Table.from_batches(held)
+
+
+def whole_groups(batches, keys: list[str], rows: int):
+    """Tables of whole groups of about ``rows`` rows, and where each group starts.
+
+    The rows of a group must follow one another, as they do behind a window over ``keys`` or in a
+    sorted partition. A table has more rows only where one group has; null is a key like any other.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def starts(t):
+        new = np.zeros(t.num_rows, bool)
+        new[:1] = True
+        for k in keys:
+            c = t.column(k).combine_chunks()
+            a, b = c.slice(1), c.slice(0, max(0, len(c) - 1))
+            differ = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.not_equal(a.is_null(), b.is_null()))
+            new[1:] |= differ.to_numpy(zero_copy_only=False)
+        return np.flatnonzero(new)
+
+    held = None
+    for t in narrow_batches(batches, rows):
+        held = t if held is None else pa.concat_tables([held, t])
+        first = starts(held)
+        if held.num_rows and len(first) > 1:
+            yield held.slice(0, first[-1]), first[:-1]
+            held = held.slice(first[-1])
+    if held is not None and held.num_rows:
+        yield held, starts(held)
