@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import whole_groups
+from . import geometry
 
 
 def pixels(images: DataFrame, key: str, values: str, width: int) -> DataFrame:
@@ -54,6 +60,31 @@ def above_threshold(px: DataFrame, k: float) -> DataFrame:
     return px.where(F.col("v") > F.col("level") + k * F.col("noise"))
 
 
+def labelled(px: DataFrame, key: str) -> DataFrame:
+    """Add ``label``: the first pixel (``y << 32 | x``) of the 8-connected component that a pixel belongs to.
+
+    ``px`` has the pixels of interest of each image. A task takes whole images; memory is that
+    of the images of a few thousand pixels together, or of one larger image.
+    """
+    schema = T.StructType([*px.schema.fields, T.StructField("label", T.LongType())])
+
+    def run(batches):
+        for t, starts in whole_groups(batches, [key], 1 << 14):
+            y, x = (t.column(c).to_numpy().astype(np.int64) for c in ("y", "x"))
+            label = np.empty(len(y), np.int64)
+            for a, b in zip(starts, [*starts[1:], len(y)]):
+                mask = np.zeros((y[a:b].max() - y[a:b].min() + 1, x[a:b].max() - x[a:b].min() + 1), bool)
+                mask[y[a:b] - y[a:b].min(), x[a:b] - x[a:b].min()] = True
+                ys, xs, number = geometry.components(mask)
+                _, first = np.unique(number, return_index=True)
+                grid = np.zeros(mask.shape, np.int64)
+                grid[ys, xs] = (ys[first] + y[a:b].min() << 32 | xs[first] + x[a:b].min())[number]
+                label[a:b] = grid[y[a:b] - y[a:b].min(), x[a:b] - x[a:b].min()]
+            yield from t.append_column("label", pa.array(label)).to_batches(1 << 16)
+
+    return px.repartition(key).sortWithinPartitions(key, "y", "x").mapInArrow(run, schema)
+
+
 def moments(px: DataFrame, keys: list[str], width: int, height: int, margin: int) -> DataFrame:
     """Sums over labelled pixels, weighted by the light above the background."""
     w = F.greatest(F.col("v") - F.col("level"), F.lit(0.0))

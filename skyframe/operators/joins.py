@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import whole_groups
+from . import geometry
 
 
 def _bins(low: Column, high: Column, width: float) -> Column:
@@ -72,11 +78,57 @@ def pair_separations(points: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def nearest_neighbours(points: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """``keys, i, rank, j, d2``: the k nearest points of each point of a bounded set, ties by j."""
-    sets = points.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("pts"))
-    one = sets.select(*keys, F.explode("pts").alias("a"), "pts")
-    dx, dy = (lambda p: p["x"] - F.col("a.x")), (lambda p: p["y"] - F.col("a.y"))
-    others = F.filter("pts", lambda p: p["i"] != F.col("a.i"))
-    ranked = F.slice(F.array_sort(F.transform(others, lambda p: F.struct((dx(p) * dx(p) + dy(p) * dy(p)).alias("d2"), p["i"].alias("j")))), 1, k)
-    return one.select(*keys, F.col("a.i").alias("i"), F.posexplode(ranked).alias("p", "n")).select(*keys, "i", (F.col("p") + 1).alias("rank"), F.col("n.j").alias("j"), F.col("n.d2").alias("d2"))
+def nearest_neighbours(points: DataFrame, keys: list[str], k: int, grouped: bool = False) -> DataFrame:
+    """``keys, i, rank, j, d2``: the k nearest points of each point of a bounded set, ties by the smaller ``i``.
+
+    Sets must be bounded per key (``top_by_flux``). ``grouped`` says that the rows come from a
+    window over ``keys`` in the order of ``i``, so they need not be shuffled again.
+    """
+    slim = points.select(*keys, "i", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    slim = slim if grouped else slim.repartition(*keys).sortWithinPartitions(*keys, "i")
+    number = points.schema["i"].dataType
+    schema = T.StructType([*[points.schema[c] for c in keys], T.StructField("i", number), T.StructField("rank", T.IntegerType()), T.StructField("j", number), T.StructField("d2", T.DoubleType())])
+
+    def run(batches):
+        for t, starts in whole_groups(batches, keys, 1 << 13):
+            x, y = (t.column(c).to_numpy() for c in ("x", "y"))
+            own, rank, other = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for a, b in zip(starts, [*starts[1:], len(x)]):
+                if b - a > 1:
+                    near = geometry.nearest(x[a:b], y[a:b], min(k, b - a - 1))
+                    own.append(np.repeat(np.arange(a, b), near.shape[1]))
+                    rank.append(np.tile(np.arange(1, near.shape[1] + 1), b - a))
+                    other.append(a + near.ravel())
+            own, rank, other = (np.concatenate(v) for v in (own, rank, other))
+            d2 = (x[other] - x[own]) ** 2 + (y[other] - y[own]) ** 2
+            at = pa.array(own)
+            cols = [t.column(c).take(at).combine_chunks() for c in keys] + [t.column("i").take(at).combine_chunks(), pa.array(rank.astype(np.int32)), t.column("i").take(pa.array(other)).combine_chunks(), pa.array(d2)]
+            yield from pa.Table.from_arrays(cols, names=schema.names).to_batches(1 << 16)
+
+    return slim.mapInArrow(run, schema)
+
+
+def widest(points: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, widest``: the largest distance between two points (``x, y``) of each key, however many it has.
+
+    The ends of the widest pair are corners of the convex hull. Each map task sends the corners
+    of what it has read of a key, and hulls of hulls are made behind the shuffle. Points with a
+    null or NaN coordinate are left out; a key with one point has the distance 0.
+    """
+    slim = points.select(*keys, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
+
+    def corners(batches):
+        for t, starts in whole_groups(batches, keys, 1 << 16):
+            x, y = (t.column(c).to_numpy() for c in ("x", "y"))
+            keep = [a + geometry.hull(x[a:b], y[a:b]) for a, b in zip(starts, [*starts[1:], len(x)])]
+            yield from t.take(pa.array(np.concatenate(keep))).to_batches()
+
+    def measure(batches):
+        for t, starts in whole_groups(batches, keys, 1 << 13):
+            x, y = (t.column(c).to_numpy() for c in ("x", "y"))
+            far = [geometry.diameter(x[a:b], y[a:b]) for a, b in zip(starts, [*starts[1:], len(x)])]
+            yield from t.select(keys).take(pa.array(starts)).append_column("widest", pa.array(far)).to_batches()
+
+    few = slim.sortWithinPartitions(*keys).mapInArrow(corners, slim.schema)
+    schema = T.StructType([*[points.schema[c] for c in keys], T.StructField("widest", T.DoubleType())])
+    return few.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(measure, schema)

@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
+from .geometry import components
 from .quads import canonical_codes, point_patterns
 
 
@@ -113,46 +114,6 @@ def smooth(px: np.ndarray, sigma: float) -> tuple[np.ndarray, float]:
     return px, float((k * k).sum())
 
 
-def components(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pixels (y, x) of the mask and the number of the 8-connected component of each.
-
-    Runs of pixels in a row are joined with those they touch in the row above by union-find.
-    """
-    ny, nx = mask.shape
-    padded = np.zeros((ny, nx + 2), np.int8)
-    padded[:, 1:-1] = mask
-    step = np.diff(padded, axis=1)
-    row, start = np.nonzero(step == 1)
-    _, end = np.nonzero(step == -1)
-    parent = np.arange(len(row))
-
-    def find(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    first = np.searchsorted(row, np.arange(ny + 1))
-    for y in range(1, ny):
-        a, b = first[y - 1], first[y]
-        i = a
-        for j in range(b, first[y + 1]):
-            while i < b and end[i] < start[j]:
-                i += 1
-            k = i
-            while k < b and start[k] <= end[j]:
-                u, v = find(k), find(j)
-                if u != v:
-                    parent[max(u, v)] = min(u, v)
-                k += 1
-    roots = np.array([find(i) for i in range(len(row))], np.int64)
-    length = end - start
-    ys = np.repeat(row, length)
-    xs = np.arange(int(length.sum())) + np.repeat(start - np.concatenate([[0], np.cumsum(length)[:-1]]), length) if len(row) else np.empty(0, np.int64)
-    _, label = np.unique(np.repeat(roots, length), return_inverse=True)
-    return ys, xs, label
-
-
 @dataclass
 class Stars:
     x: np.ndarray

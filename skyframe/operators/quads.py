@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import sphere
 from ..session import whole_groups
-from . import catalog, ranks
+from . import catalog, geometry, ranks
 
 #: Scales of the pattern bands in degrees (fixed values).
 BANDS = [0.25, 0.5, 1.0, 2.0, 4.0, 8.0]
@@ -92,17 +92,6 @@ def mirrored_codes(code: np.ndarray) -> np.ndarray:
 ROWS_AT_ONCE = 1 << 13
 
 
-def nearest(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
-    """The k nearest others of each of n > k points, nearest first, ties by number."""
-    d2 = (x[:, None] - x) ** 2 + (y[:, None] - y) ** 2
-    np.fill_diagonal(d2, np.inf)
-    limit = np.partition(d2, k - 1, axis=1)[:, k - 1 : k]
-    row, col = np.nonzero(d2 <= limit)  # all that tie with the k-th
-    order = np.lexsort((col, d2[row, col], row))
-    row, col = row[order], col[order]
-    return col[np.searchsorted(row, np.arange(len(x)))[:, None] + np.arange(k)]
-
-
 def conditioning(code: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """How far patterns are from being ambiguous: off their own diagonal, and the widest pair from the next."""
     off = np.minimum(np.abs((code[:, 1] - code[:, 0]) / 2), np.abs((code[:, 3] - code[:, 2]) / 2))
@@ -131,7 +120,7 @@ def point_patterns(x: np.ndarray, y: np.ndarray, starts: np.ndarray, k: int, lim
     idx, owner = [np.empty((0, 4), np.int64)], [np.empty(0, np.int64)]
     for g, (a, b) in enumerate(zip(starts, [*starts[1:], len(x)])):
         if b - a >= 4:
-            near = nearest(x[a:b], y[a:b], min(k, b - a - 1))
+            near = geometry.nearest(x[a:b], y[a:b], min(k, b - a - 1))
             t = np.array(triples(near.shape[1]))
             idx.append(a + np.concatenate([np.repeat(np.arange(b - a), len(t))[:, None], near[:, t].reshape(-1, 3)], axis=1))
             owner.append(np.full(len(idx[-1]), g))

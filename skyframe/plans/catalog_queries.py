@@ -195,6 +195,8 @@ STARS = """stars as (select *, ra_scaled*360.0e0/4294967296.0e0 ra, dec_scaled*9
 DISCS = "discs as (select distinct field_id disc_id, ra_deg ra0, dec_deg dec0, radius_deg radius from sky_fields where shape = 'cone')"
 SEP = "2.0e0*degrees(asin(least(1.0e0,sqrt(pow(sin(radians(dec-dec0)/2.0e0),2)+cos(radians(dec0))*cos(radians(dec))*pow(sin(radians(ra-ra0)/2.0e0),2)))))"
 CONE = f"{STARS}, {DISCS}, cone as (select * from (select *, {SEP} sep from stars, discs where abs(dec - dec0) <= radius + 0.001e0) where sep <= radius)"
+POINTED = f"""{STARS}, discs as (select distinct frame_id disc_id, ra_deg ra0, dec_deg dec0, 0.5e0 radius from frames where isfinite(ra_deg) and isfinite(dec_deg)),
+cone as (select * from (select *, {SEP} sep from stars, discs where abs(dec - dec0) <= radius + 0.001e0) where sep <= radius)"""
 DISTINCT_GAIA = "g as (select distinct source_id, ra, dec, mag, pmra, pmdec from gaia_rows)"
 
 
@@ -224,8 +226,7 @@ def oracle_sql():
     return {
         "cone_search": f"with {CONE} select disc_id, star_id, {micro('sep')} sep_udeg from cone",
         "cone_topk": f"with {STARS}, o as (select *, 120.0e0 ra0, 20.0e0 dec0 from stars) select star_id, mag_milli from (select *, {SEP} sep from o) where sep <= 10 order by mag_milli, cell, star_id limit 100",
-        "cone_topk_batch": f"""with {STARS}, discs as (select distinct frame_id disc_id, ra_deg ra0, dec_deg dec0, 0.5e0 radius from frames where isfinite(ra_deg) and isfinite(dec_deg)),
-cone as (select * from (select *, {SEP} sep from stars, discs where abs(dec - dec0) <= radius + 0.001e0) where sep <= radius), {TOP} select disc_id, "rank", star_id from top""",
+        "cone_topk_batch": f"""with {POINTED}, {TOP} select disc_id, "rank", star_id from top""",
         "cone_stratified": f'with {CONE}, {STRAT} select disc_id, "rank", star_id from strat',
         "disc_all_index_order": f"with {CONE} select disc_id, row_number() over (partition by disc_id order by cell, mag_milli, star_id) place, star_id from cone",
         # the table's own cells are the truth
@@ -259,6 +260,14 @@ select quad_id, k, star_id from j where quad_id in (select quad_id from j group
         "star_unpack": f"with {STARS} select star_id, {micro('ra', 8)} ra_e8, {micro('dec', 8)} dec_e8, mag from stars",
         # the high bits of a source's number are its cell at level 12; positions of later deliveries differ
         "healpix_level12": "select source_id, bool_or(true) agrees from gaia_rows where isfinite(ra) and isfinite(dec) and dec between -90 and 90 group by source_id",
+        "star_index": f"""with {DISTINCT_GAIA}, a as (select source_id, cast(greatest(-32768, least(32767, round(mag * cast(1000 as float)))) as smallint) mag_milli,
+  sin(radians(dec)) z, radians({MOD('ra', '360.0e0')})/(pi()/2) t from g where {ok} and dec between -90 and 90),
+b as (select *, least(3, cast(floor(t) as bigint)) q, 64*sqrt(greatest(0.0e0, 3*(1-abs(z)))) m, abs(z) <= 2.0e0/3 belt from a),
+c as (select *, case when belt then cast(floor(64*(0.5e0+t) - 64*z*0.75e0) as bigint) else least(63, cast(floor((t-q)*m) as bigint)) end u,
+  case when belt then cast(floor(64*(0.5e0+t) + 64*z*0.75e0) as bigint) else least(63, cast(floor((1-(t-q))*m) as bigint)) end w from b),
+e as (select *, case when not belt then case when z > 0 then q else q + 8 end when u >> 6 = w >> 6 then ((u >> 6) & 3) + 4 when u >> 6 < w >> 6 then (u >> 6) & 3 else ((w >> 6) & 3) + 8 end face,
+  case when belt then w & 63 when z > 0 then 63 - w else u end x, case when belt then 63 - (u & 63) when z > 0 then 63 - u else w end y from c)
+select source_id, face*4096 + ({SPREAD.format('x')}) + (({SPREAD.format('y')}) << 1) as cell, mag_milli from e""",
         "build_stats": f"""with {DISTINCT_GAIA} select count(*) filter ({ok}) written,
   count(*) filter ({ok} and ((round(mag * cast(1000 as float)) not between -32768 and 32767) or abs(dec) > 90 or {big('pmra')} or {big('pmdec')})) clamped,
   count(*) filter (not coalesce({ok}, false)) skipped from g""",

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from ..functions import frame, sphere, wcs
 from ..operators import catalog, image, joins, spatial_join
 from ..session import table
-from .catalog_queries import MOD, micro
+from .catalog_queries import BRIGHT, LIMIT, LINES_TO_PLANE, MOD, POINTED, micro, pointings, stars
 
 TILE, WIDTH, K_SIGMA = 4, 8, 1.5
 KEEP = 100
+#: Strongest detections of a frame that are matched by patterns and by pairs.
+POINTS, PAIR_POINTS = 500, 80
 TOL = 2.5
 
 
@@ -142,22 +144,28 @@ def points(spark, d, k: int):
 
 
 def knn_points(spark, d):
-    return joins.nearest_neighbours(points(spark, d, 40), ["frame_id"], 6).select("frame_id", "i", "rank", "j")
+    return joins.nearest_neighbours(points(spark, d, POINTS), ["frame_id"], 6, grouped=True).select("frame_id", "i", "rank", "j")
 
 
 def pair_separations(spark, d):
-    return joins.pair_separations(points(spark, d, 20), ["frame_id"]).select("frame_id", "i", "j", sphere.micro(F.col("sep"), 4).alias("sep_e4"))
+    return joins.pair_separations(points(spark, d, PAIR_POINTS), ["frame_id"]).select("frame_id", "i", "j", sphere.micro(F.col("sep"), 4).alias("sep_e4"))
 
 
 def max_separation(spark, d):
-    return joins.pair_separations(points(spark, d, 20), ["frame_id"]).groupBy("frame_id").agg(sphere.micro(F.max("sep"), 4).alias("max_e4"))
+    """The widest pair of all detections of a frame."""
+    return joins.widest(detections(spark, d), ["frame_id"]).select("frame_id", sphere.micro(F.col("widest"), 4).alias("max_e4"))
 
 
 def band_join(spark, d):
-    """Pairs of separations of different frames that agree within a pixel and half a thousandth."""
-    a = joins.pair_separations(points(spark, d, 8), ["frame_id"]).select(F.col("frame_id").alias("f1"), F.col("i").alias("i1"), F.col("j").alias("j1"), F.col("sep").alias("s1"))
-    b = a.select(*[F.col(c).alias(c[0] + "2") for c in a.columns])
-    return joins.band_join(a, b, "s1", "s2", 0.05, 0.0000005).where(F.col("f1") < F.col("f2")).groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n"))
+    """How many pairs of detections have the separation, in pixels, of a pair of catalogue stars around the same frame."""
+    f = frames(spark, d).select("frame_id", F.col("scale"))
+    top = catalog.brightest(catalog.cone_search(stars(spark, d), pointings(spark, d), 64), LIMIT)
+    xi, eta = sphere.to_plane(*map(F.col, ("ra", "dec", "ra0", "dec0")))
+    sky = top.select(F.col("disc_id").alias("frame_id"), (F.col("rank") - 1).alias("i"), xi.alias("x"), eta.alias("y"))
+    sky = joins.pair_separations(sky, ["frame_id"]).join(f.where("scale is not null"), "frame_id")
+    sky = sky.select("frame_id", F.col("i").alias("ci"), F.col("j").alias("cj"), (F.col("sep") * 3600.0 / F.col("scale")).alias("want"))
+    have = joins.pair_separations(points(spark, d, PAIR_POINTS), ["frame_id"])
+    return joins.band_join(have, sky, "sep", "want", TOL, 0.005, keys=["frame_id"]).groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def first_location(spark, d):
@@ -205,15 +213,16 @@ def threshold_mask(spark, d):
 
 
 def _blobs(spark, d):
-    return image.moments(image.above_threshold(_lit(spark, d), K_SIGMA), ["vec_id"], WIDTH, WIDTH, 1)
+    return image.moments(image.labelled(image.above_threshold(_lit(spark, d), K_SIGMA), "vec_id"), ["vec_id", "label"], WIDTH, WIDTH, 1)
 
 
 def blob_moments(spark, d):
-    return _blobs(spark, d).select("vec_id", "npix", "edge", *[sphere.micro(F.col(c)).alias(f"{c}_e6") for c in ("peak", "s", "sx", "sy", "sxx", "syy", "sxy")])
+    """Sums over every component of every image."""
+    return _blobs(spark, d).select("vec_id", "label", "npix", "edge", *[sphere.micro(F.col(c)).alias(f"{c}_e6") for c in ("peak", "s", "sx", "sy", "sxx", "syy", "sxy")])
 
 
 def blob_shapes(spark, d):
-    return image.shapes(_blobs(spark, d)).where(F.col("npix") >= 3).select("vec_id", *[sphere.micro(F.col(c), 4).alias(f"{c}_e4") for c in ("cx", "cy", "ellipticity", "fwhm_px")])
+    return image.shapes(_blobs(spark, d)).where(F.col("npix") >= 3).select("vec_id", "label", *[sphere.micro(F.col(c), 4).alias(f"{c}_e4") for c in ("cx", "cy", "ellipticity", "fwhm_px")])
 
 
 def _sized(spark, d):
@@ -227,7 +236,7 @@ def rejection_cascade(spark, d):
 
 
 def saturation_level(spark, d):
-    return image.saturation_level(detections(spark, d), ["frame_id"], 2).select("frame_id", sphere.micro(F.col("level"), 2).alias("level_e2"))
+    return image.saturation_level(detections(spark, d), ["frame_id"]).select("frame_id", sphere.micro(F.col("level"), 2).alias("level_e2"))
 
 
 def image_concentration(spark, d):
@@ -275,7 +284,9 @@ lit as (select b1.*, {{mix}} from b1 join mesh a on a.vec_id=b1.vec_id and a.ty=
   join mesh c on c.vec_id=b1.vec_id and c.ty=least(y0+1,1) and c.tx=x0 join mesh e on e.vec_id=b1.vec_id and e.ty=least(y0+1,1) and e.tx=least(x0+1,1))"""
 BG = BG.replace("{mix}", ", ".join(f"a.{n}*(1-dx)*(1-dy)+b.{n}*dx*(1-dy)+c.{n}*(1-dx)*dy+e.{n}*dx*dy as {n}" for n in ("level", "noise")))
 BLOB = f"""{BG}, mk as (select *, greatest(v - level, 0.0e0) w from lit where v > level + {K_SIGMA}e0*noise),
-blob as (select vec_id, count(*) npix, greatest(max(v), 0) peak, sum(w) s, sum(x*w) sx, sum(y*w) sy, sum(x*x*w) sxx, sum(y*y*w) syy, sum(x*y*w) sxy, bool_or(x<1 or y<1 or x+1>=8 or y+1>=8) edge from mk group by vec_id)"""
+rc as (select vec_id, y*8+x p, y*8+x r from mk union select mk.vec_id, mk.y*8+mk.x, rc.r from rc join mk on mk.vec_id = rc.vec_id and abs(mk.y - rc.p//8) <= 1 and abs(mk.x - rc.p%8) <= 1),
+lb as (select vec_id, p, min(r) r from rc group by all), ml as (select mk.*, cast(r//8 as bigint) * 4294967296 + r%8 as label from mk join lb on lb.vec_id = mk.vec_id and lb.p = mk.y*8+mk.x),
+blob as (select vec_id, label, count(*) npix, greatest(max(v), 0) peak, sum(w) s, sum(x*w) sx, sum(y*w) sy, sum(x*x*w) sxx, sum(y*y*w) syy, sum(x*y*w) sxy, bool_or(x<1 or y<1 or x+1>=8 or y+1>=8) edge from ml group by vec_id, label)"""
 SIZED = f"{DETS}, fr as (select distinct frame_id, naxis1 nx, naxis2 ny from frames), sz as (select dt.*, nx, ny from dt join fr using (frame_id))"
 PTS = lambda k: f"{DETS}, pts as (select * from (select frame_id, row_number() over (partition by frame_id order by flux desc, det_id) - 1 i, x, y from dt) where i < {k})"
 SEPS = "seps as (select a.frame_id, a.i, b.i j, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) sep from pts a join pts b on a.frame_id is not distinct from b.frame_id and a.i < b.i)"
@@ -310,11 +321,13 @@ select frame_id, n, {micro('mt - a1*mx - a2*my', 5)} a0_e5, {micro('a1', 5)} a1_
 j as (select frame_id, det_id id, tid, pow(x-tx,2)+pow(y-ty,2) d2 from dt join t using (frame_id) where abs(x-tx) <= 2.5e0 and pow(x-tx,2)+pow(y-ty,2) <= 6.25e0)
 select frame_id, id, tid, {micro('d2', 4)} d2_e4 from (select *, row_number() over (partition by frame_id, id order by d2, tid) r from j) where r = 1""",
         "box_semi_join": f"with {DETS} select frame_id, det_id id from dt a where exists (select 1 from dt b where b.frame_id = a.frame_id and b.det_id % 3 = 0 and abs(a.x-b.x-10.25e0) <= 20 and abs(a.y-b.y-4.5e0) <= 20)",
-        "knn_points": f"""with {PTS(40)}, n as (select a.frame_id, a.i, b.i j, row_number() over (partition by a.frame_id, a.i order by (b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y), b.i) "rank" from pts a join pts b on a.frame_id is not distinct from b.frame_id and a.i <> b.i)
+        "knn_points": f"""with {PTS(POINTS)}, n as (select a.frame_id, a.i, b.i j, row_number() over (partition by a.frame_id, a.i order by (b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y), b.i) "rank" from pts a join pts b on a.frame_id is not distinct from b.frame_id and a.i <> b.i)
 select frame_id, i, "rank", j from n where "rank" <= 6""",
-        "pair_separations": f"with {PTS(20)}, {SEPS} select frame_id, i, j, {micro('sep', 4)} sep_e4 from seps",
-        "max_separation": f"with {PTS(20)}, {SEPS} select frame_id, {micro('max(sep)', 4)} max_e4 from seps group by frame_id",
-        "band_join": f"with {PTS(8)}, {SEPS} select a.frame_id f1, b.frame_id f2, count(*) n from seps a join seps b on b.sep between a.sep - (0.05e0 + a.sep*0.0000005e0) and a.sep + (0.05e0 + a.sep*0.0000005e0) where a.frame_id < b.frame_id group by all",
+        "pair_separations": f"with {PTS(PAIR_POINTS)}, {SEPS} select frame_id, i, j, {micro('sep', 4)} sep_e4 from seps",
+        "max_separation": f"with {DETS} select a.frame_id, {micro('sqrt(max((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)))', 4)} max_e4 from dt a join dt b using (frame_id) where not isnan(a.x+a.y+b.x+b.y) group by 1",
+        "band_join": f"""with {PTS(PAIR_POINTS)}, {SEPS}, {FRAMES}, {POINTED}, top as (select * from (select *, {BRIGHT} rk from cone) where rk <= {LIMIT}), {LINES_TO_PLANE.replace('from cone', 'from top')},
+cs as (select a.disc_id frame_id, sqrt((a.xi-b.xi)*(a.xi-b.xi)+(a.eta-b.eta)*(a.eta-b.eta))*3600.0e0/scale want from plane a join plane b on a.disc_id = b.disc_id and a.rk < b.rk join f on f.frame_id = a.disc_id where scale is not null)
+select seps.frame_id, count(*) n from seps join cs using (frame_id) where abs(want - sep) <= {TOL}e0 + abs(sep)*0.005e0 group by 1""",
         "first_location": "select frame_id, path, log_id from (select frame_id, path, log_id, row_number() over (partition by frame_id order by coalesce(outcome.solved, false) desc, path, log_id) r from (select distinct on (log_id) * from solve_log)) where r = 1",
         "centre_neighbours": f"""with s as (select distinct log_id, outcome.field.center.ra r, outcome.field.center.dec d from solve_log where isfinite(outcome.field.center.ra))
 select a.log_id, count(*) neighbours from s a join s b on a.log_id <> b.log_id and abs(a.d - b.d) < 0.51e0
@@ -324,15 +337,15 @@ where 2.0e0*degrees(asin(least(1.0e0,sqrt(pow(sin(radians(b.d-a.d)/2.0e0),2)+cos
         "median_noise": f"with {MESH} select vec_id, {micro('list_sort(list(noise))[count(*)//2+1]', 7)} noise_e7 from mesh group by vec_id",
         "bilinear_background": f"with {BG} select vec_id, y, x, {micro('level', 7)} level_e7, {micro('noise', 7)} noise_e7 from lit",
         "threshold_mask": f"with {BG} select vec_id, y, x from lit where v > level + {K_SIGMA}e0*noise",
-        "blob_moments": f"with {BLOB} select vec_id, npix, edge, " + ", ".join(f"{micro(c)} {c}_e6" for c in ("peak", "s", "sx", "sy", "sxx", "syy", "sxy")) + " from blob",
-        "blob_shapes": f"""with {BLOB}, c as (select *, sx/s cx, sy/s cy from blob where s > 0 and npix >= 3), m as (select *, greatest(sxx/s - cx*cx, 0) mxx, greatest(syy/s - cy*cy, 0) myy, sxy/s - cx*cy mxy from c),
+        "blob_moments": f"with recursive {BLOB} select vec_id, label, npix, edge, " + ", ".join(f"{micro(c)} {c}_e6" for c in ("peak", "s", "sx", "sy", "sxx", "syy", "sxy")) + " from blob",
+        "blob_shapes": f"""with recursive {BLOB}, c as (select *, sx/s cx, sy/s cy from blob where s > 0 and npix >= 3), m as (select *, greatest(sxx/s - cx*cx, 0) mxx, greatest(syy/s - cy*cy, 0) myy, sxy/s - cx*cy mxy from c),
 ab as (select *, sqrt(greatest((mxx+myy)/2 + sqrt(pow(mxx-myy,2)/4 + mxy*mxy), 1e-9)) a, sqrt(greatest((mxx+myy)/2 - sqrt(pow(mxx-myy,2)/4 + mxy*mxy), 0)) b from m)
-select vec_id, {micro('cx', 4)} cx_e4, {micro('cy', 4)} cy_e4, {micro('1-b/a', 4)} ellipticity_e4, {micro('2.354820045e0*greatest(sqrt(a*b), 1e-6)', 4)} fwhm_px_e4 from ab""",
+select vec_id, label, {micro('cx', 4)} cx_e4, {micro('cy', 4)} cy_e4, {micro('1-b/a', 4)} ellipticity_e4, {micro('2.354820045e0*greatest(sqrt(a*b), 1e-6)', 4)} fwhm_px_e4 from ab""",
         "rejection_cascade": f"""with {SIZED}, md as (select frame_id, greatest(list_sort(list(npix))[count(*)//2+1], 1) mid from sz where npix >= 8 group by frame_id),
 w as (select frame_id, case when npix < 8 then 'too_small' when npix > greatest(coalesce(mid,1)*3.0e0, 32) then 'extended' when peak >= 65535*0.999e0 then 'saturated' when x < 8 or y < 8 or x+8 >= nx or y+8 >= ny then 'edge'
   when flux <= 0 then 'too_small' when ellipticity > 0.6 then 'elongated' else 'kept' end why from sz left join md using (frame_id))
 select frame_id, """ + ", ".join(f"count(*) filter (why = '{r}') {r}" for r in ("too_small", "extended", "saturated", "edge", "elongated", "kept")) + " from w group by frame_id",
-        "saturation_level": f"with {DETS}, p as (select frame_id, peak, count(*) n from dt group by all), q as (select *, row_number() over (partition by frame_id order by peak desc) r from p) select frame_id, case when n >= 2 then {micro('peak*(1-1e-6)', 2)} end level_e2 from q where r = 1",
+        "saturation_level": f"with {DETS}, p as (select frame_id, peak, count(*) n from dt group by all), q as (select *, row_number() over (partition by frame_id order by peak desc) r from p) select frame_id, case when n >= 8 then {micro('peak*(1-1e-6)', 2)} end level_e2 from q where r = 1",
         "image_concentration": f"with {SIZED}, h as (select frame_id, {grid(8, 'x', 'nx')} gx, {grid(8, 'y', 'ny')} gy, count(*) n from sz group by all) select frame_id, sum(n) n, max(n) busiest, {micro('max(n)/(sum(n)/64.0e0)')} concentration_ppm from h group by frame_id",
         "flux_topk": f'with {DETS} select frame_id, "rank", det_id from (select frame_id, det_id, row_number() over (partition by frame_id order by flux desc, det_id) "rank" from dt) where "rank" <= {KEEP}',
         "flux_topk_stratified": f"""with {SIZED}, r as (select *, row_number() over (partition by frame_id order by flux desc, det_id) "rank", count(*) over (partition by frame_id) total from sz),

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import healpix
-from ..operators import plate, quads
+from ..operators import geometry, plate, quads
 from ..session import cut, table
 from ..sources import fits, sidecar
 from . import solve
-from .frame_queries import WIDTH
+from .frame_queries import PX, WIDTH
 
 SCALE = 4.0
 NSIDE = 64
@@ -26,7 +28,7 @@ def extract_components(spark, d):
             for i, e in zip(pdf.vec_id, pdf.embedding):
                 px = np.asarray(e, float).reshape(WIDTH, WIDTH)
                 mid = np.sort(px, axis=None)[px.size // 2]
-                ys, xs, label = plate.components(px > mid)
+                ys, xs, label = geometry.components(px > mid)
                 for k, n in enumerate(np.bincount(label)):
                     at = label == k
                     rows.append((i, int(ys[at][0]), int(xs[at][0]), int(n)))
@@ -99,4 +101,14 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    reach = math.ceil(3 * 1.5)
+    weight = [math.exp(-k * k / (2 * 1.5 * 1.5)) for k in range(-reach, reach + 1)]
+    kernel = ", ".join(f"({k}, {w / sum(weight)!r}e0)".replace("e-05e0", "e-05").replace("e-06e0", "e-06") for k, w in zip(range(-reach, reach + 1), weight))
+    return {
+        "extract_components": f"""with recursive {PX}, md as (select vec_id, list_sort(list(v))[33] mid from px group by vec_id), mk as (select vec_id, y, x from px join md using (vec_id) where v > mid),
+rc as (select vec_id, y*8+x p, y*8+x r from mk union select mk.vec_id, mk.y*8+mk.x, rc.r from rc join mk on mk.vec_id = rc.vec_id and abs(mk.y - rc.p//8) <= 1 and abs(mk.x - rc.p%8) <= 1),
+lb as (select vec_id, p, min(r) r from rc group by all) select vec_id, cast(r//8 as int) y, cast(r%8 as int) x, cast(count(*) as int) npix from lb group by vec_id, r""",
+        "matched_filter": f"""with {PX}, k(o, w) as (values {kernel}), hx as (select vec_id, y, t.x, sum(w*v) v from px, k, (select unnest(range(8)) x) t where px.x = greatest(0, least(7, t.x + o)) group by all),
+hy as (select vec_id, t.y, x, sum(w*v) v from hx, k, (select unnest(range(8)) y) t where hx.y = greatest(0, least(7, t.y + o)) group by all)
+select vec_id, cast(y as int) y, cast(x as int) x from hy qualify row_number() over (partition by vec_id order by round(v, 12) desc, y, x) = 1""",
+    }
