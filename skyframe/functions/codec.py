@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,5 +67,24 @@ def unpack_code(code: Column) -> Column:
 
 #: 16-byte little-endian star: ra, dec, magnitude, two motions, padding.
 STAR = struct.Struct("<IihhhH")
+#: The same as a numpy record.
+STAR_RECORD = np.dtype([("ra", "<u4"), ("dec", "<i4"), ("mag", "<i2"), ("pmra", "<i2"), ("pmdec", "<i2"), ("pad", "<u2")])
+#: Header of a star index: magic, version, nside, stars, epoch, name, digest of the records, padding.
+STAR_HEAD = struct.Struct("<8sIIQd32s32s32x")
+STAR_MAGIC = b"SKYFSTAR"
 #: 24-byte quad: four code values, four star numbers.
 QUAD = struct.Struct("<4H4I")
+
+
+def pack_star_head(nside: int, n: int, epoch: float, name: str, digest: bytes) -> bytes:
+    return STAR_HEAD.pack(STAR_MAGIC, 1, nside, n, epoch, name.encode("ascii", "replace")[:32], digest)
+
+
+def read_star_head(data: bytes) -> dict | None:
+    """Fields of a header; None if it is cut off or of another kind or version."""
+    if len(data) < STAR_HEAD.size:
+        return None
+    magic, version, nside, n, epoch, name, digest = STAR_HEAD.unpack(data[: STAR_HEAD.size])
+    if magic != STAR_MAGIC or version != 1:
+        return None
+    return {"nside": nside, "n_stars": n, "epoch": epoch, "name": name.rstrip(b"\0").decode(), "digest": digest.hex()}

@@ -47,6 +47,23 @@ def search_radius(width: Column, height: Column) -> Column:
     return F.coalesce(F.sqrt(w * w + height * height) / 2.0 * RADIUS_MARGIN, F.lit(DEFAULT_RADIUS))
 
 
+def radius_of_height(height_deg: Column, nx: Column, ny: Column) -> Column:
+    """Search radius of a frame whose field has this height; without dimensions it counts as square."""
+    aspect = F.coalesce(F.when((nx > 0) & (ny > 0), nx / ny), F.lit(1.0))
+    return F.when(height_deg > 0, height_deg / 2.0 * F.sqrt(1.0 + aspect * aspect) * RADIUS_MARGIN)
+
+
+def radius_to_use(from_header: Column, from_height: Column, most: Column) -> Column:
+    """The header's radius, else that of a given field height, else and at most the one asked for."""
+    return F.least(F.coalesce(from_header, from_height, most), most)
+
+
+def radius_mismatch(from_header: Column, from_height: Column) -> Column:
+    """Percent by which a given field height disagrees with the header; null within a quarter or if either is missing."""
+    ratio = from_height / from_header
+    return F.when(~ratio.between(0.75, 1.25), (ratio - 1.0) * 100.0)
+
+
 def catalogue_limit(usable: Column) -> Column:
     return F.greatest(F.lit(300), F.least(F.lit(MOST_STARS), usable * 3))
 

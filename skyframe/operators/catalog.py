@@ -216,6 +216,17 @@ def star_at(indexed: DataFrame, wanted: DataFrame) -> DataFrame:
     return got.join(whole, "quad_id", "left_semi")
 
 
+def set_difference(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows that only one of two selections has, with ``side`` (a or b): none if they are the same set.
+
+    Compares selections of different depth or order by their stars, e.g. all stars of a disc
+    with the brightest k for a k beyond their number. Repeated rows count once; nulls are equal.
+    """
+    both = a.select(*columns, F.lit(1).alias("__a"), F.lit(0).alias("__b")).unionByName(b.select(*columns, F.lit(0).alias("__a"), F.lit(1).alias("__b")))
+    tally = both.groupBy(*columns).agg(F.max("__a").alias("__a"), F.max("__b").alias("__b")).where("__a <> __b")
+    return tally.select(*columns, F.when(F.col("__a") == 1, "a").otherwise("b").alias("side"))
+
+
 def assert_compatible(star_meta: DataFrame, quad_meta: DataFrame) -> None:
     """Refuse a pattern index that was built from another star index."""
     a, b = star_meta.select("fingerprint").first(), quad_meta.select("star_fingerprint").first()

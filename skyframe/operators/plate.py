@@ -288,13 +288,39 @@ class Near:
         return r[ok], c[ok], names[ok, best[ok]]
 
 
-def match_pairs(ix, iy, cx, cy, expected: float, tol_px: float = 2.5, scale_tol: float = 0.005, most: int = 80, min_inliers: int = 8, enough: int = 24, ceiling: int = 40_000_000):
-    """Stars paired by hypotheses from pairs of equal separation; None without a clear winner.
+@dataclass
+class PairMatch:
+    """What pair matching found; ``pairs`` is empty unless ``sufficient``.
+
+    ``runner_up`` is the best count of any other hypothesis tested, ``to_promise`` how many had
+    been tested when one first reached the least count. ``truncated`` says that the ceiling ended
+    the search, ``aborted`` that nothing had shown promise for long.
+    """
+
+    pairs: np.ndarray
+    inliers: int
+    runner_up: int
+    image_stars: int
+    cat_stars: int
+    agreements: int
+    hypotheses: int
+    mirrored: bool
+    truncated: bool
+    to_promise: int | None
+    aborted: bool
+    sufficient: bool
+
+
+def match_pairs(
+    ix, iy, cx, cy, expected: float, tol_px: float = 2.5, scale_tol: float = 0.005, most: int = 80, min_inliers: int = 8, enough: int = 24, ceiling: int = 40_000_000, patience: int = 1_000_000
+) -> PairMatch | None:
+    """Stars paired by hypotheses from pairs of equal separation; None if there is nothing to compare.
 
     All pairs of the ``most`` strongest stars from 20 tolerances up are tried, the narrowest first,
     against all pairs of the catalogue's brightest; two stars of each fix shift, rotation and scale,
-    in either order and parity. The search ends early once a hypothesis has ``enough`` inliers, or
-    after ``ceiling`` hypotheses.
+    in either order and parity: four hypotheses an agreement. The search ends once a hypothesis has
+    ``enough`` inliers, after ``ceiling`` hypotheses, or after ``patience`` of them if none has had
+    ``min_inliers`` by then.
     """
     n, m = min(len(ix), most), min(len(cx), max(60, min(300, 4 * len(ix))))
     if n < 4 or m < 4 or not expected > 0:
@@ -310,27 +336,50 @@ def match_pairs(ix, iy, cx, cy, expected: float, tol_px: float = 2.5, scale_tol:
 
     a, b, sep = separations(z)
     i, j, d = separations(image)
+    if not len(sep) or not len(d):
+        return None
     half = tol_px + d * scale_tol
     low, high = np.searchsorted(sep, d - half), np.searchsorted(sep, d + half, side="right")
-    near, tested, best = Near(z, tol_px), 0, (0, None)
+    near, got = Near(z, tol_px), PairMatch(np.empty((0, 2), np.int64), 0, 0, n, m, 0, 0, False, False, None, False, False)
+    best = None
     for k in np.flatnonzero(high > low):
-        lo, hi = low[k], min(high[k], low[k] + (ceiling - tested) // 4)
-        tested += 4 * (hi - lo)
-        u, w = np.stack([a[lo:hi], b[lo:hi]], axis=1).ravel(), np.stack([b[lo:hi], a[lo:hi]], axis=1).ravel()
-        for h in range(0, len(u), 4096):
-            first, last = np.repeat(u[h : h + 4096], 2), np.repeat(w[h : h + 4096], 2)
+        for lo in range(low[k], high[k], 2048):
+            hi = min(lo + 2048, high[k])
+            u, w = np.stack([a[lo:hi], b[lo:hi]], axis=1).ravel(), np.stack([b[lo:hi], a[lo:hi]], axis=1).ravel()
+            first, last = np.repeat(u, 2), np.repeat(w, 2)
             # every other hypothesis is the mirrored one
             offset = np.stack([image - image[i[k]], np.conj(image - image[i[k]])])
             offset = offset / offset[:, j[k], None]
             at = ((z[last] - z[first]).reshape(-1, 2, 1) * offset + z[first].reshape(-1, 2, 1)).reshape(-1, n)
-            r, c, got = near(at)
+            r, c, name = near(at)
             hit = np.bincount(r, minlength=len(first))
+            so_far = np.maximum(got.inliers, np.maximum.accumulate(hit.reshape(-1, 4).max(1)))
+            tested = got.hypotheses + 4 * np.arange(1, len(so_far) + 1)
+            promise = got.to_promise if got.to_promise is not None else next(iter(tested[so_far >= min_inliers].tolist()), None)
+            ends = [(so_far >= enough), (tested >= patience) if promise is None else np.zeros(len(tested), bool), tested >= ceiling]
+            stop = np.flatnonzero(np.any(ends, axis=0))
+            done = int(stop[0]) + 1 if len(stop) else len(so_far)
+            got.agreements, got.hypotheses = got.agreements + done, int(tested[done - 1])
+            got.to_promise = promise if promise is not None and promise <= got.hypotheses else None
+            hit = hit[: 4 * done]
             top = int(hit.argmax())
-            if hit[top] > best[0]:
-                best = (int(hit[top]), np.stack([c[r == top], got[r == top]], axis=1))
-        if best[0] >= enough or tested + 4 > ceiling:
-            break
-    return best[1] if best[0] >= min_inliers else None
+            others = np.sort(np.append(np.delete(hit, top), [got.runner_up, min(got.inliers, hit[top])]))
+            if hit[top] > got.inliers:
+                got.runner_up, got.inliers, got.mirrored = int(others[-1]), int(hit[top]), bool(top % 2)
+                best = np.stack([c[r == top], name[r == top]], axis=1)
+            else:
+                got.runner_up = max(got.runner_up, int(hit[top]))
+            if len(stop):
+                got.aborted = bool(ends[1][done - 1] and not ends[0][done - 1])
+                got.truncated = bool(ends[2][done - 1] and not ends[0][done - 1] and not got.aborted)
+                break
+        else:
+            continue
+        break
+    got.sufficient = got.inliers >= min_inliers
+    if got.sufficient:
+        got.pairs = best
+    return got
 
 
 # ---- fit and gate -------------------------------------------------------------------------
@@ -407,18 +456,20 @@ def solve(stars: Stars, nx: int, ny: int, ra, dec, ra0: float, dec0: float, scal
     if len(ra) < 4:
         return fail("INDEX_TOO_SHALLOW")
     deg = scale / 3600 if scale else None
-    got = None
+    got, pair, matcher, budget = None, None, "quads", 0
     for budget in (600, 1500):
         got = match_quads(stars.x, stars.y, build_quads(stars.x, stars.y, 6, budget), xi, eta, build_quads(xi, eta, 6, budget), expected=deg)
         if got is not None and len(got) >= 4:
             break
     if (got is None or len(got) < 4) and pairs and deg:
-        got = match_pairs(stars.x, stars.y, xi, eta, deg)
+        pair, matcher = match_pairs(stars.x, stars.y, xi, eta, deg), "pairs"
+        got = pair.pairs if pair is not None else None
+    how = {"matcher": matcher, "budget": budget, "pair": pair}
     if got is None or len(got) < 4:
-        return fail("NO_QUAD_MATCH")
+        return fail("NO_QUAD_MATCH", **how)
     fit = fit_tan(stars.x[got[:, 0]], stars.y[got[:, 0]], ra[got[:, 1]], dec[got[:, 1]], ra0, dec0)
     if fit is None:
-        return fail("NO_QUAD_MATCH")
+        return fail("NO_QUAD_MATCH", **how)
     # further rounds over all stars that the solution explains
     for _ in range(2):
         px, py = fit.wcs.to_pixel(ra, dec)
@@ -436,8 +487,9 @@ def solve(stars: Stars, nx: int, ny: int, ra, dec, ra0: float, dec0: float, scal
     odds = decades(matched, len(stars), n_cat, 2.0 * fit.wcs.scale / 3600, area)
     rms_px = fit.rms_deg * 3600 / fit.wcs.scale
     if matched < 10 or odds < min_decades or not math.isfinite(rms_px) or rms_px > 3.0:
-        return fail("LOW_CONFIDENCE", matched=matched, log_odds=odds)
-    return {"solved": True, "reason": None, "detected": len(stars), "matched": matched, "log_odds": odds, "fit": fit}
+        return fail("LOW_CONFIDENCE", matched=matched, log_odds=odds, **how)
+    chance = len(stars) * n_cat * math.pi * (2.0 * fit.wcs.scale / 3600) ** 2 / area
+    return {"solved": True, "reason": None, "detected": len(stars), "matched": matched, "log_odds": odds, "chance": chance, "fit": fit, **how}
 
 
 # ---- blind candidates -----------------------------------------------------------------------

@@ -58,6 +58,12 @@ def disc_all_index_order(spark, d):
     return catalog.index_order(_cone(spark, d)).select("disc_id", "place", "star_id")
 
 
+def depth_comparison(spark, d):
+    """Stars by which a limit of 25 falls short of all stars of a disc; with a limit beyond their number none would."""
+    cone = _cone(spark, d)
+    return catalog.set_difference(cone, catalog.brightest(cone, LIMIT), ["disc_id", "star_id"])
+
+
 def healpix_encode(spark, d):
     return healpix.with_cell(stars(spark, d).drop("cell"), NSIDE).select("star_id", "cell")
 
@@ -178,7 +184,7 @@ def angsep_matrix(spark, d):
 
 
 QUERIES = [
-    cone_search, cone_topk, cone_topk_batch, cone_stratified, disc_all_index_order, healpix_encode, healpix_decode, healpix_level12, cell_histogram, cell_offsets, offsets_monotone,
+    cone_search, cone_topk, cone_topk_batch, cone_stratified, disc_all_index_order, depth_comparison, healpix_encode, healpix_decode, healpix_level12, cell_histogram, cell_offsets, offsets_monotone,
     index_info, catalog_concentration, select_catalogue, star_at_index, star_pack, star_unpack, star_index, build_stats, row_filter, null_policy, magnitude_cap,
     proper_motion, gnomonic_forward, gnomonic_inverse, angsep_matrix,
 ]
@@ -229,6 +235,7 @@ def oracle_sql():
         "cone_topk_batch": f"""with {POINTED}, {TOP} select disc_id, "rank", star_id from top""",
         "cone_stratified": f'with {CONE}, {STRAT} select disc_id, "rank", star_id from strat',
         "disc_all_index_order": f"with {CONE} select disc_id, row_number() over (partition by disc_id order by cell, mag_milli, star_id) place, star_id from cone",
+        "depth_comparison": f"with {CONE}, {TOP} select disc_id, star_id, 'a' side from (select disc_id, star_id from cone except select disc_id, star_id from top)",
         # the table's own cells are the truth
         "healpix_encode": "select distinct star_id, cell from star_records where mag_milli is not null",
         "healpix_decode": f"""

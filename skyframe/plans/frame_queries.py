@@ -36,6 +36,15 @@ def frame_geometry(spark, d):
     return f.select("frame_id", sphere.micro(F.col("scale")).alias("scale_e6"), sphere.micro(w).alias("width_udeg"), sphere.micro(h).alias("height_udeg"), sphere.micro(radius).alias("radius_udeg"), frame.mosaic_factor(F.col("bayerpat")).alias("factor"))
 
 
+def radius_rules(spark, d):
+    """The radius to search where a field height is given as well, and how far the two disagree."""
+    f = frames(spark, d)
+    w, h = frame.field_size(F.col("naxis1"), F.col("scale")), frame.field_size(F.col("naxis2"), F.col("scale"))
+    header = F.when(h.isNotNull(), frame.search_radius(w, h))
+    given = frame.radius_of_height((F.col("frame_id") % 5).cast("double"), F.col("naxis1"), F.col("naxis2"))
+    return f.select("frame_id", sphere.micro(frame.radius_to_use(header, given, F.lit(2.5))).alias("radius_udeg"), sphere.micro(frame.radius_mismatch(header, given), 3).alias("mismatch_e3"))
+
+
 def catalogue_limit(spark, d):
     n = detections(spark, d).groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"))
     return n.select("frame_id", frame.catalogue_limit(F.col("n")).alias("lim"))
@@ -256,7 +265,7 @@ def median_quality(spark, d):
 
 
 QUERIES = [
-    frame_geometry, catalogue_limit, pointing_hint, sexagesimal, epoch_years, mosaic_class, wcs_pix_to_sky, wcs_sky_to_pix, wcs_params, wcs_unbinned, residual_rms, lsq_plane,
+    frame_geometry, radius_rules, catalogue_limit, pointing_hint, sexagesimal, epoch_years, mosaic_class, wcs_pix_to_sky, wcs_sky_to_pix, wcs_params, wcs_unbinned, residual_rms, lsq_plane,
     nearest_within_tol, box_semi_join, knn_points, pair_separations, max_separation, band_join, first_location, centre_neighbours, superpixel_2x2, tile_background, median_noise,
     bilinear_background, threshold_mask, blob_moments, blob_shapes, rejection_cascade, saturation_level, image_concentration, flux_topk, flux_topk_stratified, median_quality,
 ]
@@ -298,6 +307,9 @@ def oracle_sql():
     med = lambda c: f"list_sort(list({c}))[count({c})//2+1] {c}"
     return {
         "frame_geometry": f"with {FRAMES}, g as (select *, naxis1*scale/3600.0e0 w, naxis2*scale/3600.0e0 h from f) select frame_id, {micro('scale')} scale_e6, {micro('w')} width_udeg, {micro('h')} height_udeg, {micro(f'coalesce({half}, 2.5e0)')} radius_udeg, case when bayerpat is not null then 2 else 1 end factor from g",
+        "radius_rules": f"""with {FRAMES}, g as (select *, naxis1*scale/3600.0e0 w, naxis2*scale/3600.0e0 h, frame_id % 5 fov from f), r as (select *, {half} hd,
+  case when fov > 0 then fov/2.0e0*sqrt(1 + pow(case when naxis1 > 0 and naxis2 > 0 then cast(naxis1 as double)/naxis2 else 1 end, 2))*1.10e0 end gv from g)
+select frame_id, {micro('least(coalesce(hd, gv, 2.5e0), 2.5e0)')} radius_udeg, case when gv/hd not between 0.75e0 and 1.25e0 then {micro('(gv/hd-1)*100', 3)} end mismatch_e3 from r""",
         "catalogue_limit": f"with {DETS} select frame_id, greatest(300, least(5000, 3*count(*))) lim from dt group by frame_id",
         "pointing_hint": f"""with {FRAMES}, o as (select *, ra_deg between 0 and 360 and dec_deg between -90 and 90 and dec_deg <> -90 ok from f)
 select frame_id, case when ok then {micro('ra_deg')} end ra_udeg, case when ok then {micro('dec_deg')} end dec_udeg, {micro("ra_deg", 7)} hint_ra_e7, {micro("dec_deg", 7)} hint_dec_e7 from o""",

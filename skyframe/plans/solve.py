@@ -15,8 +15,13 @@ from ..session import cut
 from ..sources import fits
 
 STAR = "array<struct<x:double,y:double,flux:double,peak:double,npix:long,fwhm:double,ellipticity:double,theta:double>>"
-PREPARED = f"path string, nx int, ny int, binned int, xbinning double, scale double, ra0 double, dec0 double, date_obs string, reason string, detected int, extended int, stars {STAR}"
-OUTCOME = "path string, solved boolean, reason string, detected int, matched int, log_odds double, used int, rms_deg double, trend double, crval array<double>, crpix array<double>, cd array<double>"
+REJECTED = "too_small:int,extended:int,saturated:int,elongated:int,edge:int"
+PAIR = "struct<inliers:int,runner_up:int,image_stars:int,cat_stars:int,agreements:long,hypotheses:long,mirrored:boolean,truncated:boolean,hypotheses_to_promise:long,aborted:boolean>"
+PREPARED = f"path string, nx int, ny int, binned int, xbinning double, scale double, ra0 double, dec0 double, date_obs string, reason string, detected int, rejected struct<{REJECTED}>, stars {STAR}"
+OUTCOME = (
+    "path string, solved boolean, reason string, detected int, matched int, log_odds double, used int, rms_deg double, trend double, crval array<double>, crpix array<double>, cd array<double>, "
+    f"worst_deg double, chance double, stars_used int, matcher string, quad_budget int, pair {PAIR}, rejected struct<{REJECTED}>, nx int, ny int, fwhm_px double, ellipticity double, theta_deg double"
+)
 FIELDS = ("x", "y", "flux", "peak", "npix", "fwhm", "ellipticity", "theta")
 
 
@@ -47,7 +52,7 @@ def read_frame(content: bytes, params: plate.ExtractParams) -> dict:
     got = plate.extract(px, params)
     return {
         "nx": px.shape[1], "ny": px.shape[0], "binned": binned, "xbinning": xbin, "scale": scale, "ra0": ra, "dec0": dec, "date_obs": fits.text(cards, "DATE-OBS"),
-        "reason": None, "detected": got.detected, "extended": got.rejected.get("extended", 0), "stars": [dict(zip(FIELDS, v)) for v in zip(*(getattr(got, f).tolist() for f in FIELDS))],
+        "reason": None, "detected": got.detected, "rejected": got.rejected, "stars": [dict(zip(FIELDS, v)) for v in zip(*(getattr(got, f).tolist() for f in FIELDS))],
     }
 
 
@@ -58,7 +63,7 @@ def prepare(files: DataFrame, params: plate.ExtractParams | None = None) -> Data
     def run(batches):
         for pdf in batches:
             for p, data in zip(pdf.path, pdf.content):
-                row = {k: None for k in ("nx", "ny", "binned", "xbinning", "scale", "ra0", "dec0", "date_obs", "reason", "detected", "extended", "stars")}
+                row = {k: None for k in ("nx", "ny", "binned", "xbinning", "scale", "ra0", "dec0", "date_obs", "reason", "detected", "rejected", "stars")}
                 yield pd.DataFrame([{"path": p} | row | read_frame(bytes(data), params)]).astype(object)
 
     return files.select("path", "content").mapInPandas(run, PREPARED)
@@ -80,31 +85,37 @@ def catalogue_for(frames: DataFrame, stars: DataFrame, nside: int, epoch: float
 
 
 def _stars_of(row) -> plate.Stars:
-    return plate.Stars(*[np.array([s[f] for s in row["stars"]], float) for f in FIELDS], {"extended": row["extended"] or 0}, row["detected"] or 0)
+    return plate.Stars(*[np.array([s[f] for s in row["stars"]], float) for f in FIELDS], dict(row["rejected"] or {}), row["detected"] or 0)
 
 
-def _outcome(path: str, o: dict, binned: int) -> dict:
-    out = {"path": path, "solved": o["solved"], "reason": o["reason"], "detected": o.get("detected"), "matched": o.get("matched"), "log_odds": o.get("log_odds")}
-    fit = o.get("fit")
+def _outcome(row, stars: plate.Stars, o: dict) -> dict:
+    binned, pair, fit = int(row["binned"]), o.get("pair"), o.get("fit")
+    middle = lambda v: float(np.sort(v)[len(v) // 2]) if len(v) else None
+    out = {k: o.get(k) for k in ("solved", "reason", "matched", "log_odds", "chance", "matcher")} | {"path": row["path"], "detected": stars.detected, "stars_used": len(stars), "quad_budget": o.get("budget")}
+    out |= {"rejected": {k: int(stars.rejected.get(k) or 0) for k in ("too_small", "extended", "saturated", "elongated", "edge")}, "nx": int(row["nx"]) * binned, "ny": int(row["ny"]) * binned}
+    out |= {"fwhm_px": middle(stars.fwhm * binned), "ellipticity": middle(stars.ellipticity), "theta_deg": middle(stars.theta)}
+    out["pair"] = pair and {k: getattr(pair, k) for k in ("inliers", "runner_up", "image_stars", "cat_stars", "agreements", "hypotheses", "mirrored", "truncated", "aborted")} | {"hypotheses_to_promise": pair.to_promise}
     if fit is None:
-        return out | {k: None for k in ("used", "rms_deg", "trend", "crval", "crpix", "cd")}
+        return out | {k: None for k in ("used", "rms_deg", "trend", "crval", "crpix", "cd", "worst_deg")}
     full = fit.wcs.full_frame(binned)
-    return out | {"used": fit.used, "rms_deg": fit.rms_deg, "trend": fit.trend, "crval": full.crval.tolist(), "crpix": full.crpix.tolist(), "cd": full.cd.ravel().tolist()}
+    return out | {"used": fit.used, "rms_deg": fit.rms_deg, "trend": fit.trend, "worst_deg": fit.worst_deg, "crval": full.crval.tolist(), "crpix": full.crpix.tolist(), "cd": full.cd.ravel().tolist()}
 
 
 def solve_rung(frames: DataFrame, stars: DataFrame, nside: int, scale: str = "scale", pairs: bool = False, radius_factor: float = frame.RADIUS_MARGIN, blind: bool = False) -> DataFrame:
     """One attempt at each prepared frame with a pointing; a group is one frame and its bounded catalogue."""
     ready = _radius(frames.where("reason is null and ra0 is not null"), radius_factor, scale).withColumn("lim", frame.catalogue_limit(F.size("stars"))).withColumn("scale", F.col(scale))
     cat = catalogue_for(ready, stars, nside)
+    columns = [c.split()[0] for c in OUTCOME.split(", ")]
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
-            return pd.DataFrame(columns=[c.split()[0] for c in OUTCOME.split(", ")])
+            return pd.DataFrame(columns=columns)
         row, right = left.iloc[0], right.sort_values("rank")
         known = row["scale"] if row["scale"] is not None and np.isfinite(row["scale"]) else None
         need = 12.0 + (max(0.0, math.log10(row["offered"])) if blind else 0.0)
-        o = plate.solve(_stars_of(row), int(row["nx"]), int(row["ny"]), right["cra"].to_numpy(), right["cdec"].to_numpy(), row["ra0"], row["dec0"], known, pairs, need, blind)
-        return pd.DataFrame([_outcome(row["path"], o, int(row["binned"]))]).astype(object)
+        stars = _stars_of(row)
+        o = plate.solve(stars, int(row["nx"]), int(row["ny"]), right["cra"].to_numpy(), right["cdec"].to_numpy(), row["ra0"], row["dec0"], known, pairs, need, blind)
+        return pd.DataFrame([_outcome(row, stars, o)], columns=columns).astype(object)
 
     return ready.groupBy("path").cogroup(cat.groupBy("disc_id")).applyInPandas(run, OUTCOME)
 
@@ -120,25 +131,29 @@ def solve_frames(files: DataFrame, stars: DataFrame, nside: int = 64, params: pl
     params = params or plate.ExtractParams()
     prepared = cut(prepare(files, params))
     soft = plate.ExtractParams(**{**params.__dict__, "filter_sigma": 1.5})
-    outcomes = []
+    outcomes: list[tuple[int, DataFrame]] = []
 
     def left(frames: DataFrame) -> DataFrame:
-        for o in outcomes:
+        for _, o in outcomes:
             frames = frames.join(o.where("solved").select("path"), "path", "left_anti")
         return frames
 
-    outcomes.append(cut(solve_rung(prepared, stars, nside)))
-    unbinned = left(prepared).where("xbinning > 1").withColumn("alt", F.col("scale") / F.col("xbinning"))
-    outcomes.append(cut(solve_rung(unbinned, stars, nside, scale="alt")))
-    again = outcomes[0].where(F.col("reason").isin(frame.RETRIED)).select("path")
-    filtered = cut(prepare(left(files.join(again, "path", "left_semi")), soft))
-    outcomes.append(cut(solve_rung(filtered, stars, nside)))
-    outcomes.append(cut(solve_rung(left(prepared), stars, nside, pairs=True)))
-    outcomes.append(cut(solve_rung(left(prepared), stars, nside, pairs=True, radius_factor=0.5)))
-    if quad_index is not None:
-        outcomes.append(cut(solve_blind(left(prepared), stars, quad_index, nside)))
-    every = outcomes[0].withColumn("rung", F.lit(1))
-    for k, o in enumerate(outcomes[1:], 2):
+    def attempt(rung: int, frames: DataFrame, **how) -> None:
+        if rung == 1 or not frames.isEmpty():  # most frames are solved at once
+            outcomes.append((rung, cut(solve_rung(frames, stars, nside, **how))))
+
+    attempt(1, prepared)
+    attempt(2, left(prepared).where("xbinning > 1").withColumn("alt", F.col("scale") / F.col("xbinning")), scale="alt")
+    again = outcomes[0][1].where(F.col("reason").isin(frame.RETRIED)).select("path")
+    again = cut(left(again))
+    if not again.isEmpty():
+        attempt(3, cut(prepare(files.join(again, "path", "left_semi"), soft)))
+    attempt(4, left(prepared), pairs=True)
+    attempt(5, left(prepared), pairs=True, radius_factor=0.5)
+    if quad_index is not None and not left(prepared).isEmpty():
+        outcomes.append((6, cut(solve_blind(left(prepared), stars, quad_index, nside))))
+    every = outcomes[0][1].withColumn("rung", F.lit(1))
+    for k, o in outcomes[1:]:
         every = every.unionByName(o.withColumn("rung", F.lit(k)))
     unread = prepared.where("reason is not null or ra0 is null").select("path", F.coalesce("reason", F.lit("NO_HINT")).alias("reason"))
     names = [c for c in every.columns if c not in ("path", "reason", "solved", "rung")]

@@ -80,9 +80,9 @@ def solve_synthetic(spark, d):
 
 
 def solve_records(spark, d):
-    """The same outcomes as result records."""
+    """The outcomes of the whole ladder as nested result records."""
     files, stars = _fields(spark, d)
-    return sidecar.solve_json(solve.solve_rung(solve.prepare(files), stars, NSIDE))
+    return sidecar.solve_json(solve.solve_frames(files, stars, NSIDE), "synthetic")
 
 
 def blind_solve(spark, d):

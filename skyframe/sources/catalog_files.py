@@ -5,13 +5,14 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import struct
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec, healpix
+from ..session import narrow_batches
 from .delimited import DEFAULTS, ROLES, column_spec, header_names
 
 COMPRESSED = (".gz", ".bz2", ".zst")
@@ -21,6 +22,26 @@ class CatalogError(ValueError):
     """A catalogue that must not be read as it is."""
 
 
+#: Suffix of star and pattern index files.
+STAR_SUFFIX, QUAD_SUFFIX = ".skystars", ".skyquads"
+PACKED_ROWS = 1 << 16
+
+
+def pick(folder: str | None, suffix: str = STAR_SUFFIX, needed: bool = True) -> str | None:
+    """The first file of a folder with the suffix, by name; none is an error only if one is needed.
+
+    A missing or unreadable folder counts as empty. A pattern index is not needed: without one
+    there is no blind search.
+    """
+    try:
+        names = sorted(n for n in os.listdir(folder or "") if n.endswith(suffix) and os.path.isfile(os.path.join(folder, n)))
+    except OSError:
+        names = []
+    if not names and needed:
+        raise CatalogError("no star index found")
+    return os.path.join(folder, names[0]) if names else None
+
+
 def shard_files(folder: str) -> list[str]:
     """Sorted CSV files of a folder; a compressed file is refused, since part of the sky would go missing."""
     names = sorted(os.listdir(folder))
@@ -90,25 +111,32 @@ def check_manifest(folder: str, max_mag: float, min_dec: float, max_dec: float)
 
 # ---- binary star index: header, offsets per cell, 16-byte records -----------------------------
 
-HEAD = struct.Struct("<8sIIQd32s32s32x")
-MAGIC = b"SKYFSTAR"
-
-
 def write_binary(index: DataFrame, nside: int, epoch: float, name: str, path: str) -> None:
-    """Write an index as one file; its rows stream to the driver in index order, partition by partition."""
+    """Write an index as one file of packed records in index order.
+
+    The executors sort and pack; the driver takes whole packed chunks one after another, writes
+    them, and keeps only the counts per cell.
+    """
     ordered = index.orderBy("cell", "mag_milli", "source_id").select("cell", "ra_scaled", "dec_scaled", "mag_milli", "pmra_mas", "pmdec_mas")
+
+    def pack(batches):
+        for t in narrow_batches(batches, PACKED_ROWS):
+            rec = np.zeros(t.num_rows, codec.STAR_RECORD)
+            for f, c in zip(codec.STAR_RECORD.names, t.column_names[1:]):
+                rec[f] = t.column(c).to_numpy()
+            cell, n = np.unique(t.column("cell").to_numpy(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([rec.tobytes()], pa.binary()), pa.array([cell.tolist()]), pa.array([n.tolist()])], names=["records", "cells", "counts"])
+
     offsets = np.zeros(healpix.cells(nside) + 1, np.int64)
-    digest, n = hashlib.sha256(), 0
+    digest = hashlib.sha256()
     with open(path, "wb") as f:
-        f.write(b"\0" * (HEAD.size + offsets.nbytes))
-        for r in ordered.toLocalIterator(prefetchPartitions=True):
-            rec = codec.STAR.pack(r[1], r[2], r[3], r[4], r[5], 0)
-            digest.update(rec)
-            f.write(rec)
-            offsets[r[0] + 1] += 1
-            n += 1
+        f.write(b"\0" * (codec.STAR_HEAD.size + offsets.nbytes))
+        for r in ordered.mapInArrow(pack, "records binary, cells array<long>, counts array<long>").toLocalIterator(prefetchPartitions=True):
+            digest.update(r["records"])
+            f.write(r["records"])
+            offsets[np.array(r["cells"]) + 1] += np.array(r["counts"])
         f.seek(0)
-        f.write(HEAD.pack(MAGIC, 1, nside, n, epoch, name.encode("ascii", "replace")[:32], digest.digest()))
+        f.write(codec.pack_star_head(nside, int(offsets.sum()), epoch, name, digest.digest()))
         f.write(np.cumsum(offsets).astype("<i8").tobytes())
 
 
@@ -116,24 +144,22 @@ def open_binary(path: str, verify: bool = False) -> tuple[dict, np.ndarray, np.n
     """Header, offsets and records of a binary index; refuses any that does not hold together."""
     size = os.path.getsize(path)
     with open(path, "rb") as f:
-        head = f.read(HEAD.size)
-        if len(head) < HEAD.size:
-            raise CatalogError("the index is cut off")
-        magic, version, nside, n, epoch, name, digest = HEAD.unpack(head)
-        if magic != MAGIC or version != 1:
-            raise CatalogError("not an index, or of another version")
+        data = f.read(codec.STAR_HEAD.size)
+        head = codec.read_star_head(data)
+        if head is None:
+            raise CatalogError("the index is cut off" if len(data) < codec.STAR_HEAD.size else "not an index, or of another version")
+        nside, n = head["nside"], head["n_stars"]
         healpix.order_of(nside)
         count = healpix.cells(nside) + 1
-        if size != HEAD.size + count * 8 + n * codec.STAR.size:
+        if size != codec.STAR_HEAD.size + count * 8 + n * codec.STAR.size:
             raise CatalogError("the index has the wrong length")
         offsets = np.frombuffer(f.read(count * 8), "<i8")
     if (np.diff(offsets) < 0).any() or offsets[0] != 0 or offsets[-1] != n:
         raise CatalogError("the offsets are not ascending or do not end at the last star")
-    kind = np.dtype([("ra", "<u4"), ("dec", "<i4"), ("mag", "<i2"), ("pmra", "<i2"), ("pmdec", "<i2"), ("pad", "<u2")])
-    records = np.memmap(path, kind, "r", HEAD.size + count * 8, (n,)) if n else np.empty(0, kind)
-    if verify and hashlib.sha256(records.tobytes()).digest() != digest:
+    records = np.memmap(path, codec.STAR_RECORD, "r", codec.STAR_HEAD.size + count * 8, (n,)) if n else np.empty(0, codec.STAR_RECORD)
+    if verify and hashlib.sha256(records.tobytes()).hexdigest() != head["digest"]:
         raise CatalogError("the records do not have their digest")
-    return {"nside": nside, "n_stars": n, "epoch": epoch, "name": name.rstrip(b"\0").decode(), "digest": digest.hex()}, offsets, records
+    return head, offsets, records
 
 
 def read_binary(spark: SparkSession, path: str, parts: int = 8) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import os
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -104,6 +106,68 @@ def write_image(px: np.ndarray, cards: list[tuple[str, object]] = ()) -> bytes:
     return blob.ljust(-(-len(blob) // BLOCK) * BLOCK) + body.ljust(-(-len(body) // BLOCK) * BLOCK, b"\0")
 
 
+def update_header(path: str, cards: list[tuple[str, object]]) -> None:
+    """Put cards into the header of a file in place: old values of their names are replaced, new cards follow.
+
+    ``COMMENT`` and ``HISTORY`` cards are always added. The new header must fit in the blocks of
+    the old one, so that no pixel moves; otherwise, or if the copy does not have the very pixels
+    and cards, the file stays as it was. A synced copy beside the file takes its place at once.
+    """
+    from .sidecar import card
+
+    with open(path, "rb") as f:
+        data = f.read()
+    _, offset = read_header(data)
+    old = [data[at : at + CARD] for at in range(0, offset, CARD)]
+    old = old[: next(i for i, c in enumerate(old) if c[:8].strip() == b"END")]
+    new = [(n, card(n, v).encode("ascii", "replace")) for n, v in cards]
+    named = {n: c for n, c in new if n not in ("COMMENT", "HISTORY", "")}
+    out, seen = [], set()
+    for c in old:
+        name = c[:8].decode("ascii", "replace").strip()
+        if name not in named:
+            out.append(c)
+        elif name not in seen:
+            out.append(named[name])
+            seen.add(name)
+    out += [c for n, c in new if n not in seen]
+    head = b"".join(out) + b"END".ljust(CARD)
+    if len(head) > offset:
+        raise FrameError("CANNOT_READ", f"the header needs {-(-len(head) // BLOCK)} blocks and has {offset // BLOCK}")
+    copy = f"{path}.{os.getpid()}.tmp"
+    try:
+        with open(copy, "xb") as f:
+            f.write(head.ljust(offset) + data[offset:])
+            f.flush()
+            os.fsync(f.fileno())
+        with open(copy, "rb") as f:
+            again = f.read()
+        if again[offset:] != data[offset:] or read_header(again)[1] != offset or not all(c in again[:offset] for _, c in new):
+            raise FrameError("CANNOT_READ", "the copy does not hold what was written")
+        os.chmod(copy, os.stat(path).st_mode)
+        os.replace(copy, path)
+    finally:
+        if os.path.exists(copy):
+            os.remove(copy)
+
+
+def update_headers(outcomes: DataFrame, cards: Callable[[dict], list[tuple[str, object]]]) -> DataFrame:
+    """``path, error``: files whose headers were updated with the cards of their row, each by one task; null if all went well."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.to_dict("records"):
+                try:
+                    update_header(r["path"].removeprefix("file:"), cards(r))
+                    rows.append((r["path"], None))
+                except (FrameError, OSError, StopIteration) as e:
+                    rows.append((r["path"], str(e) or "no header"))
+            yield pd.DataFrame(rows, columns=["path", "error"])
+
+    return outcomes.mapInPandas(run, "path string, error string")
+
+
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
     """Files below a path as ``path, content``; one file is one row."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.fit*").option("recursiveFileLookup", "true").load(path).select("path", "content")

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import sphere, wcs
+
 #: Keys of the INI sidecar in their fixed order.
 INI_KEYS = "CRPIX1 CRPIX2 CRVAL1 CRVAL2 CDELT1 CDELT2 CROTA1 CROTA2 CD1_1 CD1_2 CD2_1 CD2_2".split()
 
@@ -78,7 +80,36 @@ def cone_json(cone: DataFrame) -> DataFrame:
     return cone.select(F.format_string(text, "ra", "dec", "mag", F.coalesce("pmra", F.lit(0.0)), F.coalesce("pmdec", F.lit(0.0))).alias("value"))
 
 
-def solve_json(outcomes: DataFrame) -> DataFrame:
-    """Solve outcomes as JSON text, nulls kept, numbers that are not finite as null."""
-    cells = [finite_or_null(F.col(n)).alias(n) if t in ("double", "float") else F.col(n) for n, t in outcomes.dtypes]
-    return outcomes.select(F.to_json(F.struct(*cells), {"ignoreNullFields": "false"}).alias("value"))
+def solve_record(outcomes: DataFrame, index: str = "", build: str = "") -> DataFrame:
+    """``path, record``: the nested record of each outcome (``plans.solve``).
+
+    A solved frame has ``confidence, wcs, field, stars, fit, quality``; a failed one its reason
+    and what was found in it, and nulls there. Numbers that are not finite are null.
+    """
+    c = lambda n: F.col(n)
+    num = lambda x: finite_or_null(x.cast("double"))
+    named = lambda **cells: F.struct(*[v.alias(k) for k, v in cells.items()])
+    cd = [F.col("cd")[i] for i in range(4)]
+    x, y = (c("nx") - 1) / 2 - F.col("crpix")[0], (c("ny") - 1) / 2 - F.col("crpix")[1]
+    ra, dec = sphere.from_plane(cd[0] * x + cd[1] * y, cd[2] * x + cd[3] * y, F.col("crval")[0], F.col("crval")[1])
+    scale = wcs.scale_arcsec(cd)
+    steps = [F.sqrt(cd[0] * cd[0] + cd[1] * cd[1]), F.sqrt(cd[2] * cd[2] + cd[3] * cd[3])]
+    solved = lambda s: F.when(c("solved"), s)
+    record = named(
+        build=F.lit(build), solved=c("solved"), reason=c("reason"),
+        confidence=solved(named(log_odds=num(c("log_odds")), chance_matches=num(c("chance")))),
+        wcs=solved(named(
+            crval=c("crval"), crpix=c("crpix"), cd=F.array(F.array(cd[0], cd[1]), F.array(cd[2], cd[3])), cdelt=F.array(*steps),
+            pc=F.array(F.array(cd[0] / steps[0], cd[1] / steps[0]), F.array(cd[2] / steps[1], cd[3] / steps[1])), parity=wcs.parity(cd))),
+        field=solved(named(center=named(ra=num(ra), dec=num(dec)), fov_deg=F.array(c("nx") * scale / 3600.0, c("ny") * scale / 3600.0), scale_arcsec=num(scale), orientation_pa=num(wcs.orientation(cd)))),
+        stars=named(detected=c("detected"), used=c("stars_used"), matched=c("matched"), matcher=c("matcher"), quad_budget=c("quad_budget"), pair=c("pair"), rejected=c("rejected")),
+        fit=solved(named(rms_arcsec=num(c("rms_deg") * 3600.0), max_residual_arcsec=num(c("worst_deg") * 3600.0), radial_trend=num(c("trend")))),
+        quality=solved(named(fwhm_px=num(c("fwhm_px")), ellipticity=num(c("ellipticity")), ellipticity_pa=num(c("theta_deg")))),
+        index=named(name=F.lit(index)),
+    )
+    return outcomes.select("path", record.alias("record"))
+
+
+def solve_json(outcomes: DataFrame, index: str = "", build: str = "") -> DataFrame:
+    """Nested records as JSON text, one object per frame, nulls kept."""
+    return solve_record(outcomes, index, build).select("path", F.to_json("record", {"ignoreNullFields": "false"}).alias("value"))

@@ -1,10 +1,12 @@
 import json
 
+import numpy as np
 import pytest
 
 from skyframe.functions import healpix
 from skyframe.operators import catalog
 from skyframe.sources import catalog_files as cf
+from skyframe.sources import fits, mirror
 
 HEAD = "source_id,ra,dec,pmra,pmdec,phot_g_mean_mag"
 
@@ -102,3 +104,47 @@ def test_impossible_positions_have_no_cell_and_do_not_fail(spark):
     got = catalog.build_stats(df).first()
     assert (got["written"], got["clamped"], got["skipped"]) == (1, 1, 4)
     assert catalog.build_star_index(df, 64).count() == 1
+
+
+def test_index_files_are_picked_by_name(tmp_path):
+    with pytest.raises(cf.CatalogError):
+        cf.pick(str(tmp_path / "none"))
+    with pytest.raises(cf.CatalogError):
+        cf.pick(None)
+    assert cf.pick(str(tmp_path), cf.QUAD_SUFFIX, needed=False) is None
+    for n in ("b", "a", "c"):
+        (tmp_path / f"{n}{cf.STAR_SUFFIX}").write_text("")
+    (tmp_path / f"0{cf.STAR_SUFFIX}").mkdir()
+    assert cf.pick(str(tmp_path)) == str(tmp_path / f"a{cf.STAR_SUFFIX}")
+
+
+def test_mirror_filters_restarts_and_guards(spark, tmp_path):
+    import gzip
+
+    wide = "solution_id,source_id,ra,dec,phot_g_mean_mag,pmra,pmdec"
+    rows = ["1,1,10,20,12.5,1,2", "1,2,10,50,12.5,1,2", "1,3,10,20,15,1,2", "1,4,10,20,null,1,2", "1,5,10,,9,1,2", "1,6,10,-30,14,null,"]
+    with gzip.open(tmp_path / "x.csv.gz", "wt") as f:
+        f.write("# note\n" + "\n".join([wide, *rows]) + "\n")
+    (tmp_path / "y.csv").write_text(wide + "\n1,7,1,89,3,1,1\n")
+    out = str(tmp_path / "mirror")
+    sources = [str(tmp_path / "x.csv.gz"), str(tmp_path / "y.csv")]
+    assert mirror.build(spark, sources, out, 14.0, -30.0, 45.0) == 2
+    assert open(f"{out}/x.csv").read() == "ra,dec,pmra,pmdec,phot_g_mean_mag\n10,20,1,2,12.5\n10,-30,null,,14\n"
+    assert open(f"{out}/y.csv").read().count("\n") == 1
+    assert cf.check_manifest(out, 14.0, -30.0, 45.0)["rows"] == 2 and cf.read_shards(spark, cf.shard_files(out)).count() == 2
+    open(f"{out}/y.csv", "a").write("1,2,3,4,5\n")  # a shard that is there is not made again
+    assert mirror.build(spark, sources, out, 14.0, -30.0, 45.0) == 3
+
+
+def test_header_update_in_place(spark, tmp_path):
+    px = np.arange(600.0).reshape(20, 30)
+    path = tmp_path / "f.fits"
+    path.write_bytes(fits.write_image(px, [("CRVAL1", 1.0), ("OBJECT", "M31")]))
+    before = path.read_bytes()
+    fits.update_header(str(path), [("CRVAL1", 2.5), ("CTYPE1", "RA---TAN"), ("COMMENT", "solved")])
+    cards, got, _ = fits.read_image(path.read_bytes())
+    assert len(path.read_bytes()) == len(before) and (got == px).all()
+    assert fits.number(cards, "CRVAL1") == 2.5 and [n for n, _ in cards].count("CRVAL1") == 1 and fits.text(cards, "CTYPE1") == "RA---TAN" and ("COMMENT", "solved") in cards and fits.text(cards, "OBJECT") == "M31"
+    now = path.read_bytes()
+    done = fits.update_headers(spark.createDataFrame([(str(path),), (str(tmp_path / "none.fits"),)], "path string"), lambda r: [("COMMENT", "x")] * 100).collect()
+    assert all(r["error"] for r in done) and path.read_bytes() == now and sorted(p.name for p in tmp_path.iterdir()) == ["f.fits"]

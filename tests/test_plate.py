@@ -36,7 +36,19 @@ def test_pairs_find_a_small_rotation():
     x, y = rng.uniform(0, 600, 30), rng.uniform(0, 400, 30)
     z = (x + 1j * y) * np.exp(1j * 0.7) + (50 - 20j)
     got = plate.match_pairs(x, y, z.real * 0.001, z.imag * 0.001, 0.001)
-    assert got is not None and (got[:, 0] == got[:, 1]).sum() >= 24
+    assert got.sufficient and (got.pairs[:, 0] == got.pairs[:, 1]).sum() >= 24 and got.inliers >= 24 > got.runner_up
+    assert got.hypotheses == 4 * got.agreements and got.to_promise <= got.hypotheses and not (got.truncated or got.aborted or got.mirrored)
+    # the counts of every hypothesis up to the same end, one by one
+    short = plate.match_pairs(x, y, z.real * 0.001, z.imag * 0.001, 0.001, ceiling=400, enough=1000)
+    assert short.truncated and short.hypotheses == 400 and not short.aborted
+
+
+def test_pairs_give_up_without_promise():
+    rng = np.random.default_rng(2)
+    got = plate.match_pairs(*(rng.uniform(0, 600, 40) for _ in range(2)), *(rng.uniform(0, 0.6, 60) for _ in range(2)), 0.001, min_inliers=30, patience=2000)
+    assert got.aborted and not got.truncated and not got.sufficient and not len(got.pairs) and got.hypotheses == 2000 and got.to_promise is None
+    assert 0 < got.runner_up <= got.inliers < 30
+    assert plate.match_pairs(np.arange(3.0), np.arange(3.0), np.arange(9.0), np.arange(9.0), 0.001) is None
 
 
 @pytest.mark.parametrize("mirrored", [False, True])
@@ -48,7 +60,8 @@ def test_pairs_within_a_small_catalogue_disc(mirrored):
     z = (x[inside] + 1j * y[inside]) * np.exp(1j * 2.1)
     z = -np.conj(z) if mirrored else z
     got = plate.match_pairs(x, y, z.real * 0.001, z.imag * 0.001, 0.001)
-    assert got is not None and 8 <= len(inside) < 24 and (got[:, 0] == inside[got[:, 1]]).sum() == len(inside)
+    assert 8 <= len(inside) < 24 and got.mirrored == mirrored
+    assert got.sufficient and (got.pairs[:, 0] == inside[got.pairs[:, 1]]).sum() == len(inside)
 
 
 def test_a_cluster_over_nine_small_bins_wins():
