@@ -62,21 +62,34 @@ def cell_histogram(stars: DataFrame) -> DataFrame:
     return stars.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Cells of a block, within which offsets are summed; the blocks are summed on their own.
+BLOCK_CELLS = 4096
+
+
 def cell_offsets(stars: DataFrame, nside: int) -> DataFrame:
     """Every cell with the number of stars before and up to it, as a prefix table.
 
-    The running sum is over cells (49,152 at nside 64), not over stars.
+    The sums run over blocks of cells in parallel and over the blocks' totals (at most 49,152), so
+    no task has all cells, let alone stars.
     """
     every = stars.sparkSession.range(healpix.cells(nside)).withColumnRenamed("id", "cell")
-    counted = every.join(cell_histogram(stars), "cell", "left").select("cell", F.coalesce("n", F.lit(0)).alias("n"))
-    upto = F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
-    return counted.select("cell", "n", (upto - F.col("n")).alias("first"), upto.alias("next"))
+    counted = every.join(cell_histogram(stars), "cell", "left").select("cell", F.coalesce("n", F.lit(0)).alias("n")).withColumn("block", F.floor(F.col("cell") / BLOCK_CELLS))
+    inside = F.sum("n").over(Window.partitionBy("block").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
+    before = F.sum("total").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = counted.groupBy("block").agg(F.sum("n").alias("total")).select("block", F.coalesce(before, F.lit(0)).alias("before"))
+    got = counted.withColumn("inside", inside).join(blocks, "block").withColumn("next", F.col("before") + F.col("inside"))
+    return got.select("cell", "n", (F.col("next") - F.col("n")).alias("first"), "next")
 
 
 def offsets_monotone(offsets: DataFrame) -> DataFrame:
     """One row: how many entries of a prefix table fall below their predecessor, and its end."""
-    before = F.lag("next").over(Window.orderBy("cell"))
-    return offsets.select("next", (F.col("next") < before).alias("falls")).agg(F.count_if("falls").alias("falls"), F.max("next").alias("n_stars"))
+    blocks = offsets.select("cell", "next", F.floor(F.col("cell") / BLOCK_CELLS).alias("block"))
+    before = F.lag("next").over(Window.partitionBy("block").orderBy("cell"))
+    per = blocks.withColumn("falls", F.col("next") < before).groupBy("block").agg(
+        F.count_if("falls").alias("falls"), F.min_by("next", "cell").alias("low"), F.max_by("next", "cell").alias("high"), F.max("next").alias("most")
+    )
+    last = F.lag("high").over(Window.orderBy("block"))
+    return per.withColumn("step", F.col("low") < last).agg((F.sum("falls") + F.count_if("step")).alias("falls"), F.max("most").alias("n_stars"))
 
 
 def index_info(stars: DataFrame) -> DataFrame:

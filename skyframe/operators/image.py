@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import whole_groups
-from . import geometry
+from . import geometry, ranks
 
 
 def pixels(images: DataFrame, key: str, values: str, width: int) -> DataFrame:
@@ -27,6 +27,11 @@ def upper_median(v: str) -> Column:
     return F.expr(f"percentile_disc(0.5) within group (order by {v} desc)")
 
 
+def _upper_median_rank() -> Column:
+    """The same as a rank of ``n`` values, for ``ranks.values_at``."""
+    return F.array(F.struct(F.lit(0).alias("i"), F.floor(F.col("n") / 2).alias("rank")))
+
+
 def background_mesh(px: DataFrame, key: str, tile: int) -> DataFrame:
     """``key, ty, tx, level, noise`` of square tiles, ragged ones at the borders included.
 
@@ -42,14 +47,15 @@ def background_mesh(px: DataFrame, key: str, tile: int) -> DataFrame:
 
 def with_background(px: DataFrame, mesh: DataFrame, key: str, tile: int) -> DataFrame:
     """Add ``level, noise`` at each pixel, bilinear between tile centres and flat beyond them."""
-    grid = mesh.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.struct("ty", "tx"), F.struct("level", "noise")))).alias("m"), F.max("ty").alias("my"), F.max("tx").alias("mx"))
+    # a mesh is whole, so its sorted rows are a table of my + 1 rows and mx + 1 columns
+    grid = mesh.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ty", "tx", "level", "noise"))).alias("m"), F.max("ty").alias("my"), F.max("tx").alias("mx"))
     place = lambda v, top: F.greatest(F.lit(0.0), F.least(F.col(top).cast("double"), (F.col(v) + 0.5) / tile - 0.5))
     df = px.join(grid, key).withColumn("cy", place("y", "my")).withColumn("cx", place("x", "mx"))
     df = df.withColumn("y0", F.floor("cy").cast("int")).withColumn("x0", F.floor("cx").cast("int"))
     df = df.withColumn("y1", F.least(F.col("y0") + 1, "my")).withColumn("x1", F.least(F.col("x0") + 1, "mx"))
     df = df.withColumn("dy", F.col("cy") - F.col("y0")).withColumn("dx", F.col("cx") - F.col("x0"))
     for name, y, x in (("a", "y0", "x0"), ("b", "y0", "x1"), ("c", "y1", "x0"), ("d", "y1", "x1")):
-        df = df.withColumn(name, F.element_at("m", F.struct(F.col(y).alias("ty"), F.col(x).alias("tx"))))
+        df = df.withColumn(name, F.get("m", F.col(y) * (F.col("mx") + 1) + F.col(x)))
     mix = lambda f: (
         F.col(f"a.{f}") * (1 - F.col("dx")) * (1 - F.col("dy")) + F.col(f"b.{f}") * F.col("dx") * (1 - F.col("dy")) + F.col(f"c.{f}") * (1 - F.col("dx")) * F.col("dy") + F.col(f"d.{f}") * F.col("dx") * F.col("dy")
     )
@@ -113,7 +119,7 @@ def rejections(blobs: DataFrame, keys: list[str], min_pix: int = 4, factor: floa
     ``blobs`` has ``npix, peak, edge, s, ellipticity``. The largest allowed size follows the
     upper median of the sizes of at least ``min_pix``.
     """
-    big = blobs.where(F.col("npix") >= min_pix).groupBy(*keys).agg(F.greatest(upper_median("npix"), F.lit(1)).alias("mid"))
+    big = ranks.values_at(blobs.where(F.col("npix") >= min_pix), keys, "npix", _upper_median_rank()).select(*keys, F.greatest("npix", F.lit(1)).alias("mid"))
     limit = F.greatest(F.coalesce("mid", F.lit(1)) * factor, F.lit(4.0 * min_pix))
     why = (
         F.when(F.col("npix") < min_pix, "too_small").when(F.col("npix") > limit, "extended").when(F.col("peak") >= saturation, "saturated").when(F.col("edge"), "edge")
@@ -168,4 +174,8 @@ def stratified_by_flux(stars: DataFrame, keys: list[str], keep: int, least: int
 
 
 def median_quality(stars: DataFrame, keys: list[str]) -> DataFrame:
-    return stars.groupBy(*keys).agg(*[upper_median(c).alias(c) for c in ("fwhm_px", "ellipticity", "theta_deg")])
+    """Upper medians of width, ellipticity and angle of each key, by ranks in sorted partitions."""
+    names = ["fwhm_px", "ellipticity", "theta_deg"]
+    long = stars.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).cast("double").alias("v")) for c in names])).alias("c")).select(*keys, "c.*")
+    got = ranks.values_at(long, [*keys, "what"], "v", _upper_median_rank())
+    return got.groupBy(*keys).agg(*[F.max(F.when(F.col("what") == c, F.col("v"))).alias(c) for c in names])

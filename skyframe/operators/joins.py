@@ -16,18 +16,25 @@ def _bins(low: Column, high: Column, width: float) -> Column:
     return F.sequence(F.floor(low / width).cast("long"), F.floor(high / width).cast("long"))
 
 
-def band_join(left: DataFrame, right: DataFrame, left_value: str, right_value: str, tol: float, rel_tol: float = 0.0, width: float | None = None, keys: list[str] | None = None) -> DataFrame:
-    """Pairs with ``|right - left| <= tol + left * rel_tol``.
+def band_join(left: DataFrame, right: DataFrame, left_value: str, right_value: str, tol: float, rel_tol: float = 0.0, width: float | None = None, keys: list[str] | None = None, repeat: str = "left") -> DataFrame:
+    """Pairs with ``|right - left| <= tol + |left| * rel_tol``.
 
-    Left rows are repeated for each bin that their band touches, right rows have one bin, so each
-    pair is found once and the residual is exact. Columns of both sides must have distinct names
-    but for ``keys``. Null and NaN match nothing.
+    The rows of one side (``repeat``, which should be the smaller one) are repeated for each bin
+    that their band touches, those of the other have one bin, so each pair is found once and the
+    residual is exact. Columns of both sides must have distinct names but for ``keys``. Null and
+    NaN match nothing. ``rel_tol`` must be below 1.
     """
     width = width or max(2 * tol, 1e-12)
-    v, half = F.col(left_value), F.lit(tol) + F.abs(F.col(left_value)) * rel_tol
-    a = left.where(v.isNotNull() & ~F.isnan(v)).withColumn("__bin", F.explode(_bins(v - half, v + half, width)))
-    b = right.where(F.col(right_value).isNotNull() & ~F.isnan(right_value)).withColumn("__bin", F.floor(F.col(right_value) / width).cast("long"))
-    return a.join(b, [*(keys or []), "__bin"]).where(F.abs(F.col(right_value) - v) <= half).drop("__bin")
+    known = lambda df, c: df.where(F.col(c).isNotNull() & ~F.isnan(c))
+    a, b, half = known(left, left_value), known(right, right_value), F.lit(tol) + F.abs(F.col(left_value)) * rel_tol
+    if repeat == "left":
+        v, reach = F.col(left_value), half
+    else:  # the widest band of any left value that can reach this right one
+        v = F.col(right_value)
+        reach = tol + (F.abs(v) + tol) * (rel_tol / (1.0 - rel_tol)) + 1e-9
+    many, one = F.explode(_bins(v - reach, v + reach, width)), F.floor(F.col(right_value if repeat == "left" else left_value) / width).cast("long")
+    a, b = (a.withColumn("__bin", many), b.withColumn("__bin", one)) if repeat == "left" else (a.withColumn("__bin", one), b.withColumn("__bin", many))
+    return a.join(b, [*(keys or []), "__bin"]).where(F.abs(F.col(right_value) - F.col(left_value)) <= half).drop("__bin")
 
 
 def _grid(df: DataFrame, x: str, y: str, cell: float, around: bool) -> DataFrame:

@@ -64,9 +64,10 @@ def votes(matches: DataFrame, keys: list[str]) -> DataFrame:
     # a bin gives its votes to all bins at most one step away, once each; wrapped = min(d, 72 - d) <= 1
     steps = F.array(*[F.lit(s).cast("long") for s in (-72, -71, -1, 0, 1, 71, 72)])
     given = own.withColumn("ds", F.explode(F.array(*[F.lit(s).cast("long") for s in (-1, 0, 1)]))).withColumn("dr", F.explode(steps))
-    to = given.select(*keys, (F.col("bs") + F.col("ds")).alias("bs"), (F.col("br") + F.col("dr")).alias("br"), "mirrored", "n")
-    merged = to.groupBy(*keys, "bs", "br", "mirrored").agg(F.sum("n").alias("merged"))
-    return own.join(merged, [*keys, "bs", "br", "mirrored"])
+    kept = F.when((F.col("ds") == 0) & (F.col("dr") == 0), F.col("n"))
+    to = given.select(*keys, (F.col("bs") + F.col("ds")).alias("bs"), (F.col("br") + F.col("dr")).alias("br"), "mirrored", "n", kept.alias("own"))
+    merged = to.groupBy(*keys, "bs", "br", "mirrored").agg(F.max("own").alias("own"), F.sum("n").alias("merged"))
+    return merged.where("own is not null").select(*keys, "bs", "br", "mirrored", F.col("own").alias("n"), "merged")
 
 
 def winning_bin(bins: DataFrame, keys: list[str], min_votes: int = 4) -> DataFrame:

@@ -200,15 +200,17 @@ def bands_to_search(df: DataFrame, diag_px: str, scale_arcsec: str, bands: list[
 def code_join(left: DataFrame, right: DataFrame, tol: float, left_code: str = "code", right_code: str = "rcode", keys: list[str] | None = None) -> DataFrame:
     """Pairs whose codes are within ``tol``: equi-join on bins of three axes, then the exact distance.
 
-    Right rows are repeated for the neighbouring bins. Column names of the sides must differ
-    but for ``keys``.
+    A bin is twice as wide as the tolerance, so a right row is repeated for two bins of an axis
+    at most. Column names of the sides must differ but for ``keys``; give only the columns that
+    are needed, since right rows travel up to eight times.
     """
-    axes = (0, 1, 3)
-    cell = lambda c, a: F.floor(F.col(c)[a] / tol).cast("long")
+    axes, width = (0, 1, 3), 2 * tol
+    cell = lambda v: F.floor(v / width).cast("long")
     a, b = left, right
     for ax in axes:
-        a = a.withColumn(f"__b{ax}", cell(left_code, ax))
-        b = b.withColumn(f"__b{ax}", F.explode(F.sequence(cell(right_code, ax) - 1, cell(right_code, ax) + 1)))
+        a = a.withColumn(f"__b{ax}", cell(F.col(left_code)[ax]))
+        v = F.col(right_code)[ax]
+        b = b.withColumn(f"__b{ax}", F.explode(F.sequence(cell(v - tol), cell(v + tol))))
     d2 = sum(((F.col(left_code)[i] - F.col(right_code)[i]) * (F.col(left_code)[i] - F.col(right_code)[i]) for i in range(4)), F.lit(0.0))
     names = [f"__b{ax}" for ax in axes]
     return a.join(b, [*(keys or []), *names]).withColumn("d2", d2).where(F.col("d2") <= tol * tol).drop(*names)

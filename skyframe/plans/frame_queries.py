@@ -174,7 +174,7 @@ def band_join(spark, d):
     sky = joins.pair_separations(sky, ["frame_id"]).join(f.where("scale is not null"), "frame_id")
     sky = sky.select("frame_id", F.col("i").alias("ci"), F.col("j").alias("cj"), (F.col("sep") * 3600.0 / F.col("scale")).alias("want"))
     have = joins.pair_separations(points(spark, d, PAIR_POINTS), ["frame_id"])
-    return joins.band_join(have, sky, "sep", "want", TOL, 0.005, keys=["frame_id"]).groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"))
+    return joins.band_join(have, sky, "sep", "want", TOL, 0.005, keys=["frame_id"], repeat="right").groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def first_location(spark, d):

@@ -73,13 +73,17 @@ def _direction(sign=1.0):
     return F.degrees(F.atan2(p[1]["y"] - p[0]["y"], (p[1]["x"] - p[0]["x"]) * sign))
 
 
-def _matches(spark, d):
-    """Image patterns against those of the sky, as they are and mirrored; only codes, sizes and directions meet."""
-    img = _image(spark, d).select("frame_id", F.col("place").alias("iq"), "code", F.col("idx").alias("image_idx"), F.col("diag").alias("idiag"), _direction().alias("irot"))
+def _matches(spark, d, points=False):
+    """Image patterns against those of the sky, as they are and mirrored.
+
+    Only codes, sizes and directions meet, and the ``points`` of the patterns where they are asked for.
+    """
+    idx = lambda name: [F.col("idx").alias(name)] if points else []
+    img = _image(spark, d).select("frame_id", F.col("place").alias("iq"), "code", *idx("image_idx"), F.col("diag").alias("idiag"), _direction().alias("irot"))
     sky, parts = _sky(spark, d), []
     for m in (False, True):
         side = quads.with_code(sky, "p", "code", True) if m else sky
-        parts.append(side.select("disc_id", F.col("place").alias("cq"), F.col("code").alias("rcode"), F.col("idx").alias("sky_idx"), F.col("diag").alias("cdiag"), _direction(-1.0 if m else 1.0).alias("crot"), F.lit(m).alias("mirrored")))
+        parts.append(side.select("disc_id", F.col("place").alias("cq"), F.col("code").alias("rcode"), *idx("sky_idx"), F.col("diag").alias("cdiag"), _direction(-1.0 if m else 1.0).alias("crot"), F.lit(m).alias("mirrored")))
     got = quads.code_join(img, parts[0].unionByName(parts[1]), TOL)
     rot = F.pmod(F.col("crot") - F.col("irot"), F.lit(360.0))
     return got.withColumn("scale", F.col("cdiag") / F.col("idiag")).withColumn("rot", rot).withColumn("ord", (F.col("iq") * 1000 + F.col("cq")) * 2 + F.col("mirrored").cast("int"))
@@ -108,7 +112,7 @@ def vote_histogram(spark, d):
 
 
 def _won(spark, d):
-    m = cut(_matches(spark, d))
+    m = cut(_matches(spark, d, points=True))
     return matching.winners(m, matching.winning_bin(matching.votes(m, KEYS), KEYS, 1), KEYS)
 
 

@@ -1,4 +1,4 @@
-"""Solve frames as they arrive in a folder, and keep running percentile sketches of a log stream."""
+"""Solve frames as they arrive in a folder, and solve rates of a log stream by window."""
 
 from __future__ import annotations
 
