@@ -244,24 +244,26 @@ wb as (select * from vt where merged >= 1 qualify row_number() over (partition b
 won as (select mb.* from mb join wb using (frame_id, disc_id, mirrored) where abs(mb.bs-wb.bs)<=1 and least(abs(mb.br-wb.br), 72-abs(mb.br-wb.br))<=1)"""
 
 
-def oracle_sql():
-    idx = "concat_ws(',', i0, i1, i2, i3) idx"
-    mids = [math.sqrt(quads.BANDS[i] * quads.BANDS[i + 1]) for i in range(5)]
-    band = lambda e: "case " + " ".join(f"when {e} < {m!r}e0 then {i}" for i, m in enumerate(mids)) + " else 5 end"
-    spread = "sqrt(var_pop(x) + var_pop(y))"
-    s4 = "(x{1}-x{0})*(x{1}-x{0})+(y{1}-y{0})*(y{1}-y{0})"
-    srt = "list_reverse_sort([" + ", ".join(f"sqrt({s4.format(a, b)})" for a, b, _, _ in quads.PAIRS) + "])"
-    cond = f"least(abs((code[2]-code[1])/2), abs((code[4]-code[3])/2), ({srt}[1]-{srt}[2])/{srt}[1])"
-    pick = f"""cnd as (select *, count(*) over (partition by {{k}}) <= 25 few from {{q}}), cn as (select *, case when few then 0.0e0 else round({cond}, 9) end cond from cnd),
+MIDS = [math.sqrt(quads.BANDS[i] * quads.BANDS[i + 1]) for i in range(5)]
+BAND = lambda e: "case " + " ".join(f"when {e} < {m!r}e0 then {i}" for i, m in enumerate(MIDS)) + " else 5 end"
+S4 = "(x{1}-x{0})*(x{1}-x{0})+(y{1}-y{0})*(y{1}-y{0})"
+SRT = "list_reverse_sort([" + ", ".join(f"sqrt({S4.format(a, b)})" for a, b, _, _ in quads.PAIRS) + "])"
+COND = f"least(abs((code[2]-code[1])/2), abs((code[4]-code[3])/2), ({SRT}[1]-{SRT}[2])/{SRT}[1])"
+PICK = f"""cnd as (select *, count(*) over (partition by {{k}}) <= 25 few from {{q}}), cn as (select *, case when few then 0.0e0 else round({COND}, 9) end cond from cnd),
 cr as (select *, row_number() over (partition by {{k}}, seed order by cond desc, case when few then ord end, [i0,i1,i2,i3]) r2 from cn),
 sel as (select * from (select *, row_number() over (partition by {{k}} order by r2, seed) p2 from cr) where p2 <= 25)"""
-    tiles = lambda s: f"""select {s}e0 scale, cast(id*1000000+j as bigint) disc_id, 360.0e0/n_ra*(j+0.5e0) ra0, dec0, {s / 2}e0 radius, id tile_band from (select range id, -90+{180 / round(180 / s)!r}e0*(range+0.5e0) dec0,
+TILES = lambda s: f"""select {s}e0 scale, cast(id*1000000+j as bigint) disc_id, 360.0e0/n_ra*(j+0.5e0) ra0, dec0, {s / 2}e0 radius, id tile_band from (select range id, -90+{180 / round(180 / s)!r}e0*(range+0.5e0) dec0,
   greatest(1, cast(round(360.0e0*cos(radians(-90+{180 / round(180 / s)!r}e0*(range+0.5e0)))/{s}) as int)) n_ra from range({round(180 / s)})), range(0, {round(360 / s) + 1}) t(j) where j < n_ra"""
-    t4 = f"""{STARS}, discs as ({' union all '.join(tiles(s) for s in quads.BANDS)}),
+PICKED = f"""{STARS}, discs as ({' union all '.join(TILES(s) for s in quads.BANDS)}),
 sb as (select stars.*, sc, cast(floor((dec+90)*nd/180.0e0) as bigint) + o tile_band from stars, (values {', '.join(f'({s}e0, {round(180 / s)})' for s in quads.BANDS)}) z(sc, nd), (values (-1),(0),(1)) v(o)),
 cone as (select * from (select scale, disc_id, ra0, dec0, radius, star_id, cell, ra, dec, mag_milli, {SEP} sep from discs join sb on discs.tile_band = sb.tile_band and scale = sc and abs(dec-dec0) <= radius + 0.001e0) where sep <= radius),
 top as (select * from (select *, row_number() over (partition by scale, disc_id order by mag_milli, cell, star_id) rk from cone) where rk <= 14), {LINES_TO_PLANE.replace('from cone', 'from top')},
-sp as (select (scale, disc_id) tile, scale, disc_id, rk-1 i, xi x, eta y, star_id from plane), {_quads('sp', 'tile', 'tq', 4096, 6)}, {pick.format(k='tile', q='tq')}"""
+sp as (select (scale, disc_id) tile, scale, disc_id, rk-1 i, xi x, eta y, star_id from plane), {_quads('sp', 'tile', 'tq', 4096, 6)}, {PICK.format(k='tile', q='tq')}"""
+
+
+def oracle_sql():
+    idx = "concat_ws(',', i0, i1, i2, i3) idx"
+    spread = "sqrt(var_pop(x) + var_pop(y))"
     solved = "s as (select distinct on (log_id) * from solve_log where outcome.stars_matched is not null and outcome.field.scale_arcsec is not null)"
     lam = "outcome.stars_used*300*pi()*(5.0e0/3600)*(5.0e0/3600)/(naxis1*naxis2*pow(outcome.field.scale_arcsec/3600.0e0,2))"
     dec = lambda k: f"case when {k} > 0 and {k} > lam then greatest(0, ((case when {k} < 2 then 0 else {k}*ln({k})-{k}+0.5e0*ln(2*pi()*{k}) end) + lam - {k}*ln(lam))/ln(10.0e0)) else 0.0e0 end"
@@ -270,8 +272,8 @@ sp as (select (scale, disc_id) tile, scale, disc_id, rk-1 i, xi x, eta y, star_i
         "quad_code": f"with {IMAGE} select frame_id, place, {', '.join(f'{micro(f'code[{i + 1}]', 8)} c{i}_e8' for i in range(4))}, {micro('diag', 4)} diag_e4 from iq",
         "quad_code_packed": f"with {IMAGE} select frame_id, place, len(list_filter(code, lambda v: v < -1 or v > 2)) > 0 clamped, {', '.join(f'cast(round(greatest(0.0e0, least(1.0e0, (code[{i + 1}]+1)/3.0e0))*65535.0e0) as int) k{i}' for i in range(4))} from iq",
         "quad_code_roundtrip": f"with {IMAGE} select frame_id, place, true exact from iq where len(list_filter(code, lambda v: v < -1 or v > 2)) = 0",
-        "quad_conditioning_topk": f"with {IMAGE}, {pick.format(k='frame_id', q='iq')} select frame_id, p2 place, {idx} from sel",
-        "quad_band": f"with {IMAGE}, {FRAMES} select frame_id, place, {band('diag*scale/3600.0e0')} band from iq join f using (frame_id) where scale is not null",
+        "quad_conditioning_topk": f"with {IMAGE}, {PICK.format(k='frame_id', q='iq')} select frame_id, p2 place, {idx} from sel",
+        "quad_band": f"with {IMAGE}, {FRAMES} select frame_id, place, {BAND('diag*scale/3600.0e0')} band from iq join f using (frame_id) where scale is not null",
         "band_search": f"""with {IMAGE}, {FRAMES}, s as (select frame_id, place, diag*scale/3600.0e0 z from iq join f using (frame_id)), b(band, deg) as (values {', '.join(f'({i}, {x}e0)' for i, x in enumerate(quads.BANDS))}),
 x as (select *, z/deg between 0.5 and 2 hit, row_number() over (partition by frame_id, place order by abs(ln(z/deg)), band) nr from s, b), y as (select *, bool_or(hit) over (partition by frame_id, place) any_hit from x)
 select frame_id, place, band from y where z is null or hit or (not any_hit and nr = 1)""",
@@ -288,9 +290,9 @@ wh as (select frame_id, {spread} whole from pts group by all) select frame_id, d
         "runner_up": f"""with {BOTH}, v as (select frame_id, disc_id, count(*) n from m group by all), r as (select *, row_number() over (partition by frame_id order by n desc, disc_id) k from v)
 select frame_id, max(disc_id) filter (k=1) best, max(n) filter (k=1) best_score, max(n) filter (k=2) second_score from r group by frame_id""",
         "hypothesis_counter": f"with {BOTH} select frame_id, count(*) offered from m group by frame_id",
-        "tile_sweep": f"with a as ({' union all '.join(tiles(s) for s in (8, 4, 2))}) select scale, disc_id, {micro('ra0')} ra_udeg, {micro('dec0')} dec_udeg from a",
-        "quad_index": f"with {t4} select a.scale tile_scale, a.disc_id, p2 place, {band('diag')} band, concat_ws(',', a.star_id, b.star_id, c.star_id, e.star_id) stars from sel join sp a using (tile) join sp b using (tile) join sp c using (tile) join sp e using (tile) where a.i=i0 and b.i=i1 and c.i=i2 and e.i=i3",
-        "quad_index_info": f"with {t4} select {band('diag')} band, count(*) n from sel group by 1",
+        "tile_sweep": f"with a as ({' union all '.join(TILES(s) for s in (8, 4, 2))}) select scale, disc_id, {micro('ra0')} ra_udeg, {micro('dec0')} dec_udeg from a",
+        "quad_index": f"with {PICKED} select a.scale tile_scale, a.disc_id, p2 place, {BAND('diag')} band, concat_ws(',', a.star_id, b.star_id, c.star_id, e.star_id) stars from sel join sp a using (tile) join sp b using (tile) join sp c using (tile) join sp e using (tile) where a.i=i0 and b.i=i1 and c.i=i2 and e.i=i3",
+        "quad_index_info": f"with {PICKED} select {BAND('diag')} band, count(*) n from sel group by 1",
         "poisson_confidence": f"with {solved}, l as (select *, {lam} lam, outcome.stars_matched k from s) select log_id, {micro('case when k > 0 and lam > 0 then lam else 0 end', 5)} chance_e5, {micro(dec('k'), 5)} decades_e5 from l",
         "blind_gate": f"""with {solved}, l as (select *, {lam} lam, greatest(0, outcome.stars_matched - outcome.fit.used) k, outcome.fit.rms_deg*3600.0e0/outcome.field.scale_arcsec rms,
   12+greatest(0, log10(nullif(log_id % 1000, 0))) need from s), g as (select *, {dec('k')} dcd from l)

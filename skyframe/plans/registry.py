@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalog_queries, frame_queries, problem_queries, quad_queries, report_queries, solve_queries
+from . import catalog_queries, frame_queries, problem_queries, quad_queries, report_queries, solve_queries, source_queries
 
-MODULES = [catalog_queries, frame_queries, quad_queries, report_queries, solve_queries, problem_queries]
+MODULES = [catalog_queries, frame_queries, quad_queries, report_queries, solve_queries, source_queries, problem_queries]
 
 
 def queries():
