@@ -228,13 +228,16 @@ def quantile_edges(codes: DataFrame, keys: list[str], bins: int = 48) -> DataFra
 
 
 def grid_join(left: DataFrame, right: DataFrame, edges: DataFrame, tol: float, keys: list[str], bins: int = 48) -> DataFrame:
-    """The same pairs as :func:`code_join`, over bins of equal population along the first two axes.
+    """The same pairs as :func:`code_join` within each key, over bins of equal population along the first two axes.
 
-    The edges of a key are two arrays of ``bins + 1`` numbers; a probe is repeated for the bins
-    that its box touches. ``left`` has ``code``, ``right`` the probes' ``rcode``.
+    ``left`` has ``code`` and one bin a row, ``right`` has ``rcode`` and should be the smaller side: it
+    is repeated for the bins that the box around a code touches. ``edges`` (of the index, usually)
+    are two arrays of ``bins + 1`` numbers a key. The other two axes are left to the exact
+    distance: over four, a row would be repeated for hundreds of cells.
     """
     arrays = edges.where("axis < 2").groupBy(*keys).agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("axis") == ax, F.struct("i", "edge")))), lambda e: e["edge"]).alias(f"__e{ax}") for ax in (0, 1)])
     bin_of = lambda ax, v: F.least(F.greatest(F.size(F.filter(f"__e{ax}", lambda e: e <= v)) - 1, F.lit(0)), F.lit(bins - 1))
+    arrays = F.broadcast(arrays)  # a row for each of the few bands
     a = left.join(arrays, keys).withColumns({f"__b{ax}": bin_of(ax, F.col("code")[ax]) for ax in (0, 1)}).drop("__e0", "__e1")
     b = right.join(arrays, keys)
     for ax in (0, 1):

@@ -101,10 +101,13 @@ def quantile_edges(spark, d):
 
 
 def quad_grid_join(spark, d):
-    """The unmirrored matches again, through the grid of equal population."""
-    img = _image(spark, d).select("frame_id", F.col("place").alias("iq"), "code").withColumn("band", F.lit(0))
-    sky = _sky(spark, d).select("disc_id", F.col("place").alias("cq"), F.col("code").alias("rcode")).withColumn("band", F.lit(0))
-    return quads.grid_join(img, sky, quads.quantile_edges(img, ["band"]), TOL, ["band"]).select("frame_id", "disc_id", "iq", "cq")
+    """The matches again, in either parity, through grids of equal population over the sky's patterns of each band that an image pattern may lie in."""
+    probes = quads.bands_to_search(_scaled(spark, d), "diag", "scale").select("frame_id", F.col("place").alias("iq"), "code", "band")
+    sky = _sky(spark, d)
+    sides = [(quads.with_code(sky, "p", "code", True) if m else sky).select("disc_id", F.col("place").alias("cq"), "code", quads.band_of(F.col("diag")).alias("band"), F.lit(m).alias("mirrored")) for m in (False, True)]
+    index = cut(sides[0].unionByName(sides[1]))
+    # the fewer patterns, here those of the sky, are the ones that are repeated for the bins that they may touch
+    return quads.grid_join(probes, index.withColumnRenamed("code", "rcode"), quads.quantile_edges(index, ["band"]), TOL, ["band"]).select("frame_id", "disc_id", "iq", "cq", "mirrored")
 
 
 def vote_histogram(spark, d):
@@ -235,7 +238,7 @@ IMAGE = f"{PTS(N_POINTS)}, {_quads('pts', 'frame_id', 'iq', N_QUADS)}"
 BOTH = f"""{IMAGE}, {SKY}, {_quads('sp', 'disc_id', 'cq', N_QUADS)}, cm_in as (select * exclude (code, diag, d0,d1,d2,d3,d4,d5,best,pax,pay,pbx,pby,pcx,pcy,pdx,pdy,fc0x,fc0y,fd0x,fd0y,fc1x,fc1y,fd1x,fd1y) from cq), {_codes('cm_in', 'cm', -1)},
 sides as (select disc_id, place, code, diag, i0, i1, i2, i3, x0, y0, x1, y1, false mirrored from cq union all select disc_id, place, code, diag, i0, i1, i2, i3, -x0, y0, -x1, y1, true from cm),
 ib as (select *, cast(floor(code[1]/0.02) as int) b from iq), sb as (select *, cast(floor(code[1]/0.02) as int) + o b from sides, (values (-1),(0),(1)) v(o)),
-m as (select frame_id, disc_id, ib.place iq, sb.place cq, mirrored, sb.diag/ib.diag scale, [ib.i0, ib.i1, ib.i2, ib.i3] ii, [sb.i0, sb.i1, sb.i2, sb.i3] si,
+m as (select frame_id, disc_id, ib.place iq, sb.place cq, mirrored, sb.diag cdiag, sb.diag/ib.diag scale, [ib.i0, ib.i1, ib.i2, ib.i3] ii, [sb.i0, sb.i1, sb.i2, sb.i3] si,
   ((degrees(atan2(sb.y1-sb.y0, sb.x1-sb.x0)) - degrees(atan2(ib.y1-ib.y0, ib.x1-ib.x0))) % 360 + 360) % 360 rot from ib join sb using (b)
   where pow(ib.code[1]-sb.code[1],2)+pow(ib.code[2]-sb.code[2],2)+pow(ib.code[3]-sb.code[3],2)+pow(ib.code[4]-sb.code[4],2) <= 0.02e0*0.02e0)"""
 VOTES = f"""{BOTH}, mb as (select *, cast(round(ln(scale)/0.02e0) as bigint) bs, cast(round(rot/5.0e0) as bigint) br from m), own as (select frame_id, disc_id, bs, br, mirrored, count(*) n from mb group by all),
@@ -246,6 +249,9 @@ won as (select mb.* from mb join wb using (frame_id, disc_id, mirrored) where ab
 
 MIDS = [math.sqrt(quads.BANDS[i] * quads.BANDS[i + 1]) for i in range(5)]
 BAND = lambda e: "case " + " ".join(f"when {e} < {m!r}e0 then {i}" for i, m in enumerate(MIDS)) + " else 5 end"
+SEARCHED = f"""zs as (select frame_id, place, diag*scale/3600.0e0 z from iq join f using (frame_id)), bs(band, deg) as (values {', '.join(f'({i}, {x}e0)' for i, x in enumerate(quads.BANDS))}),
+zx as (select *, z/deg between 0.5 and 2 hit, row_number() over (partition by frame_id, place order by abs(ln(z/deg)), band) nr from zs, bs), zy as (select *, bool_or(hit) over (partition by frame_id, place) any_hit from zx),
+searched as (select frame_id, place, band from zy where z is null or hit or (not any_hit and nr = 1))"""
 S4 = "(x{1}-x{0})*(x{1}-x{0})+(y{1}-y{0})*(y{1}-y{0})"
 SRT = "list_reverse_sort([" + ", ".join(f"sqrt({S4.format(a, b)})" for a, b, _, _ in quads.PAIRS) + "])"
 COND = f"least(abs((code[2]-code[1])/2), abs((code[4]-code[3])/2), ({SRT}[1]-{SRT}[2])/{SRT}[1])"
@@ -274,13 +280,11 @@ def oracle_sql():
         "quad_code_roundtrip": f"with {IMAGE} select frame_id, place, true exact from iq where len(list_filter(code, lambda v: v < -1 or v > 2)) = 0",
         "quad_conditioning_topk": f"with {IMAGE}, {PICK.format(k='frame_id', q='iq')} select frame_id, p2 place, {idx} from sel",
         "quad_band": f"with {IMAGE}, {FRAMES} select frame_id, place, {BAND('diag*scale/3600.0e0')} band from iq join f using (frame_id) where scale is not null",
-        "band_search": f"""with {IMAGE}, {FRAMES}, s as (select frame_id, place, diag*scale/3600.0e0 z from iq join f using (frame_id)), b(band, deg) as (values {', '.join(f'({i}, {x}e0)' for i, x in enumerate(quads.BANDS))}),
-x as (select *, z/deg between 0.5 and 2 hit, row_number() over (partition by frame_id, place order by abs(ln(z/deg)), band) nr from s, b), y as (select *, bool_or(hit) over (partition by frame_id, place) any_hit from x)
-select frame_id, place, band from y where z is null or hit or (not any_hit and nr = 1)""",
+        "band_search": f"with {IMAGE}, {FRAMES}, {SEARCHED} select frame_id, place, band from searched",
         "quad_code_join": f"with {BOTH} select frame_id, disc_id, iq, cq, mirrored, {micro('scale', 9)} scale_e9, {micro('cos(radians(rot))', 5)} cos_e5 from m",
         "quantile_edges": f"""with {IMAGE}, v as (select unnest([0,1,2,3]) axis, unnest(code) v from iq), r as (select *, row_number() over (partition by axis order by v)-1 rk, count(*) over (partition by axis) n from v)
 select axis, i, {micro('v', 8)} edge_e8 from r join (select range i from range(49)) on rk = i*(n-1)//48""",
-        "quad_grid_join": f"with {BOTH} select frame_id, disc_id, iq, cq from m where not mirrored",
+        "quad_grid_join": f"""with {BOTH}, {FRAMES}, {SEARCHED} select m.frame_id, m.disc_id, iq, cq, m.mirrored from m join searched w on w.frame_id = m.frame_id and w.place = iq and w.band = {BAND('m.cdiag')}""",
         "vote_histogram": f"with {VOTES} select frame_id, disc_id, bs, br, mirrored, n, merged from vt",
         "majority_match": f"""with {VOTES}, z as (select frame_id, disc_id, ((iq*1000+cq)*2+cast(mirrored as int))*4+k seen, ii[k+1] image_i, si[k+1] sky_i from won, range(4) t(k)),
 t as (select frame_id, disc_id, image_i, sky_i, count(*) n, min(seen) seen from z group by all) select frame_id, disc_id, image_i, sky_i, n from t qualify row_number() over (partition by frame_id, disc_id, image_i order by n desc, seen) = 1""",
