@@ -146,18 +146,26 @@ def smith_waterman(items: list[np.ndarray], texts: list[np.ndarray]) -> np.ndarr
             hi += 1
         part = order[lo:hi]
         high, wide = max(len(items[k]) for k in part), int(size[part[-1]])
-        want, have = np.zeros((len(part), high), np.uint64), np.ones((len(part), wide), np.uint64)
-        in_item, in_text = np.zeros((len(part), high), bool), np.zeros((len(part), wide), bool)
+        # small numbers for the items' tokens: fewer bytes to compare; other tokens and the padding match nothing
+        known = np.unique(np.concatenate([items[k] for k in part]))
+        want, have = np.full((len(part), high), -2, np.int32), np.full((len(part), wide), -1, np.int32)
         for r, k in enumerate(part):
-            want[r, : len(items[k])], have[r, : size[k]] = items[k], texts[k]
-            in_item[r, : len(items[k])], in_text[r, : size[k]] = True, True
-        place, one = np.arange(1, wide + 1, dtype=np.int32), np.int32(1)
-        row, best = np.zeros((len(part), wide + 1), np.int32), np.zeros(len(part), np.int32)
+            want[r, : len(items[k])] = np.searchsorted(known, items[k])
+            at = np.minimum(np.searchsorted(known, texts[k]), len(known) - 1)
+            have[r, : size[k]] = np.where(known[at] == texts[k], at, -1) if len(known) else -1
+        kind = np.int16 if wide + high < 1 << 14 else np.int32
+        place, one = np.arange(1, wide + 1, dtype=kind), kind(1)
+        row, best = np.zeros((len(part), wide + 1), kind), np.zeros(len(part), kind)
         for j in range(high):
-            same = (have == want[:, j, None]) & in_text & in_item[:, j, None]
-            h = np.maximum(np.maximum(row[:, :-1] + np.where(same, one, -one), row[:, 1:] - one), 0)
-            row[:, 1:] = np.maximum.accumulate(h + place, axis=1) - place
-            best = np.maximum(best, row.max(1))
+            h = np.where(have == want[:, j, None], one, -one)
+            h += row[:, :-1]
+            np.maximum(h, row[:, 1:] - one, out=h)
+            np.maximum(h, kind(0), out=h)
+            h += place
+            np.maximum.accumulate(h, axis=1, out=h)
+            h -= place
+            row[:, 1:] = h
+            np.maximum(best, h.max(axis=1, initial=0), out=best)
         out[part] = best
         lo = hi
     return out
@@ -200,6 +208,7 @@ class TestSet:
     posting: np.ndarray = field(default=None)
     seed_item: np.ndarray = field(default=None)
     seed_at: np.ndarray = field(default=None)
+    _vocabulary: np.ndarray = field(default=None)
 
     @classmethod
     def of(cls, kind: str, rows: list[tuple[int, str]], edited: bool) -> TestSet:
@@ -253,6 +262,13 @@ class TestSet:
         self.seed_item = self.words.doc[self.at[order]]
         self.seed_at = self.at[order] - self.first[self.seed_item]
 
+    @property
+    def vocabulary(self) -> np.ndarray:
+        """The tokens of each item as numbers that tell them from those of other items, sorted."""
+        if self._vocabulary is None:
+            self._vocabulary = np.unique(self.words.hash ^ _mix(self.words.doc + 1))
+        return self._vocabulary
+
     def item(self, i: int) -> np.ndarray:
         return self.words.hash[self.first[i] : self.first[i + 1]]
 
@@ -326,7 +342,10 @@ def _align(sets: list[TestSet]):
                 want = [s.item(i) for i in item[part]]
                 # no alignment has more matches than tokens that the other side has too
                 least, score = s.need()[item[part]], np.zeros(len(part), np.int64)
-                able = [k for k, (x, y, n) in enumerate(zip(want, texts, least)) if np.isin(y, x).sum() >= n and np.isin(x, y).sum() >= n]
+                size = np.array([len(x) for x in texts])
+                shared, _ = _members(s.vocabulary, np.concatenate(texts) ^ np.repeat(_mix(item[part] + 1), size))
+                shared = np.bincount(np.repeat(np.arange(len(part)), size)[shared], minlength=len(part))
+                able = np.flatnonzero(shared >= least)
                 score[able] = smith_waterman([want[k] for k in able], [texts[k] for k in able])
                 cut = np.flatnonzero(pair)
                 best = np.maximum.reduceat(score, np.searchsorted(part, cut))
