@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import sphere
-from ..session import whole_groups
+from ..session import stored, whole_groups
 from . import catalog, geometry, ranks
 
 #: Scales of the pattern bands in degrees (fixed values).
@@ -149,14 +149,15 @@ def point_patterns(x: np.ndarray, y: np.ndarray, starts: np.ndarray, k: int, lim
 POINT = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
 
 
-def build_quads(points: DataFrame, keys: list[str], k: int = 6, limit: int = 600, cap: int | None = None, name: str = "i", grouped: bool = False) -> DataFrame:
+def build_quads(points: DataFrame, keys: list[str], k: int = 6, limit: int = 600, cap: int | None = None, name: str = "i", grouped: bool = False, then=None) -> DataFrame:
     """``keys, place, seed, idx, p, code, diag``: the patterns of point sets (``keys, i, x, y``), see :func:`point_patterns`.
 
     ``idx`` has the points' values of the column ``name`` in the order seed, neighbours, ``seed``
     the first ``i`` of it, ``p`` their places. Sets must be bounded per key (``top_by_flux``,
     ``tile_points``); a set of fewer than four points has no pattern. A task takes whole sets,
     many at a time, in numpy. ``grouped`` says that the rows come from a window over ``keys`` in
-    the order of ``i``, so they need not be shuffled again.
+    the order of ``i``, so they need not be shuffled again. ``then``, a function of a task's
+    batches and the schema of what it makes of them, spares patterns the way out of the task.
     """
     long = T.LongType()
     fields = [*[points.schema[c] for c in keys], T.StructField("place", long), T.StructField("seed", long), T.StructField("idx", T.ArrayType(long)), T.StructField("p", POINT), T.StructField("code", T.ArrayType(T.DoubleType())), T.StructField("diag", T.DoubleType())]
@@ -176,6 +177,8 @@ def build_quads(points: DataFrame, keys: list[str], k: int = 6, limit: int = 600
             keyed = [t.column(c).take(pa.array(idx[:, 0])).combine_chunks() for c in keys]
             yield from pa.Table.from_arrays([*keyed, pa.array(place.astype(np.int64)), seed, lists(named), lists(flat), lists(pa.array(code.ravel())), pa.array(diag)], names=[f.name for f in fields]).to_batches(1 << 14)
 
+    if then is not None:
+        return slim.mapInArrow(lambda batches: then[0](run(batches)), then[1])
     return slim.mapInArrow(run, T.StructType(fields))
 
 
@@ -216,15 +219,26 @@ def code_join(left: DataFrame, right: DataFrame, tol: float, left_code: str = "c
     return a.join(b, [*(keys or []), *names]).withColumn("d2", d2).where(F.col("d2") <= tol * tol).drop(*names)
 
 
+def code_runs(keys: list[T.StructField] = (), digits: int | None = None):
+    """What packs the codes of a task (``build_quads(then=...)``) for :func:`edges_of_runs`, and the schema of that."""
+    return lambda batches: ranks.packed_runs(batches, [f.name for f in keys], "code", digits), ranks.runs_schema(keys)
+
+
+def edges_of_runs(runs: DataFrame, keys: list[str], bins: int = 48, digits: int | None = None) -> DataFrame:
+    """:func:`quantile_edges` of packed runs of codes; with ``digits`` in whole numbers of 10^-digits."""
+    got = ranks.values_of_runs(runs, keys, lambda n: [i * (n - 1) // bins for i in range(bins + 1)], digits)
+    return got.select(*keys, F.col("axis").cast("int"), F.col("i").cast("int"), F.col("value").alias("edge"))
+
+
 def quantile_edges(codes: DataFrame, keys: list[str], bins: int = 48) -> DataFrame:
     """``keys, axis, i, edge``: values at ranks floor(i (n-1) / bins) of each code axis.
 
-    Exact for any number of codes: ranks are found in sorted partitions (``ranks.values_at``),
-    so that a pattern band, of which there are few, is never in one task.
+    Exact for any number of codes: they are kept as packed runs, in which ranks are found by
+    counting (``ranks.values_of_runs``), so that a pattern band, of which there are few, is never
+    in one task, and no code is shuffled.
     """
-    long = codes.select(*keys, F.posexplode("code").alias("axis", "v"))
-    wanted = F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda i: F.struct(i.alias("i"), F.floor(i * (F.col("n") - 1) / bins).alias("rank")))
-    return ranks.values_at(long, [*keys, "axis"], "v", wanted).select(*keys, "axis", "i", F.col("v").alias("edge"))
+    run, schema = code_runs([codes.schema[k] for k in keys])
+    return edges_of_runs(stored(codes.select(*keys, "code").mapInArrow(run, schema)), keys, bins)
 
 
 def grid_join(left: DataFrame, right: DataFrame, edges: DataFrame, tol: float, keys: list[str], bins: int = 48) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codec, sphere
 from ..operators import catalog, matching, quads
-from ..session import cut, table
+from ..session import cut, stored, table
 from .catalog_queries import CONE, LINES_TO_PLANE, NSIDE, SEP, STARS, discs, micro, stars
 from .frame_queries import FRAMES, PTS, frames, points
 
@@ -97,7 +97,9 @@ def quad_code_join(spark, d):
 
 
 def quantile_edges(spark, d):
-    return quads.quantile_edges(_image(spark, d).withColumn("band", F.lit(0)), ["band"]).select("axis", "i", sphere.micro(F.col("edge"), 8).alias("edge_e8"))
+    # rounding keeps the order, so the codes may be rounded before their ranks are found, and take less room
+    runs = quads.build_quads(points(spark, d, N_POINTS), ["frame_id"], N_NEAR, N_QUADS, grouped=True, then=quads.code_runs(digits=8))
+    return quads.edges_of_runs(stored(runs), [], digits=8).select("axis", "i", F.col("edge").cast("long").alias("edge_e8"))
 
 
 def quad_grid_join(spark, d):

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyframe import session
-from skyframe.functions import healpix
+from skyframe.functions import healpix, sphere
 from skyframe.operators import catalog, geometry, image, joins, quads, ranks, report
 
 
@@ -128,3 +128,44 @@ def test_sample_names_what_it_leaves_out(spark):
     assert some.count() == 20 and report.left_out(df, some, "binning").count() == 0
     few = report.stratified_sample(df, ["binning"], "k", 4, "dec")
     assert few.count() == 4 and report.left_out(df, few, "binning").count() == 6
+
+
+def test_edges_of_codes_close_and_far_and_equal(spark):
+    rng = np.random.default_rng(6)
+    n = 3000
+    v = np.stack([rng.normal(size=n), 0.3 + rng.integers(0, 9, n) * 1e-15, rng.integers(-2, 3, n) * 0.0, np.exp(rng.uniform(-600, 600, n)) * rng.choice([-1, 1], n)], axis=1)
+    v[:3, 3], v[5, 0] = [np.inf, -np.inf, -np.finfo(float).max], np.nan
+    band = [None if b == 2 else int(b) for b in rng.integers(0, 3, n)]
+    rows = [(b, c) for b, c in zip(band, v.tolist())] + [(0, None), (7, [0.25, -0.0, 0.5, 1.0])]
+    got = {(r["band"], r["axis"], r["i"]): r["edge"] for r in quads.quantile_edges(spark.createDataFrame(rows, "band int, code array<double>").repartition(5), ["band"]).collect()}
+    for b in (0, 1, None, 7):
+        for axis in range(4):
+            own = np.sort([c[axis] for k, c in rows if k == b and c is not None and not np.isnan(c[axis])])
+            assert [got.pop((b, axis, i)) for i in range(49)] == [own[i * (len(own) - 1) // 48] for i in range(49)]
+    assert not got
+    assert quads.quantile_edges(spark.createDataFrame([], "band int, code array<double>"), ["band"]).count() == 0
+
+
+def test_packed_runs_hold_all_values_and_round_as_micro(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "SORTED_AT_ONCE", 100)
+    monkeypatch.setattr(ranks, "RUN", 7)
+    v = np.concatenate([np.random.default_rng(7).normal(size=250), [0.5, -0.5, 1.5, -1.5, 2.5, 0.49999999999999994]])
+    t = pa.table({"code": pa.array(v.reshape(-1, 1).tolist(), pa.list_(pa.float64()))})
+    for digits in (None, 0, 8):
+        runs = [b.to_pylist()[0] for b in ranks.packed_runs(iter(t.to_batches(30)), [], "code", digits)]
+        got = sorted(ranks._value(int(x), digits) for r in runs for x in ranks._unpack(r["packed"], r["n"], r["first"]).view(np.int64))
+        want = v.tolist() if digits is None else [r[0] for r in spark.createDataFrame([(x,) for x in v.tolist()], "v double").select(sphere.micro(F.col("v"), digits)).collect()]
+        assert got == sorted(want) and max(r["n"] for r in runs) <= 7
+
+
+def test_edges_leave_few_bytes_of_each_code(spark, tmp_path):
+    sc = spark.sparkContext
+    session.checkpoint_dir(spark)
+    former = sc.getCheckpointDir()
+    sc.setCheckpointDir(str(tmp_path))
+    try:
+        codes = spark.range(100_000, numPartitions=4).select(F.lit(0).alias("band"), F.array(*[F.round(F.rand(i), 12) for i in range(4)]).alias("code"))
+        assert quads.quantile_edges(codes, ["band"]).count() == 4 * 49
+        assert sum(p.stat().st_size for p in tmp_path.rglob("*") if p.is_file()) < 8 * 400_000
+    finally:
+        sc._jsc.sc().setCheckpointDir(former)
